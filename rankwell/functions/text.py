@@ -126,11 +126,16 @@ def fold_accents(col: Column) -> Column:
 def clean_list(items: Column, limit: int) -> Column:
     """Trim, drop blanks, keep the first spelling of each case-insensitive value, then cap."""
     kept = F.filter(F.transform(items, trimmed), lambda x: x != "")
-    keys = F.transform(kept, F.lower)
-    firsts = F.filter(
-        kept, lambda x, i: F.array_position(keys, F.lower(x)) == (i + 1).cast("bigint")
+
+    def firsts(k):
+        wanted = F.slice(F.array_distinct(k["keys"]), 1, limit)
+        return F.transform(
+            wanted, lambda key: F.get(k["kept"], F.array_position(k["keys"], key).cast("int") - 1)
+        )
+
+    return let(
+        let(kept, lambda x: F.struct(x.alias("kept"), F.transform(x, F.lower).alias("keys"))), firsts
     )
-    return F.slice(firsts, 1, limit)
 
 
 def clean_keywords(items: Column) -> Column:

@@ -13,26 +13,24 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def cosine_percent(a: Column, b: Column) -> Column:
-    """Cosine as 0 to 100, null where it is undefined: missing, empty, unequal width, zero."""
-    pair = F.struct(a.cast("array<double>").alias("a"), b.cast("array<double>").alias("b"))
-    usable = (F.size(a) > 0) & (F.size(a) == F.size(b))
-
-    def ratio(p):
-        sums = F.struct(
-            _dot(p["a"], p["b"]).alias("dot"),
-            _dot(p["a"], p["a"]).alias("aa"),
-            _dot(p["b"], p["b"]).alias("bb"),
-        )
-        return let(
-            sums,
-            lambda s: F.when(
-                (s["aa"] != 0) & (s["bb"] != 0),
-                s["dot"] / (F.sqrt(s["aa"]) * F.sqrt(s["bb"])),
-            ),
-        )
-
-    cosine = F.when(usable, let(pair, ratio))
+def norm(v: Column) -> Column:
+    """Euclidean length in double precision."""
+    return let(v.cast("array<double>"), lambda x: F.sqrt(_dot(x, x)))
+
+
+def cosine_percent(
+    a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None
+) -> Column:
+    """Cosine as 0 to 100, null where it is undefined: missing, empty, unequal width, zero.
+
+    Pass the lengths when they are already stored with the vectors; only the product is then
+    left to compute for each pair.
+    """
+    norm_a = norm(a) if norm_a is None else norm_a
+    norm_b = norm(b) if norm_b is None else norm_b
+    usable = (F.size(a) > 0) & (F.size(a) == F.size(b)) & (norm_a != 0) & (norm_b != 0)
+    dot = _dot(a.cast("array<double>"), b.cast("array<double>"))
+    cosine = F.when(usable, dot / (norm_a * norm_b))
     return let(cosine, lambda c: F.when(is_finite(c), clamp(c * 100, 0, 100)))
 
 

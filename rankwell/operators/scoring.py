@@ -36,8 +36,8 @@ from rankwell.functions.company import company_candidates
 from rankwell.functions.labels import component_label, score_band
 from rankwell.functions.parse import annual_amount, seniority_rank
 from rankwell.functions.skills import skill_tags
-from rankwell.functions.text import clamp, lookup, round2, trimmed
-from rankwell.functions.vectors import cosine_percent
+from rankwell.functions.text import clamp, let, lookup, round2, trimmed
+from rankwell.functions.vectors import cosine_percent, norm
 from rankwell.session import broadcast_if_small, small_enough
 
 if sum(w for _, w in RULE_WEIGHTS) != 100:
@@ -60,15 +60,13 @@ def derive_job_skills(jobs: DataFrame) -> DataFrame:
     )
 
 
-def keyword_hits(jobs: DataFrame, keywords: DataFrame, keyword: str = "keyword") -> DataFrame:
-    """(job_id, keyword_hits): excluded keywords whose first word occurs in the record.
+def distinct_keywords(keywords: DataFrame, keyword: str = "keyword") -> DataFrame:
+    """Clean distinct keywords with the word each must share with a record it occurs in.
 
-    Each distinct keyword is matched once per record, whatever the number of profiles using it.
     A phrase can only occur where its first run of word characters is a whole word (or, without
-    any, where its first sign occurs), so words and keywords meet in an equi-join and only the
-    hits are looked at again by :func:`prepare_jobs`.
+    any, where its first sign occurs).
     """
-    wanted = (
+    return (
         keywords.select(F.lower(trimmed(F.col(keyword))).alias("keyword"))
         .where(F.col("keyword") != "")
         .distinct()
@@ -80,14 +78,47 @@ def keyword_hits(jobs: DataFrame, keywords: DataFrame, keyword: str = "keyword")
             ),
         )
     )
-    tokens = F.array_distinct(F.regexp_extract_all(_haystack(), F.lit(r"\w+|[^\w\s]"), F.lit(0)))
-    found = (
-        jobs.select("job_id", F.explode(tokens).alias("token"))
-        .join(broadcast_if_small(wanted), "token")
-        .groupBy("job_id")
-        .agg(F.collect_set("keyword").alias("keyword_hits"))
+
+
+def _tokens() -> Column:
+    return F.array_distinct(F.regexp_extract_all(_haystack(), F.lit(r"\w+|[^\w\s]"), F.lit(0)))
+
+
+def with_keyword_hits(jobs: DataFrame, keywords: DataFrame, few: int = 2_000) -> DataFrame:
+    """Adds ``keyword_hits``: the excluded keywords that occur in the record.
+
+    Each distinct keyword is matched once per record, whatever the number of profiles using it.
+    Up to ``few`` keywords (counted first) travel inside each row, which needs no shuffle.
+    Beyond that, words and keywords meet in an equi-join on the shared word.
+    """
+    wanted = distinct_keywords(keywords)
+    if small_enough(wanted, few):
+        listed = wanted.groupBy().agg(F.collect_list(F.struct("keyword", "token"))).scalar()
+
+        def shared(k):
+            words = F.array_intersect(_tokens(), F.transform(k, lambda x: x["token"]))
+            return let(
+                words,
+                lambda w: F.transform(
+                    F.filter(k, lambda x: F.array_contains(w, x["token"])), lambda x: x["keyword"]
+                ),
+            )
+
+        found = jobs.withColumn("_listed", listed).withColumn(
+            "keyword_hits", shared(F.col("_listed"))
+        )
+    else:
+        hits = (
+            jobs.select("job_id", F.explode(_tokens()).alias("token"))
+            .join(broadcast_if_small(wanted), "token")
+            .groupBy("job_id")
+            .agg(F.collect_set("keyword").alias("keyword_hits"))
+        )
+        found = jobs.join(hits, "job_id", "left")
+    kept = F.filter("keyword_hits", lambda k: _holds_phrase(_haystack(), k))
+    return found.withColumn(
+        "keyword_hits", F.coalesce(kept, F.array().cast("array<string>"))
     )
-    return found
 
 
 def _haystack() -> Column:
@@ -111,26 +142,25 @@ def prepare_jobs(
     jobs: DataFrame, job_skills: DataFrame | None = None, keywords: DataFrame | None = None
 ) -> DataFrame:
     """Columns the rules need from a record, text reduced to its keyword hits."""
-    skills = derive_job_skills(jobs) if job_skills is None else job_skills
-    per_job = skills.groupBy("job_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("skill_id", F.coalesce("weight", F.lit(1.0)).cast("double").alias("weight"))
-            )
-        ).alias("_asked")
-    )
-    ready = jobs.join(per_job, "job_id", "left")
-    if keywords is None:
-        hits = F.array().cast("array<string>")
+    if job_skills is None:
+        tags = skill_tags(F.col("title"), F.col("description_text"))
+        one_each = F.transform(
+            tags, lambda tag: F.struct(tag.alias("skill_id"), F.lit(1.0).alias("weight"))
+        )
+        ready = jobs.withColumn("_asked", F.when(F.size(tags) > 0, one_each))
     else:
-        ready = ready.join(keyword_hits(jobs, keywords), "job_id", "left")
-        hits = F.coalesce(
-            F.filter("keyword_hits", lambda k: _holds_phrase(_haystack(), k)),
-            F.array().cast("array<string>"),
+        weight = F.coalesce("weight", F.lit(1.0)).cast("double").alias("weight")
+        per_job = job_skills.groupBy("job_id").agg(
+            F.array_sort(F.collect_list(F.struct("skill_id", weight))).alias("_asked")
         )
+        ready = jobs.join(per_job, "job_id", "left")
+    if keywords is None:
+        ready = ready.withColumn("keyword_hits", F.array().cast("array<string>"))
+    else:
+        ready = with_keyword_hits(ready, keywords)
     top = F.array_max(F.transform("_asked", lambda s: s["weight"]))
     advertised = F.coalesce("salary_max", "salary_min").cast("double")
-    vector = F.col("embedding") if "embedding" in jobs.columns else F.lit(None)
+    vector = F.col("embedding") if "embedding" in jobs.columns else F.lit(None).cast("array<double>")
     return ready.select(
         "job_id",
         F.coalesce("work_mode", F.lit("unknown")).alias("work_mode"),
@@ -141,7 +171,7 @@ def prepare_jobs(
         F.upper("salary_currency").alias("currency"),
         annual_amount(advertised, F.col("salary_period")).alias("annual"),
         company_candidates(F.col("company_name"), F.col("company_domain")).alias("companies"),
-        hits.alias("keyword_hits"),
+        "keyword_hits",
         F.when(
             top > 0,
             F.transform(
@@ -152,6 +182,7 @@ def prepare_jobs(
             ),
         ).alias("asked"),
         vector.cast("array<double>").alias("embedding"),
+        norm(vector).alias("norm"),
     )
 
 
@@ -170,7 +201,7 @@ def prepare_profiles(profiles: DataFrame, profile_skills: DataFrame | None = Non
             F.map_from_entries(F.collect_list(F.struct("skill_id", "factor"))).alias("_levels")
         )
         ready = profiles.join(levels, "user_id", "left")
-    vector = F.col("embedding") if "embedding" in profiles.columns else F.lit(None)
+    vector = F.col("embedding") if "embedding" in profiles.columns else F.lit(None).cast("array<double>")
     floor = F.col("min_salary").cast("double")
     return ready.select(
         "user_id",
@@ -186,6 +217,7 @@ def prepare_profiles(profiles: DataFrame, profile_skills: DataFrame | None = Non
         ).alias("p_keywords"),
         F.col("_levels").alias("p_levels"),
         vector.cast("array<double>").alias("p_embedding"),
+        norm(vector).alias("p_norm"),
     )
 
 
@@ -372,7 +404,7 @@ def with_scores(pairs: DataFrame, now: str) -> DataFrame:
     )
     return (
         pairs.withColumn("gate_reasons", gate_reasons())
-        .withColumn("semantic_score", cosine_percent(F.col("embedding"), F.col("p_embedding")))
+        .withColumn("semantic_score", cosine_percent(*[F.col(c) for c in ("embedding", "p_embedding", "norm", "p_norm")]))
         .withColumn("_parts", weighted)
         .withColumn("breakdown", breakdown)
         .withColumn("rule_score", total)

@@ -250,14 +250,14 @@ select order_key, line_number, part_key, source_id, price,
   case salary_period when 'year' then salary_min when 'month' then salary_min * 12
     when 'hour' then null else salary_min end as annual,
   (list_position(['intern','junior','mid','senior','lead','staff','principal','director','exec'],
-    seniority) - 1)::int as seniority_rank
+    seniority) - 1)::double as seniority_rank
 from {sightings}
 """)
 def annualise(t):
     return t.sightings.select(
         "order_key", "line_number", "part_key", "source_id", "price",
         parse.annual_amount(F.col("salary_min"), F.col("salary_period")).alias("annual"),
-        parse.seniority_rank(F.col("seniority")).alias("seniority_rank"),
+        parse.seniority_rank(F.col("seniority")).cast("double").alias("seniority_rank"),
     )
 
 
@@ -297,14 +297,20 @@ def skill_counts(t):
     )
 
 
+CHECKS["words"] = """
+select doc_id, i, regexp_replace(w[i], '^\\s+|\\s+$', '', 'g') as word
+from (select doc_id, w, unnest(range(1, len(w) + 1)) as i
+  from (select doc_id, string_split(text, ' ') as w from {documents}))
+"""
+
+
 @query("""
-select doc_id, array_to_string(list_transform(list_filter(list_zip(k, range(1, len(k) + 1)),
-    lambda z: list_position(k, z[1]) = z[2]), lambda z: w[z[2]])[1:50], ',') as words,
-  array_to_string(list_transform(list_filter(list_zip(k, range(1, len(k) + 1)),
-    lambda z: list_position(k, z[1]) = z[2]), lambda z: z[1]), ',') as keywords
-from (select doc_id, w, list_transform(w, lambda s: lower(s)) as k from
-  (select doc_id, list_filter(list_transform(string_split(text, ' '),
-    lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') as w from {documents}))
+select doc_id, string_agg(case when n <= 50 then word end, ',' order by i) as words,
+  string_agg(key, ',' order by i) as keywords
+from (select doc_id, key, word, i, row_number() over (partition by doc_id order by i) as n
+  from (select doc_id, lower(word) as key, min(i) as i, arg_min(word, i) as word from {words}
+    where word <> '' group by doc_id, lower(word)))
+group by doc_id
 """)
 def list_clean(t):
     """Words of each document as a user-typed list: cleaned, distinct, capped at fifty."""
