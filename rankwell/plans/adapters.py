@@ -131,7 +131,7 @@ select event_id, user_id,
   cast(replace(replace(replace(props, '"k": ', ''), chr(123), ''), chr(125), '') as bigint) as k,
   case event_type when 'view' then 'view' when 'click' then 'save' when 'error' then 'dismiss'
     when 'purchase' then 'apply' end as event,
-  event_type, value, cast(ts as timestamp) as at
+  event_type, value, cast(ts as timestamp) as acted_at
 from {events}
 """,
     # Requests to move an application to a stage.
@@ -140,13 +140,13 @@ select event_id, user_id * 1000 + k % 5 as application_id, user_id, k,
   case event_type when 'signup' then 'saved' when 'view' then 'screening'
     when 'click' then 'interview' when 'purchase' then 'offer'
     else case when value < 20 then 'rejected' when value < 40 then 'withdrawn'
-      when value < 70 then 'discovered' else 'applied' end end as to_stage, at
+      when value < 70 then 'discovered' else 'applied' end end as to_stage, acted_at
 from {actions}
 """,
     # Ingest runs: one per source and day, errors are failed records.
     "run_log": """
 select user_id as source_id, cast(ts as date) as run_day, event_id, event_type, value,
-  cast(ts as timestamp) as at
+  cast(ts as timestamp) as acted_at
 from {events}
 """,
     # Salary text in six notations with the figures it must give.
@@ -229,7 +229,7 @@ def check_sql(text: str) -> str:
     ctes = ",\n".join(
         f"{n} as ({_NAME.sub(r'\1', VIEWS.get(n) or CHECKS[n])})" for n in needed
     )
-    return f"with {ctes}\n{body}"
+    return f"with recursive {ctes}\n{body}"
 
 
 # Views of the check engine only: the operators under test, written again in plain SQL.

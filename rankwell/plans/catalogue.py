@@ -1,4 +1,4 @@
 """All registered queries; importing the modules registers them."""
 
-from rankwell.plans import queries_ingest, queries_match  # noqa: F401
+from rankwell.plans import queries_ingest, queries_match, queries_track  # noqa: F401
 from rankwell.plans.registry import ORACLES, QUERIES  # noqa: F401

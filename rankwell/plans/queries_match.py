@@ -49,7 +49,7 @@ def job_actions(t: Inputs):
     """Log rows as actions on records: k names the part of the record."""
     parts = jobs_of(t).select("job_id", F.col("part_key").alias("k"))
     return t.actions.where(F.col("event").isNotNull()).join(parts, "k").select(
-        "user_id", "job_id", "event", "at", "event_id"
+        "user_id", "job_id", "event", "acted_at", "event_id"
     )
 
 
@@ -171,7 +171,7 @@ _score_ctes(
     "or list_contains(p.work_modes, j.work_mode)) and coalesce(j.jr <= p.pr + 1, true)",
 )
 CHECKS["job_actions"] = """
-select a.user_id, j.job_id, a.event, a.at, a.event_id from {actions} a
+select a.user_id, j.job_id, a.event, a.acted_at, a.event_id from {actions} a
 join {jobs} j on j.part_key = a.k where a.event is not null
 """
 CHECKS["ranked"] = """
