@@ -142,6 +142,22 @@ select event_id, user_id * 1000 + k % 5 as application_id, user_id, k,
     else case when value < 20 then 'rejected' when value < 40 then 'withdrawn'
       when value < 70 then 'discovered' else 'applied' end end as to_stage, acted_at
 from {actions}
+""",
+    # One saved search per customer, in the feed of its cohort.
+    "searches": """
+select c_custkey as search_id, c_nationkey * 5 + case c_mktsegment when 'BUILDING' then 0
+    when 'MACHINERY' then 1 when 'FURNITURE' then 2 when 'AUTOMOBILE' then 3 else 4 end as user_id,
+  case c_custkey % 3 when 0 then 'remote' when 1 then 'hybrid' end as work_mode,
+  case c_custkey % 4 when 0 then 'IN' when 1 then 'US' end as country_code,
+  case when c_acctbal > 5000 then c_acctbal * 10 end as min_salary
+from {customer}
+""",
+    # Local digest hour and time zone per customer.
+    "slot_users": """
+select c_custkey as user_id, cast(c_custkey % 24 as int) as send_hour,
+  case c_nationkey % 4 when 0 then 'Asia/Kolkata' when 1 then 'America/New_York'
+    when 2 then 'Europe/Berlin' end as time_zone
+from {customer} where c_custkey % 24 <> 2 or c_nationkey % 4 <> 1
 """,
     # Ingest runs: one per source and day, errors are failed records.
     "run_log": """
@@ -189,7 +205,7 @@ from {documents}
 """,
 }
 
-_NAME = re.compile(r"\{(\w+)\}")
+_NAME = re.compile(r"\{([a-z_]\w*)\}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -481,7 +481,7 @@ def numbered_log(t):
 # --- run health -----------------------------------------------------------------------------------------------
 
 CHECKS["attempts"] = """
-select r.*, event_type = 'error' as is_error, a.k from {run_log} r
+select r.*, r.event_type = 'error' as is_error, a.k from {run_log} r
 join {actions} a on a.event_id = r.event_id
 """
 CHECKS["runs"] = """
