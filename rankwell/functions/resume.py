@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankwell.constants import MAX_SEED_SKILLS, MAX_TITLES
 from rankwell.functions.parse import parse_location, parse_salary
-from rankwell.functions.text import first_match, has, let, pattern, trimmed
+from rankwell.functions.text import first_match, has, has_word, holds_any, let, pattern, trimmed
 
 # --- fixed values: patterns and word lists ------------------------------------------------------
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
@@ -51,6 +51,8 @@ PAY = [
     r"(?:₹|\$|€|£)\s*" + _AMOUNT + "?" + _PER,
     r"\b" + _AMOUNT + r"\b(?:\s*(?:per|\/)\s*(?:year|annum|yr|month|mo))?",
 ]
+PAY_WORDS = ["salary", "compensation", "ctc", "pay", "package"]
+PAY_SIGNS = ["₹", "$", "€", "£"]
 SKILLS = [
     "JavaScript", "TypeScript", "Python", "Java", "C++", "C#", "Go", "Rust", "Ruby", "PHP",
     "React", "Angular", "Vue", "Next.js", "Node.js", "Express", "Django", "Flask", "Spring",
@@ -128,13 +130,12 @@ def phones(text: Column) -> Column:
 def skills(text: Column) -> Column:
     """Listed skills in list order; the end guard lets ``C++`` and ``C#`` match."""
     hay = F.lower(text)
-    hits = [
-        F.when(
-            has(hay, r"\b" + re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", name) + r"(?!\w)"),
-            F.lit(name),
-        )
-        for name in SKILLS
-    ]
+    hits = []
+    for name in SKILLS:
+        literal = re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", name)
+        # The plain search comes first: it rules out most skills at a fraction of the cost.
+        found = hay.contains(name.lower()) & has(hay, rf"\b{literal}(?!\w)")
+        hits.append(F.when(found, F.lit(name)))
     return F.array_compact(F.array(*hits))
 
 
@@ -144,7 +145,7 @@ def seniority(experience: Column) -> Column:
     by_years = F.when(years < 2, "junior").when(years < 5, "mid").when(years < 8, "senior").when(
         years.isNotNull(), "lead"
     )
-    return F.coalesce(first_match(experience, LEVELS), by_years)
+    return F.coalesce(first_match(experience, LEVELS), F.when(experience.rlike(r"\d"), by_years))
 
 
 def years_experience(text: Column) -> Column:
@@ -154,13 +155,21 @@ def years_experience(text: Column) -> Column:
 
 
 def work_modes(text: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(has(text, p), F.lit(m)) for m, p in MODES]))
+    low = F.lower(text)
+    return F.array_compact(
+        F.array(*[F.when(has_word(text, low, p), F.lit(m)) for m, p in MODES])
+    )
 
 
 def salary(text: Column) -> Column:
     """The stated pay: the fragment is located by keyword, then parsed like any salary."""
+    low = F.lower(text)
+    may = [holds_any(low, PAY_WORDS), holds_any(text, PAY_SIGNS), text.rlike(r"\d")]
     fragment = F.coalesce(
-        *[F.nullif(F.regexp_extract(text, pattern(p), 0), F.lit("")) for p in PAY]
+        *[
+            F.when(sign, F.nullif(F.regexp_extract(text, pattern(p), 0), F.lit("")))
+            for sign, p in zip(may, PAY)
+        ]
     )
     return let(fragment, parse_salary)
 

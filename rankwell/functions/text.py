@@ -15,17 +15,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACES = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACE_CHARACTERS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 _BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 _PIECES = re.compile(r"\\.|\[\^?|\]|.", re.S)
 
 
 @cache
 def pattern(regex: str, ignore_case: bool = True) -> str:
-    """Java regex with ASCII word boundaries and Unicode-aware spaces."""
+    """Java regex with ASCII word boundaries and Unicode-aware spaces.
+
+    A boundary before a letter or a group needs only a look behind, one at the end of the pattern
+    or of an alternative only a look ahead; patterns keep word characters on that side.
+    """
     out, inside = [], False
-    for piece in _PIECES.findall(regex):
+    pieces = _PIECES.findall(regex)
+    for piece, after in zip(pieces, [*pieces[1:], ""]):
         if piece == r"\b" and not inside:
-            piece = _BOUNDARY
+            if after == "(" or after.isalnum():
+                piece = r"(?<!\w)"
+            elif after in ("", "|", ")"):
+                piece = r"(?!\w)"
+            else:
+                piece = _BOUNDARY
         elif piece == r"\s":
             piece = SPACES if inside else f"[{SPACES}]"
         elif piece in ("[", "[^") and not inside:
@@ -47,7 +60,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trimmed(col: Column) -> Column:
     """Strip every kind of white space at both ends, not only blanks."""
-    return F.regexp_replace(col, f"^[{SPACES}]+|[{SPACES}]+$", "")
+    return F.btrim(col, F.lit(SPACE_CHARACTERS))
 
 
 def is_blank(col: Column) -> Column:
@@ -59,10 +72,28 @@ def one_of(col: Column, values: list[str]) -> Column:
     return F.when(col.isin(values), col)
 
 
+def holds_any(low: Column, words: list[str]) -> Column:
+    """Plain substring test for any of the words in lower-case text."""
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+
+
+def has_word(col: Column, low: Column, regex: str) -> Column:
+    """``has`` for patterns such as ``\\b(one|two words)\\b``, behind a plain search.
+
+    The literal start of each alternative is looked for first; the pattern itself only runs
+    where one of them occurs.
+    """
+    body = re.fullmatch(r"\\b\(?(.*?)\)?\\b", regex)
+    starts = [re.match(r"[\w ]*", part).group() for part in body.group(1).split("|")] if body else []
+    found = has(col, regex)
+    return holds_any(low, starts) & found if starts and all(starts) else found
+
+
 def first_match(col: Column, rules: list[tuple[str, str]]) -> Column:
     """Label of the first (label, pattern) rule that matches; null when none does."""
+    low = F.lower(col)
     return reduce(
-        lambda acc, rule: F.when(has(col, rule[1]), F.lit(rule[0])).otherwise(acc),
+        lambda acc, rule: F.when(has_word(col, low, rule[1]), F.lit(rule[0])).otherwise(acc),
         reversed(rules),
         F.lit(None).cast("string"),
     )

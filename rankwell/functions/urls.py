@@ -189,6 +189,14 @@ def check_url(url: Column) -> Column:
     )
 
 
+def is_url(url: Column) -> Column:
+    """Whether a text reads as an absolute URL; web schemes need a host."""
+    return url.rlike(
+        r"(?i)^(?:(?:https?|wss?|ftp):[/\\]*[^\s/\\?#]+.*"
+        r"|(?!(?:https?|wss?|ftp):)[a-z][a-z0-9+.-]*:.*)$"
+    )
+
+
 def is_safe_url(url: Column) -> Column:
     return check_url(url)["ok"]
 

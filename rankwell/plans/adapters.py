@@ -154,10 +154,10 @@ from {customer}
 """,
     # Local digest hour and time zone per customer.
     "slot_users": """
-select c_custkey as user_id, cast(c_custkey % 24 as int) as send_hour,
+select c_custkey as user_id, cast(8 + c_custkey % 12 as int) as send_hour,
   case c_nationkey % 4 when 0 then 'Asia/Kolkata' when 1 then 'America/New_York'
     when 2 then 'Europe/Berlin' end as time_zone
-from {customer} where c_custkey % 24 <> 2 or c_nationkey % 4 <> 1
+from {customer}
 """,
     # Ingest runs: one per source and day, errors are failed records.
     "run_log": """

@@ -394,15 +394,12 @@ def feed_total(t):
 
 
 @query("""
-select f.user_id, f.job_id from {feed_all} f join (select c_nationkey * 5 as n,
-    cast(max(c_custkey) as double) as m from {customer} group by 1) v on v.n = f.user_id
-where f.first_seen_at > timestamp '1995-03-01'
-union all
-select f.user_id, f.job_id from {feed_all} f where f.user_id % 5 <> 0
+select f.user_id, f.job_id from {feed_all} f join {cohorts} c on c.user_id = f.user_id
+where c.seniority <> 'senior' or f.first_seen_at > timestamp '1995-03-01'
 """)
 def new_since(t):
     """Rows first seen after the last visit; cohorts without a known visit see all."""
-    visits = t.cohorts.where(F.col("user_id") % 5 == 0).select(
+    visits = t.cohorts.where(F.col("seniority") == "senior").select(
         "user_id", F.lit("1995-03-01").cast("timestamp").alias("last_seen_feed_at")
     )
     return feed.only_new(feed.feed_rows(view_of(t)), visits).select("user_id", "job_id")

@@ -161,7 +161,7 @@ def exclude_acted(t):
 
 CHECKS["applied"] = """
 select a.user_id, a.job_id, a.acted_at as applied_at, a.event_id, j.title, j.company_name, j.salary_min,
-  j.salary_currency, j.part_key
+  j.salary_currency
 from (select *, row_number() over (partition by user_id, job_id order by acted_at, event_id) as n
   from {job_actions} where event = 'apply') a join {jobs} j on j.job_id = a.job_id where a.n = 1
 """
@@ -189,12 +189,12 @@ def apply_snapshot(t):
 
 
 @query("""
-select user_id, job_id, part_key % 2 = 0 as job_live, title, company_name as company,
+select user_id, job_id, salary_min >= 30000 as job_live, title, company_name as company,
   salary_currency as currency from {applied}
 """)
 def tracker_cards(t):
-    """Cards where the odd parts are gone from the catalogue: their snapshot carries the card."""
-    live = jobs_of(t).where(F.col("part_key") % 2 == 0)
+    """Cards where the cheaper records are gone from the catalogue: their snapshot carries the card."""
+    live = jobs_of(t).where(F.col("salary_min") >= 30000)
     return tracker.cards(applications_of(t), live).select(
         "user_id", "job_id", "job_live", "title", "company",
         F.coalesce(
@@ -204,12 +204,12 @@ def tracker_cards(t):
 
 
 @query("""
-select user_id, request_id, case when part_key % 2 = 0 then job_id end as job_id
-from (select user_id, event_id as request_id, part_key, job_id from {applied})
+select user_id, request_id, case when salary_min >= 30000 then job_id end as job_id
+from (select user_id, event_id as request_id, salary_min, job_id from {applied})
 """)
 def deleted_jobs(t):
     """Applications of deleted records stay, without their record id."""
-    live = jobs_of(t).where(F.col("part_key") % 2 == 0)
+    live = jobs_of(t).where(F.col("salary_min") >= 30000)
     return merges.clear_missing(applications_of(t), "job_id", live, "job_id").select(
         "user_id", "request_id", "job_id"
     )
@@ -390,7 +390,7 @@ select s_suppkey as user_id, case when s_suppkey % 4 = 0 then s_suppkey::varchar
     || '@no-email.invalid' else lower(s_name) || '@example.com' end as email,
   case when s_suppkey % 3 = 0 then null else s_name end as full_name
 from {supplier} where s_suppkey not in (select c_custkey from {customer} where c_acctbal > 0)
-  and (s_suppkey % 4 = 0 or s_suppkey % 10 <> 1)
+  and (s_suppkey % 4 = 0 or s_acctbal >= 1000)
 """)
 def new_accounts(t):
     """Suppliers become accounts unless their id or e-mail is taken."""
@@ -401,7 +401,7 @@ def new_accounts(t):
         F.col("s_suppkey").alias("user_id"), email.alias("email"),
         F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.col("s_name")).alias("full_name"),
     )
-    taken = t.supplier.where(F.col("s_suppkey") % 10 == 1).select(
+    taken = t.supplier.where(F.col("s_acctbal") < 1000).select(
         (-F.col("s_suppkey") - 1).alias("user_id"),
         F.concat(F.lower("s_name"), F.lit("@example.com")).alias("email"),
     )
