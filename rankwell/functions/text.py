@@ -145,10 +145,12 @@ def _fold_tables() -> tuple[str, str, str]:
 def fold_accents(col: Column) -> Column:
     """``Café`` to ``Cafe`` inside the JVM, by one translate table.
 
-    Letters whose compatibility form has several characters (ligatures) stay as they are.
+    Letters whose compatibility form has several characters (ligatures) stay as they are. Text
+    with one byte per character has nothing to fold.
     """
     source, target, marks = _fold_tables()
-    return F.translate(col, source + marks, target)
+    plain = F.octet_length(col) == F.char_length(col)
+    return F.when(plain, col).otherwise(F.translate(col, source + marks, target))
 
 
 # --- lists -------------------------------------------------------------------------------------

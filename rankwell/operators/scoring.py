@@ -161,7 +161,16 @@ def prepare_jobs(
     top = F.array_max(F.transform("_asked", lambda s: s["weight"]))
     advertised = F.coalesce("salary_max", "salary_min").cast("double")
     vector = F.col("embedding") if "embedding" in jobs.columns else F.lit(None).cast("array<double>")
-    return ready.select(
+    asked = F.when(
+        top > 0,
+        F.transform(
+            "_asked",
+            lambda s: F.struct(
+                s["skill_id"].alias("skill_id"), clamp(s["weight"] / top, 0, 1).alias("share")
+            ),
+        ),
+    )
+    return ready.withColumn("asked", asked).select(
         "job_id",
         F.coalesce("work_mode", F.lit("unknown")).alias("work_mode"),
         F.coalesce("remote_scope", F.lit("unknown")).alias("remote_scope"),
@@ -172,15 +181,8 @@ def prepare_jobs(
         annual_amount(advertised, F.col("salary_period")).alias("annual"),
         company_candidates(F.col("company_name"), F.col("company_domain")).alias("companies"),
         "keyword_hits",
-        F.when(
-            top > 0,
-            F.transform(
-                "_asked",
-                lambda s: F.struct(
-                    s["skill_id"].alias("skill_id"), clamp(s["weight"] / top, 0, 1).alias("share")
-                ),
-            ),
-        ).alias("asked"),
+        "asked",
+        F.aggregate("asked", F.lit(0.0), lambda acc, x: acc + x["share"]).alias("asked_total"),
         vector.cast("array<double>").alias("embedding"),
         norm(vector).alias("norm"),
     )
@@ -234,10 +236,10 @@ def eligible_pairs(jobs: DataFrame, profiles: DataFrame, spread: int = 16) -> Da
     """All pairs that pass the work-mode and seniority gates, by an equi-join on both.
 
     A profile is repeated for each (mode, rank) class it accepts, a record belongs to one class.
-    When the profiles are few enough (counted first) they are broadcast and the records are not
-    shuffled at all. Otherwise both sides shuffle on the class, and since there are only forty
-    classes and one may hold a third of the records, each class is cut into ``spread`` parts by
-    a hash of the record.
+    When the profiles are few enough (counted first) they are broadcast. The records are then
+    spread evenly by their id, because each one fans out to many pairs. Otherwise both sides
+    shuffle on the class, and since there are only forty classes and one may hold a third of the
+    records, each class is cut into ``spread`` parts by a hash of the record.
     """
     modes = F.array(*[F.lit(m) for m in WORK_MODES])
     ranks = F.sequence(F.lit(-1), F.lit(len(SENIORITIES) - 1))
@@ -252,7 +254,8 @@ def eligible_pairs(jobs: DataFrame, profiles: DataFrame, spread: int = 16) -> Da
         "_rank", F.coalesce("rank", F.lit(-1))
     )
     if small_enough(wide):
-        pairs = keyed.join(F.broadcast(wide), ["_mode", "_rank"])
+        tasks = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = keyed.repartition(tasks, "job_id").join(F.broadcast(wide), ["_mode", "_rank"])
     else:
         slots = F.sequence(F.lit(0), F.lit(spread - 1))
         pairs = keyed.withColumn(
@@ -293,38 +296,34 @@ def gate_reasons() -> Column:
 # --- rule components ----------------------------------------------------------------------------------------
 
 
-def _sub(raw: Column, known: Column) -> Column:
-    """A sub-score, neutral where it cannot be judged."""
-    sure = F.coalesce(known & raw.isNotNull(), F.lit(False))
-    return F.struct(
-        F.when(sure, clamp(raw, 0, 1)).otherwise(NEUTRAL_RAW).alias("raw"), sure.alias("known")
-    )
+def _sub(raw: Column, known: Column) -> tuple[Column, Column]:
+    """Raw value and known flag of a sub-score, neutral where it cannot be judged."""
+    sure = _false(known & raw.isNotNull())
+    return F.when(sure, clamp(raw, 0, 1)).otherwise(NEUTRAL_RAW), sure
 
 
-def skills_part() -> Column:
+def skills_part() -> tuple[Column, Column]:
     earned = F.aggregate(
         "asked",
         F.lit(0.0),
         lambda acc, s: acc
         + s["share"] * F.coalesce(F.try_element_at("p_levels", s["skill_id"]), F.lit(0.0)),
     )
-    possible = F.aggregate("asked", F.lit(0.0), lambda acc, s: acc + s["share"])
-    return _sub(
-        F.when(possible > 0, earned / possible), (F.size("asked") > 0) & (F.size("p_levels") > 0)
-    )
+    raw = F.when(F.col("asked_total") > 0, earned / F.col("asked_total"))
+    return _sub(raw, F.size("p_levels") > 0)
 
 
-def seniority_part() -> Column:
+def seniority_part() -> tuple[Column, Column]:
     gap = F.abs(F.col("rank") - F.col("p_rank"))
     return _sub(1 - gap / F.lit(float(SENIORITY_SPAN)), gap.isNotNull())
 
 
-def compensation_part() -> Column:
+def compensation_part() -> tuple[Column, Column]:
     ratio = F.when(F.col("p_floor") > 0, F.col("annual") / F.col("p_floor"))
     return _sub(ratio, F.col("currency") == F.col("p_currency"))
 
 
-def place_part() -> Column:
+def place_part() -> tuple[Column, Column]:
     """Work mode and country as one component; known only when both halves are."""
     job_mode, scope = F.col("work_mode"), F.col("remote_scope")
     no_choice = F.size("p_modes") == 0
@@ -347,17 +346,16 @@ def place_part() -> Column:
         .otherwise(0.2)
     )
     known = ~no_choice & (job_mode != "unknown") & ~no_place
-    raw = clamp(mode * MODE_SHARE + place * LOCATION_SHARE, 0, 1)
-    return F.struct(raw.alias("raw"), known.alias("known"))
+    return clamp(mode * MODE_SHARE + place * LOCATION_SHARE, 0, 1), known
 
 
-def recency_part(now: Column) -> Column:
+def recency_part(now: Column) -> tuple[Column, Column]:
     age = (F.unix_micros(now) - F.unix_micros("posted_at")) / F.lit(86_400_000_000.0)
     raw = F.when(age < 0, 1.0).otherwise(1 - age / F.lit(float(RECENCY_HORIZON_DAYS)))
     return _sub(raw, F.col("posted_at").isNotNull())
 
 
-def company_part() -> Column:
+def company_part() -> tuple[Column, Column]:
     hit = F.when(F.arrays_overlap("companies", "p_preferred"), 1.0).otherwise(0.0)
     return _sub(hit, (F.size("p_preferred") > 0) & (F.size("companies") > 0))
 
@@ -369,51 +367,55 @@ def with_scores(pairs: DataFrame, now: str) -> DataFrame:
     """Adds gates, breakdown, rule score and final score to prepared pairs.
 
     ``now`` is an ISO timestamp. A gated pair keeps its rule and semantic score and gets the
-    final score 0.
+    final score 0. Every sub-score is a plain column, so a query that does not read the
+    breakdown does not build it.
     """
     clock = F.lit(now).cast("timestamp")
     parts = [
         skills_part(), seniority_part(), compensation_part(), place_part(),
         recency_part(clock), company_part(),
     ]
-    weighted = F.array(
+    judged, points = {}, {}
+    for (key, weight), (raw, known) in zip(RULE_WEIGHTS, parts):
+        judged[f"_raw {key}"], judged[f"_known {key}"] = raw, known
+        points[f"_points {key}"] = round2(F.col(f"_raw {key}") * float(weight))
+    total = sum((F.col(name) for name in points), F.lit(0.0))
+    breakdown = F.array(
         *[
             F.struct(
                 F.lit(key).alias("key"),
                 F.lit(float(weight)).alias("weight"),
-                part["raw"].alias("raw"),
-                part["known"].alias("known"),
+                round2(F.col(f"_raw {key}")).alias("raw"),
+                F.col(f"_points {key}").alias("points"),
+                F.col(f"_known {key}").alias("known"),
             )
-            for (key, weight), part in zip(RULE_WEIGHTS, parts)
+            for key, weight in RULE_WEIGHTS
         ]
     )
-    breakdown = F.transform(
-        "_parts",
-        lambda p: F.struct(
-            p["key"].alias("key"),
-            p["weight"].alias("weight"),
-            round2(p["raw"]).alias("raw"),
-            round2(p["raw"] * p["weight"]).alias("points"),
-            p["known"].alias("known"),
-        ),
-    )
-    total = round2(F.aggregate("breakdown", F.lit(0.0), lambda acc, b: acc + b["points"]))
-    rule, semantic = F.col("rule_score"), F.col("semantic_score")
-    blend = F.when(semantic.isNull(), rule).otherwise(
-        rule * (1 - SEMANTIC_BLEND) + clamp(semantic, 0, 100) * SEMANTIC_BLEND
+    semantic = cosine_percent(*[F.col(c) for c in ("embedding", "p_embedding", "norm", "p_norm")])
+    rule = F.col("rule_score")
+    blend = F.when(F.col("semantic_score").isNull(), rule).otherwise(
+        rule * (1 - SEMANTIC_BLEND) + clamp(F.col("semantic_score"), 0, 100) * SEMANTIC_BLEND
     )
+    fired = gate_columns()
+    passed = F.lit(True)
+    for code in GATE_CODES:
+        passed = passed & ~_false(fired[code])
     return (
-        pairs.withColumn("gate_reasons", gate_reasons())
-        .withColumn("semantic_score", cosine_percent(*[F.col(c) for c in ("embedding", "p_embedding", "norm", "p_norm")]))
-        .withColumn("_parts", weighted)
-        .withColumn("breakdown", breakdown)
-        .withColumn("rule_score", total)
-        .withColumn("gate_passed", F.size("gate_reasons") == 0)
+        pairs.withColumns({**judged, "gate_passed": passed, "semantic_score": semantic})
+        .withColumns(points)
+        .withColumn("rule_score", round2(total))
         .withColumn(
             "final_score", F.when(F.col("gate_passed"), round2(clamp(blend, 0, 100))).otherwise(0.0)
         )
-        .withColumn("model_version", F.lit(MODEL_VERSION))
-        .withColumn("scored_at", clock)
+        .withColumns(
+            {
+                "gate_reasons": gate_reasons(),
+                "breakdown": breakdown,
+                "model_version": F.lit(MODEL_VERSION),
+                "scored_at": clock,
+            }
+        )
         .select(*SCORE_COLUMNS)
     )
 

@@ -16,8 +16,12 @@ def _vectors(t: Inputs, key: str):
     return t.embeddings.select(F.col("vec_id").alias(key), "embedding")
 
 
+def stored_jobs(t: Inputs):
+    return t.stored("jobs", lambda: jobs_of(t))
+
+
 def scored_jobs(t: Inputs):
-    return jobs_of(t).join(_vectors(t, "part_key"), "part_key", "left")
+    return stored_jobs(t).join(_vectors(t, "part_key"), "part_key", "left")
 
 
 def ordered_pairs(t: Inputs):
@@ -47,17 +51,24 @@ def cohort_scores(t: Inputs):
 
 def job_actions(t: Inputs):
     """Log rows as actions on records: k names the part of the record."""
-    parts = jobs_of(t).select("job_id", F.col("part_key").alias("k"))
+    parts = stored_jobs(t).select("job_id", F.col("part_key").alias("k"))
     return t.actions.where(F.col("event").isNotNull()).join(parts, "k").select(
         "user_id", "job_id", "event", "acted_at", "event_id"
     )
 
 
 def view_of(t: Inputs):
-    jobs = jobs_of(t).drop("part_key")
+    jobs = stored_jobs(t).drop("part_key")
     return feed.ranked_view(jobs, cohort_scores(t), feed.action_flags(job_actions(t)))
 
 
+def feed_table(t: Inputs, *columns: str):
+    """Feed rows reduced to the columns a query reads several times."""
+    return t.stored(
+        "feed", lambda: feed.feed_rows(view_of(t)).select("user_id", "job_id", "final_score", *columns)
+    )
+
+
 # --- the same in plain SQL --------------------------------------------------------------------------
 
 CHECKS["job_side"] = """
@@ -309,7 +320,7 @@ from {cohorts} c left join {cohort_scores} s on s.user_id = c.user_id group by c
 def score_coverage(t):
     """Scored share of the corpus per cohort."""
     counts = cohort_scores(t).groupBy("user_id").agg(F.count(F.lit(1)).alias("scored"))
-    total = jobs_of(t).groupBy().agg(F.count(F.lit(1))).scalar()
+    total = stored_jobs(t).groupBy().agg(F.count(F.lit(1))).scalar()
     rows = t.cohorts.select("user_id").join(counts, "user_id", "left").select(
         "user_id", F.coalesce("scored", F.lit(0)).alias("scored"), total.alias("records")
     )
@@ -329,7 +340,7 @@ where position <= 20
 """)
 def ranked_feed(t):
     """First page of every cohort's feed with the exact total beside it."""
-    rows = feed.feed_rows(view_of(t))
+    rows = feed_table(t, "title", "company_name", "saved")
     page = feed.with_total(feed.page(rows, 20), rows)
     return page.select(
         "user_id", "job_id", "title", "company_name", "final_score", "saved",
@@ -366,7 +377,7 @@ select 'band', user_id, job_id, position from (select *, row_number() over (
 """)
 def feed_sorted(t):
     """First five rows of each feed by salary, and by band with the newest first."""
-    rows = feed.feed_rows(view_of(t))
+    rows = feed_table(t, "salary_max", "posted_at")
     pages = [
         feed.page(rows, 5, by).select(
             F.lit(by).alias("sorted_by"), "user_id", "job_id",
@@ -407,7 +418,7 @@ def new_since(t):
 
 @query("select user_id, job_id from {cohort_scores}")
 def recent_scored(t):
-    return feed.recently_scored(jobs_of(t), cohort_scores(t), "1995-06-01").select(
+    return feed.recently_scored(stored_jobs(t), cohort_scores(t), "1995-06-01").select(
         "user_id", "job_id"
     )
 
@@ -425,20 +436,21 @@ def score_order_page(t):
 @query("""
 select doc_id from (select doc_id, ' ' || trim(regexp_replace(lower(title || ' ' || source || ' '
   || text), '[^a-z0-9]+', ' ', 'g')) || ' ' as w from {postings})
-where (contains(w, ' senior ') and contains(w, ' the of ') and not contains(w, ' src1 '))
+where (contains(w, ' senior ') and contains(w, ' engineer london ') and not contains(w, ' src1 '))
   or contains(w, ' intern ')
 """)
 def feed_search(t):
     """Words, a phrase, an exclusion and an alternative over title, source and text."""
     return search.search_records(
-        t.postings, 'the senior "the of" -src1 or intern', ["title", "source", "text"]
+        t.postings, 'the senior "engineer london" -src1 or intern', ["title", "source", "text"]
     ).select("doc_id")
 
 
 @query("""
 select job_id,
-  case when salary_max is not null then salary_min::varchar || '–' || salary_max::varchar
-    else 'from ' || salary_min::varchar end as figures,
+  case when salary_max is not null then regexp_replace(salary_min::varchar, '\\.0$', '') || '–'
+      || regexp_replace(salary_max::varchar, '\\.0$', '')
+    else 'from ' || regexp_replace(salary_min::varchar, '\\.0$', '') end as figures,
   coalesce(upper(salary_currency), '') || case salary_period when 'year' then '/yr'
     when 'month' then '/mo' when 'hour' then '/hr' else '' end as unit,
   month(posted_at)::varchar || '/' || day(posted_at)::varchar || '/' || year(posted_at)::varchar

@@ -9,7 +9,7 @@ from rankwell.functions.text import ascii_norm
 from rankwell.operators import feed, reports, tracker
 from rankwell.plans.adapters import CHECKS, LOG_END
 from rankwell.plans.queries_ingest import jobs_of, stamp
-from rankwell.plans.queries_match import job_actions, view_of
+from rankwell.plans.queries_match import feed_table, job_actions, stored_jobs, view_of
 from rankwell.plans.queries_track import history_of, moves_of, runs_of
 from rankwell.plans.registry import query
 
@@ -59,7 +59,7 @@ where a.event = 'dismiss'
 def cluster_dismiss(t):
     """Dismissing a record dismisses all records of the same title and company."""
     key = F.concat_ws("|", ascii_norm(F.col("title")), "company_name")
-    clusters = jobs_of(t).select("job_id", key.alias("cluster_id"))
+    clusters = stored_jobs(t).select("job_id", key.alias("cluster_id"))
     return reports.dismiss_clusters(job_actions(t), clusters).select("user_id", "job_id")
 
 
@@ -194,7 +194,7 @@ from {searches} s left join (select * from (select search_id, job_id, final_scor
 """)
 def search_preview(t):
     """Count and best five matches of one saved search per customer, in the cohort's feed."""
-    rows = feed.feed_rows(view_of(t))
+    rows = feed_table(t, "work_mode", "country_code", "salary_max")
     return reports.search_previews(t.searches, rows).select(
         "search_id", "matches", "job_id", "final_score"
     )

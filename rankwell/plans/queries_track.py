@@ -9,8 +9,8 @@ from rankwell.functions.parse import seniority_rank
 from rankwell.operators import dedupe, health, merges, tracker
 from rankwell.operators.ordered import with_row_number
 from rankwell.plans.adapters import CHECKS
-from rankwell.plans.queries_ingest import TIE, hashed, jobs_of, stamp
-from rankwell.plans.queries_match import job_actions, ordered_pairs
+from rankwell.plans.queries_ingest import TIE, hashed, stamp
+from rankwell.plans.queries_match import given_scores, job_actions, ordered_pairs, stored_jobs
 from rankwell.plans.registry import Inputs, query
 
 TIME = "'%Y-%m-%d %H:%M:%S'"
@@ -172,7 +172,7 @@ def applications_of(t: Inputs):
         "user_id", "job_id", F.col("acted_at").alias("applied_at"), F.col("event_id").alias("request_id")
     )
     none = t.spark.createDataFrame([], "user_id bigint, job_id string")
-    return tracker.apply_once(none, requests, jobs_of(t))
+    return tracker.apply_once(none, requests, stored_jobs(t))
 
 
 @query("""
@@ -194,7 +194,7 @@ select user_id, job_id, salary_min >= 30000 as job_live, title, company_name as
 """)
 def tracker_cards(t):
     """Cards where the cheaper records are gone from the catalogue: their snapshot carries the card."""
-    live = jobs_of(t).where(F.col("salary_min") >= 30000)
+    live = stored_jobs(t).where(F.col("salary_min") >= 30000)
     return tracker.cards(applications_of(t), live).select(
         "user_id", "job_id", "job_live", "title", "company",
         F.coalesce(
@@ -209,7 +209,7 @@ from (select user_id, event_id as request_id, salary_min, job_id from {applied})
 """)
 def deleted_jobs(t):
     """Applications of deleted records stay, without their record id."""
-    live = jobs_of(t).where(F.col("salary_min") >= 30000)
+    live = stored_jobs(t).where(F.col("salary_min") >= 30000)
     return merges.clear_missing(applications_of(t), "job_id", live, "job_id").select(
         "user_id", "request_id", "job_id"
     )
@@ -223,9 +223,7 @@ left join {applied} p on p.user_id = a.user_id and p.job_id = a.job_id
 """)
 def job_detail(t):
     """Record, score and application for every (user, record) of the action log."""
-    from rankwell.plans.queries_match import given_scores
-
-    rows = tracker.job_detail(jobs_of(t), given_scores(t), applications_of(t), job_actions(t))
+    rows = tracker.job_detail(stored_jobs(t), given_scores(t), applications_of(t), job_actions(t))
     return rows.select(
         "user_id", "job_id", "title", "final_score",
         F.col("application_stage").isNotNull().alias("has_application"),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rankwell.plans.adapters import check_sql, view
+from rankwell.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,13 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._stored: dict[str, DataFrame] = {}
+
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several parts of one query read: written once, then read back."""
+        if name not in self._stored:
+            self._stored[name] = cut_lineage(build())
+        return self._stored[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, name)
