@@ -84,7 +84,8 @@ def has_word(col: Column, low: Column, regex: str) -> Column:
     where one of them occurs.
     """
     body = re.fullmatch(r"\\b\(?(.*?)\)?\\b", regex)
-    starts = [re.match(r"[\w ]*", part).group() for part in body.group(1).split("|")] if body else []
+    parts = body.group(1).lower().split("|") if body else []
+    starts = [re.match(r"[\w ]*", part).group() for part in parts]
     found = has(col, regex)
     return holds_any(low, starts) & found if starts and all(starts) else found
 

@@ -208,8 +208,22 @@ from {documents}
 _NAME = re.compile(r"\{([a-z_]\w*)\}")
 
 
+# Tables whose rows take long to work on: long texts, or many expressions per row.
+HEAVY = ("lineitem", "documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Uses all cores when the files give fewer splits than there are cores.
+
+    A table with enough splits, as any large one has, is left as it is and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -244,18 +244,18 @@ def stream_sightings(t):
 
 
 @query("""
-select k, count(*) as sighting_count, arg_min(event_id, (acted_at, event_id)) as event_id,
-  strftime(min(acted_at), '%Y-%m-%d %H:%M:%S') as first_seen_at from {actions} group by k
+select k, count(*) as sighting_count, strftime(min(acted_at), '%Y-%m-%d %H:%M:%S') as first_seen_at,
+  strftime(max(acted_at), '%Y-%m-%d %H:%M:%S') as last_seen_at from {actions} group by k
 """)
 def stream_first_seen(t):
-    """Batches merged into the record table; the payload of the first sighting stays."""
+    """Batches merged into the record table; the order in which they arrive does not matter."""
     out = fresh_dir(t.spark, "records")
     table = VersionedTable(t.spark, f"{out}/table")
     rows = event_stream(t).withColumn("dedupe_hash", F.col("k"))
-    merge = ingest.merge_sightings(table, "dedupe_hash", "acted_at", ["event_id"], ["event_id"])
+    merge = ingest.merge_sightings(table, "dedupe_hash", "acted_at", [], ["event_id"])
     ingest.start(rows, merge, f"{out}/checkpoint", "append").awaitTermination()
     return table.read().select(
-        F.col("dedupe_hash").alias("k"), "sighting_count", "event_id", stamp("first_seen_at")
+        F.col("dedupe_hash").alias("k"), "sighting_count", stamp("first_seen_at"), stamp("last_seen_at")
     )
 
 
