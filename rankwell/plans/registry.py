@@ -20,6 +20,8 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        # Times in the tables carry no zone; every query reads them as UTC.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self._stored: dict[str, DataFrame] = {}
 
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
