@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rankwell.plans.adapters import check_sql, view
-from rankwell.session import cut_lineage
+from rankwell.session import cut_lineage, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
         # Times in the tables carry no zone; every query reads them as UTC.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
         self._stored: dict[str, DataFrame] = {}
 
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
