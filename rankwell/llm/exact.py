@@ -16,12 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankwell.llm.common import cut_lineage, shuffle_parts, whole_text
-
-FILTER_BITS = 1 << 26  # bits of the scan filter: 8 MB broadcast whatever the corpus
+from rankwell.llm.common import bit_of, cut_lineage, may_hold, shuffle_parts, whole_text
 
 
 def golomb_encode(values: np.ndarray, shift: int) -> bytes:
@@ -117,13 +115,8 @@ def _answer(lists: pa.Table) -> pa.Table:
     return pa.table({"sender": lists["sender"], "owner": lists["owner"], "bitmap": pa.array(bitmaps, pa.binary())})
 
 
-def _bit(bitmap: Column, slot: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, (slot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, slot % 8) == 1
-
-
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", owners: int | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, print (64-bit hash).
 
     Equal means the same bytes; null counts as empty. Of equal texts the largest key stays. Rows
     repeated under one key count in ``group_size`` and share ``kept``; a null key loses to any other,
@@ -148,37 +141,25 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", owner
     marked = sent.where("coded is null").select("sender", "owner", "slot", "within", "doc_id", "sha", "fp")
     marked = cut_lineage(
         marked.join(answers, ["sender", "owner"], "left").select(
-            "doc_id", "sha", "fp", (F.col("within") | _bit(F.col("bitmap"), F.col("slot"))).alias("suspect")
+            "doc_id", "sha", "fp", (F.col("within") | bit_of(F.col("bitmap"), F.col("slot"))).alias("suspect")
         )
     )
-    place = F.pmod(F.col("fp"), F.lit(FILTER_BITS))
-    filter_rows = (
-        marked.where("suspect")
-        .select(place.alias("place"))
-        .groupBy(F.bitmap_bucket_number("place").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    )
-    # At most FILTER_BITS / 32,768 rows of 4 KB. A text that shares its bit with a suspect passes as
-    # well and forms a group of its own below.
-    place = F.pmod(F.xxhash64("text"), F.lit(FILTER_BITS))
-    suspects = (
-        rows.withColumn("place", place)
-        .join(F.broadcast(filter_rows), F.bitmap_bucket_number("place") == F.col("bucket"))
-        .where(_bit(F.col("bits"), F.bitmap_bit_position("place").cast("int")))
-    )
+    suspects = may_hold(rows.withColumn("fp", F.xxhash64("text")), marked.where("suspect"), "fp")
     groups = (
+        # What passes the bitmap by chance forms groups that no suspect looks up.
         suspects.groupBy("text")
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .select(F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
     )
     alone = marked.where(~F.col("suspect")).select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha"
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha", "fp"
     )
-    grouped = marked.where("suspect").join(groups, "sha").select("doc_id", "keep_id", "group_size", "sha")
+    grouped = marked.where("suspect").join(groups, "sha").select("doc_id", "keep_id", "group_size", "sha", "fp")
     return alone.unionByName(grouped).select(
         "doc_id",
         "keep_id",
         "group_size",
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        F.col("fp").alias("print"),
     )

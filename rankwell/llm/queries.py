@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwell.llm import bpe, counts, exact, tokens
+from rankwell.llm import bpe, counts, decontam, exact, jaccard, langid, tokens
 from rankwell.llm.common import read_table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +24,36 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return jaccard.similar_classes(read_table(spark, sf_dir, "documents")).drop("print", "kept")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and test item that it holds."""
+    found = decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.drop("print")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_of(read_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_groups(read_table(spark, sf_dir, "documents"))
+    return exact.exact_groups(read_table(spark, sf_dir, "documents")).drop("print")
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_token_files, op2_token_counts, op5_byte_bpe, op10_exact_dedup)
+    f.__name__: f
+    for f in (
+        op1_token_files,
+        op2_token_counts,
+        op5_byte_bpe,
+        op6_ngram_jaccard,
+        op8_decontamination,
+        op9_language_id,
+        op10_exact_dedup,
+    )
 }
 
 ORACLES: dict[str, str] = {
