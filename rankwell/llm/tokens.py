@@ -9,77 +9,129 @@ before a shard come from one total per shard.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tokenizers import Tokenizer, normalizers
+
 from rankwell.llm import simple8b
 from rankwell.llm.common import fresh_dir, shuffle_parts, tokenizer, whole_text
 
 PAGE = 1 << 20  # ids after which a page is closed
 CACHE = 1_000_000  # distinct chunks a Python worker remembers
-CACHE_CHARS = 48  # longer chunks are encoded anew each time
-
-_caches: dict[str, dict[str, bytes]] = {}
+AT_ONCE = 6_000_000  # bytes of text encoded together
 
-
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit integers.
+class ChunkIds:
+    """Ids of distinct chunks, learned as they are met; row 0 is the end of a document.
 
     The tokenizer drops white space and no piece of it reaches across, so a text is the sum of its
-    chunks between blanks; each distinct chunk is encoded by the tokenizers library once per worker.
+    chunks between blanks, and each distinct chunk is encoded by the tokenizers library once.
     """
-    known = _caches.setdefault(path, {})
-    if len(known) > CACHE:
-        known.clear()
-    chunks = [text.replace("\n", " ").split(" ") for text in texts]
-    missing = list({c for parts in chunks for c in parts if c not in known})
-    coded = tokenizer(path).encode_batch_fast(missing, add_special_tokens=False)
-    here = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(missing, coded)}
-    known.update((c, v) for c, v in here.items() if len(c) <= CACHE_CHARS)
-    if all(len(c) <= CACHE_CHARS for c in here):
-        return [b"".join([known[c] for c in parts]) for parts in chunks]
-    return [b"".join([known[c] if c in known else here[c] for c in parts]) for parts in chunks]
-
-
-def _pages(path: str, end_id: int, at_once: int = 512):
-    end = np.array([end_id], "<u4").tobytes()
-
-    def page(ids, docs, sizes, shard, number, first) -> pa.RecordBatch:
-        values = np.frombuffer(b"".join(ids), "<u4").astype(np.uint64)
+
+    def __init__(self, path: str, end_id: int):
+        self.whole = tokenizer(path)
+        # Lower-case ASCII is as the normaliser leaves it, so such chunks skip that step.
+        self.plain = Tokenizer.from_str(self.whole.to_str())
+        self.plain.normalizer = normalizers.Sequence([])
+        self.end_id = end_id
+        self.reset()
+
+    def reset(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.values, self.sizes = array("I", [self.end_id]), array("I", [1])
+
+    def learn(self, chunks: list[str]) -> np.ndarray:
+        """The rows of chunks that are not known yet."""
+        plain = np.array([c.isascii() and c == c.lower() for c in chunks])
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        chunks, first = [chunks[k] for k in order], len(self.sizes)
+        cut = int(plain.sum())
+        for coder, part in ((self.plain, chunks[:cut]), (self.whole, chunks[cut:])):
+            for start in range(0, len(part), 4096):  # the library's results are large
+                coded = coder.encode_batch_fast(part[start : start + 4096], add_special_tokens=False)
+                ids = [c.ids for c in coded]
+                self.sizes.extend(map(len, ids))
+                self.values.extend(chain.from_iterable(ids))
+        self.rows.update(zip(chunks, range(first, first + len(chunks))))
+        rows = np.empty(len(chunks), np.int64)
+        rows[order] = np.arange(first, first + len(chunks))
+        return rows
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id behind it, and how many each has."""
+        if len(self.rows) > CACHE:
+            self.reset()
+        texts = pc.replace_substring(texts, "\n", " ")
+        texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.values.dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        rows = np.array(list(map(self.rows.get, chunks, repeat(-1))), np.int64)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            rows[new] = self.learn([chunks[k] for k in new])
+        rows = rows[coded.indices.to_numpy()]
+        offsets = lists.offsets.to_numpy()
+        rows = np.insert(rows, offsets[1:], 0)  # the end of each document
+        offsets = offsets + np.arange(len(offsets))
+        sizes = np.frombuffer(self.sizes, np.uint32).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[rows]
+        ends = np.cumsum(each)
+        source = np.arange(ends[-1]) + np.repeat(starts[rows] - ends + each, each)
+        values = np.frombuffer(self.values, np.uint32)[source]
+        return values, np.add.reduceat(each, offsets[:-1])
+
+
+_tables: dict[tuple[str, int], ChunkIds] = {}
+
+
+def _pages(path: str, end_id: int):
+    def page(ids: list[np.ndarray], docs: list[pa.Array], sizes: list[np.ndarray], shard, number, first) -> pa.RecordBatch:
+        values = np.concatenate(ids).astype(np.uint64)
         words, offsets = simple8b.encode(values)
+        n = sum(map(len, sizes))
         return pa.RecordBatch.from_pydict(
             {
                 "shard": pa.array([shard], pa.int32()),
                 "page": pa.array([number], pa.int32()),
                 "first": pa.array([first], pa.int64()),
                 "n_ids": pa.array([len(values)], pa.int64()),
-                "doc_ids": pa.ListArray.from_arrays([0, len(sizes)], pa.concat_arrays(docs)),
-                "sizes": pa.array([sizes], pa.list_(pa.int64())),
+                "doc_ids": pa.ListArray.from_arrays([0, n], pa.concat_arrays(docs)),
+                "sizes": pa.array([np.concatenate(sizes)], pa.list_(pa.int64())),
                 "block_offsets": pa.array([offsets], pa.list_(pa.int64())),
                 "words": pa.array([words.astype("<u8").tobytes()], pa.binary()),
             }
         )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _tables.setdefault((path, end_id), ChunkIds(path, end_id))
         shard, number, first = TaskContext.get().partitionId(), 0, 0
         ids, docs, sizes, held = [], [], [], 0
         for batch in batches:
-            for start in range(0, batch.num_rows, at_once):
-                part = batch.slice(start, at_once)
-                for k, coded in enumerate(encode_texts(part.column(1).to_pylist(), path)):
-                    ids += [coded, end]
-                    docs.append(part.column(0).slice(k, 1))
-                    sizes.append(len(coded) // 4 + 1)
-                    held += sizes[-1]
-                    if held >= PAGE:
-                        yield page(ids, docs, sizes, shard, number, first)
-                        number, first = number + 1, first + held
-                        ids, docs, sizes, held = [], [], [], 0
+            lengths = pc.binary_length(batch.column(1)).to_numpy()
+            start = 0
+            while start < batch.num_rows:
+                reach = np.searchsorted(np.cumsum(lengths[start:]), AT_ONCE, side="right")
+                part = batch.slice(start, max(1, int(reach)))
+                start += part.num_rows
+                values, counts = table.encode(part.column(1))
+                ids.append(values)
+                docs.append(part.column(0))
+                sizes.append(counts)
+                held += len(values)
+                if held >= PAGE:
+                    yield page(ids, docs, sizes, shard, number, first)
+                    number, first = number + 1, first + held
+                    ids, docs, sizes, held = [], [], [], 0
         if sizes:
             yield page(ids, docs, sizes, shard, number, first)
 
