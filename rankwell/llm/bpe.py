@@ -17,17 +17,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.llm.common import common_rows, cut_lineage, shuffle_parts, whole_text
-from rankwell.llm.pieces import piece_counts, split_pieces
+from rankwell.llm.pieces import chunk_texts, gather, piece_counts, slices, split_pieces
 
-COMMON = 800_000  # words whose ids go to every task
-COMMON_BYTES = 48  # longer words are encoded with their documents; bounds the table at 40 MB of words
+COMMON = 1_500_000  # words whose ids go to every task
+COMMON_BYTES = 32  # longer words are encoded with their documents; bounds the table at 48 MB of words
 FOLD_BYTES = 128  # the fold is quadratic in the word, so longer words take the heap below
-GROUP_CHARS = 4_000_000  # characters of documents whose words are encoded together
-SLOTS = 8192  # cells of the literal rank table
+GROUP_BYTES = 6_000_000  # of documents whose words are encoded together
+SLOTS = 1 << 15  # cells of the literal rank table
 NO_RANK = (1 << 31) - 1
 
 
@@ -51,7 +52,16 @@ def rank_table(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(cells)), "array<map<string,int>>")
 
 
-def fold_merges(word: Column, table: Column) -> Column:
+def fold_merges(words: Column, ranks: Column) -> Column:
+    """Ids of each of an array of words as array<array<int>>; the empty word has none."""
+
+    def fold(table: Column) -> Column:
+        return F.transform(words, lambda w: F.when(w != "", _fold_word(w, table)).otherwise(F.array().cast("array<int>")))
+
+    return _let(ranks, fold)
+
+
+def _fold_word(word: Column, table: Column) -> Column:
     """Ids of one word (string) as array<int>: ranked merges over its bytes."""
 
     def rank(piece: Column) -> Column:
@@ -152,9 +162,9 @@ def _numbered(known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     """
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value.numbers()
+        table = known.value
         base = len(table)
-        keys, seqs, words, chars = [], [], {}, 0
+        keys, seqs, words, held = [], [], {}, 0
 
         def group() -> pa.RecordBatch:
             listed = list(words)
@@ -168,58 +178,50 @@ def _numbered(known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             )
 
         for batch in batches:
-            for k in range(batch.num_rows):
-                text = batch.column(1)[k].as_py()
-                pieces = split_pieces(text)
-                found = [table.get(p, -1) for p in pieces]
-                seq = np.array(found, "<i4")
-                for place in np.flatnonzero(seq < 0):
-                    seq[place] = base + words.setdefault(pieces[place], len(words))
-                keys.append(batch.column(0).slice(k, 1))
-                seqs.append(seq.tobytes())
-                chars += len(text)
-                if chars >= GROUP_CHARS:
+            for part in slices(batch, "text", GROUP_BYTES):
+                chunks, places, firsts = chunk_texts(part.column("text"))
+                flat, sizes = [], []
+                for chunk in chunks:
+                    pieces = split_pieces(chunk)
+                    flat += pieces
+                    sizes.append(len(pieces))
+                sizes = np.array(sizes, np.int64)
+                numbers = _rows_of(flat, table)
+                for k in np.flatnonzero(numbers < 0).tolist():
+                    numbers[k] = base + words.setdefault(flat[k], len(words))
+                sizes, starts = sizes[places], (np.cumsum(sizes) - sizes)[places]
+                seq = gather(numbers, starts, sizes)
+                ends = np.cumsum(np.add.reduceat(sizes, firsts)).tolist()
+                keys.append(part.column(0))
+                seqs += [seq[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+                held += part.column("text").nbytes
+                if held >= GROUP_BYTES:
                     yield group()
-                    keys, seqs, words, chars = [], [], {}, 0
+                    keys, seqs, words, held = [], [], {}, 0
         if seqs:
             yield group()
+        keys, seqs, words = [], [], {}
+        give_back()
 
     return number
 
 
-class CommonWords:
-    """Words and their ids as flat arrays; the dictionary is built once per Python worker."""
-
-    def __init__(self, words: pa.Array, ids: pa.ListArray):
-        self.words = words
-        self.values = ids.values.to_numpy().astype("<u4")
-        self.offsets = ids.offsets.to_numpy().astype(np.int64)
-        self._numbers: dict[str, int] | None = None
-
-    def numbers(self) -> dict[str, int]:
-        if self._numbers is None:
-            self._numbers = {w: k for k, w in enumerate(self.words.to_pylist())}
-        return self._numbers
-
-
-def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The stretches values[start : start + size], end to end."""
-    ends = np.cumsum(sizes)
-    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
+def _rows_of(words: list[str], table: pa.Array) -> np.ndarray:
+    """The row of each word in ``table``, -1 where there is none."""
+    found = pc.index_in(pa.array(words, pa.string()), value_set=table)
+    return pc.fill_null(found, -1).to_numpy().astype("<i4")
 
 
 def _finished(known, ranks_path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Ids of every document from its word numbers, and the bytes that the ids stand for."""
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, ranks = known.value, load_ranks(ranks_path)
+        (common_values, common_starts, common_sizes), ranks = known.value, load_ranks(ranks_path)
         pieces = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece
         sizes_of = np.array([len(p) for p in pieces])
         starts_of, bytes_of = np.cumsum(sizes_of) - sizes_of, np.frombuffer(b"".join(pieces), np.uint8)
-        base = len(table.words)
-        common_sizes = np.diff(table.offsets)
         for batch in batches:
             for k in range(batch.num_rows):
                 folded = batch.column("ids")[k].values
@@ -232,16 +234,16 @@ def _finished(known, ranks_path: str) -> Callable[[Iterator[pa.RecordBatch]], It
                     own_sizes[at] = [len(x) for x in extra]
                     own_starts[at] = len(own_values) + np.cumsum(own_sizes[at]) - own_sizes[at]
                     own_values = np.concatenate([own_values, *extra])
-                starts = np.concatenate([table.offsets[:base], own_starts + len(table.values)])
+                starts = np.concatenate([common_starts, own_starts + len(common_values)])
                 sizes = np.concatenate([common_sizes, own_sizes])
-                values = np.concatenate([table.values, own_values])
+                values = np.concatenate([common_values, own_values])
                 counts, hashes, back = [], [], []
                 for seq in batch.column("seqs")[k].as_py():
                     numbers = np.frombuffer(seq, "<i4")
-                    ids = _gather(values, starts[numbers], sizes[numbers]).astype("<u4")
+                    ids = gather(values, starts[numbers], sizes[numbers]).astype("<u4")
                     counts.append(len(ids))
                     hashes.append(hashlib.sha256(ids).hexdigest())
-                    back.append(hashlib.sha256(_gather(bytes_of, starts_of[ids], sizes_of[ids])).hexdigest())
+                    back.append(hashlib.sha256(gather(bytes_of, starts_of[ids], sizes_of[ids])).hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_ids")[k].values,
@@ -251,6 +253,7 @@ def _finished(known, ranks_path: str) -> Callable[[Iterator[pa.RecordBatch]], It
                     ],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        give_back()
 
     return finish
 
@@ -270,18 +273,20 @@ def encode_decode(
     frequent = common_rows(counted.where(F.octet_length("piece") <= COMMON_BYTES), common)
     # Spread before the fold: the rows are few in bytes, so adaptive plans would put them in few tasks.
     spread = frequent.select("piece").repartition(2 * shuffle_parts(spark), "piece")
-    held = spread.select("piece", fold_merges(F.col("piece"), table).alias("ids")).toArrow()
+    held = spread.select("piece", F.get(fold_merges(F.array("piece"), table), F.lit(0)).alias("ids")).toArrow()
     held = held.combine_chunks()
     words = held["piece"].combine_chunks() if held.num_rows else pa.array([], pa.string())
     lists = held["ids"].combine_chunks() if held.num_rows else pa.array([], pa.list_(pa.int32()))
-    known = spark.sparkContext.broadcast(CommonWords(words, lists))
+    # Words go to the tasks that number them, their ids to those that put the ids together.
+    listed = spark.sparkContext.broadcast(words)
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    coded = spark.sparkContext.broadcast((lists.values.to_numpy().astype("<u4"), offsets[:-1], np.diff(offsets)))
 
     rows = docs.select(F.col(key).alias("doc_id"), whole_text(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     grouped = rows.mapInArrow(
-        _numbered(known), f"doc_ids array<{kind}>, seqs array<binary>, words array<string>, long array<string>"
+        _numbered(listed), f"doc_ids array<{kind}>, seqs array<binary>, words array<string>, long array<string>"
     )
-    ids = F.transform("words", lambda w: F.when(w != "", fold_merges(w, table)).otherwise(F.array().cast("array<int>")))
-    return grouped.select("doc_ids", "seqs", "long", ids.alias("ids")).mapInArrow(
-        _finished(known, path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return grouped.select("doc_ids", "seqs", "long", fold_merges(F.col("words"), table).alias("ids")).mapInArrow(
+        _finished(coded, path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

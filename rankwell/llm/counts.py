@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.llm.common import common_rows, cut_lineage, tokenizer, whole_text
-from rankwell.llm.pieces import piece_counts, split_pieces
+from rankwell.llm.pieces import chunk_texts, piece_counts, slices, split_pieces
 
 COMMON = 400_000  # pre-tokens sent to every task
 COMMON_BYTES = 64  # longer ones are always joined: 400,000 x 64 bytes bound the broadcast
@@ -73,31 +74,42 @@ def token_counts(
     def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = known.value.get
         for batch in batches:
-            sums, offsets, pieces, times = [], [0], [], []
-            for value in batch.column("text"):
-                total = 0
-                for piece, n in Counter(split(value.as_py())).items():
-                    tokens = find(piece)
-                    if tokens is None:
-                        pieces.append(piece)
-                        times.append(n)
-                    else:
-                        total += n * tokens
-                sums.append(total)
-                offsets.append(len(pieces))
-            rare = pa.StructArray.from_arrays(
-                [pa.array(pieces, pa.string()), pa.array(times, pa.int64())], names=["piece", "times"]
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("print"),
-                    batch.column("n_bytes"),
-                    pa.array(sums, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rare),
-                ],
-                names=["doc_id", "print", "n_bytes", "tokens", "rare"],
-            )
+            for part in slices(batch, "text"):
+                chunks, places, firsts = chunk_texts(part.column("text"))
+                sums, unknown = np.zeros(len(chunks), np.int64), {}
+                for k, chunk in enumerate(chunks):
+                    for piece in split(chunk):
+                        tokens = find(piece)
+                        if tokens is None:
+                            unknown.setdefault(k, []).append(piece)
+                        else:
+                            sums[k] += tokens
+                # Frequencies of the pre-tokens left, per document.
+                has = np.zeros(len(chunks), bool)
+                has[list(unknown)] = True
+                left = np.flatnonzero(has[places])
+                owners = np.searchsorted(firsts, left, side="right") - 1
+                rare = [Counter() for _ in range(part.num_rows)]
+                for owner, chunk in zip(owners.tolist(), places[left].tolist()):
+                    rare[owner].update(unknown[chunk])
+                pairs = pa.StructArray.from_arrays(
+                    [
+                        pa.array([p for c in rare for p in c], pa.string()),
+                        pa.array([n for c in rare for n in c.values()], pa.int64()),
+                    ],
+                    names=["piece", "times"],
+                )
+                offsets = np.append(0, np.cumsum([len(c) for c in rare]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        part.column("print"),
+                        part.column("n_bytes"),
+                        pa.array(np.add.reduceat(sums[places], firsts), pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs),
+                    ],
+                    names=["doc_id", "print", "n_bytes", "tokens", "rare"],
+                )
 
     rows = docs.select(F.col(key).alias("doc_id"), whole_text(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -1,4 +1,8 @@
-"""Pre-tokens of byte-level BPE and their counts over a corpus."""
+"""Pre-tokens of byte-level BPE and their counts over a corpus.
+
+A blank that follows no other white space starts a new pre-token, so texts are cut there first. The
+cuts of many texts hold few distinct chunks, and only these are matched against the pattern.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +10,21 @@ import functools
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankwell.llm.common import whole_text
+from rankwell.llm.common import give_back, whole_text
+
+FLUSH = 300_000  # distinct pre-tokens a task holds before it hands them on
+AT_ONCE = 4_000_000  # bytes of text cut together
 
-FLUSH = 400_000  # distinct pre-tokens a task holds before it hands them on
+_CUT = "\x1f"
+_UNCUT = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}] |\x{1f}"  # texts that are matched whole
 
 
 @functools.cache
@@ -27,6 +37,41 @@ def split_pieces(text: str) -> list[str]:
     return _matcher(public_tokenizers.PATTERN).findall(text)
 
 
+def slices(batch: pa.RecordBatch, column: str, at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``at_once`` bytes of text each, one row at least."""
+    reach = np.cumsum(pc.binary_length(batch.column(column)).to_numpy().astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = reach[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(reach, before + at_once, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def chunk_texts(texts: pa.StringArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct chunks, chunk of each place, first place of each text).
+
+    The chunks of a text are the text, every text has one at least, and no pre-token crosses a cut.
+    """
+    plain = pc.invert(pc.match_substring_regex(texts, _UNCUT))
+    cut = pc.split_pattern(pc.replace_substring(pc.if_else(plain, texts, ""), " ", _CUT + " "), _CUT)
+    if pc.all(plain).as_py() is False:
+        # Texts with other white space before a blank, or with the mark itself, are one chunk each.
+        sizes = np.ones(len(texts), np.int32)
+        whole = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), texts)
+        cut = pc.if_else(plain, cut, whole)
+    lists = cut
+    coded = lists.flatten().dictionary_encode()
+    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), offsets[:-1]
+
+
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches values[start : start + size], end to end."""
+    ends = np.cumsum(sizes)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
+
+
 def piece_counts(docs: DataFrame, split: Callable[[str], list[str]], text: str = "text") -> DataFrame:
     """(piece, n) over all documents: counted inside each task first, then summed by piece."""
 
@@ -40,13 +85,18 @@ def piece_counts(docs: DataFrame, split: Callable[[str], list[str]], text: str =
             )
 
         for batch in batches:
-            for value in batch.column(0):
-                held.update(split(value.as_py()))
+            for part in slices(batch, "text"):
+                chunks, places, _ = chunk_texts(part.column("text"))
+                for chunk, n in zip(chunks, np.bincount(places, minlength=len(chunks)).tolist()):
+                    for piece in split(chunk):
+                        held[piece] += n
                 if len(held) >= FLUSH:
                     yield rows()
                     held.clear()
         if held:
             yield rows()
+        held.clear()
+        give_back()
 
     counted = docs.select(whole_text(text).alias("text")).mapInArrow(count, "piece string, n long")
     return counted.groupBy("piece").agg(F.sum("n").alias("n"))
