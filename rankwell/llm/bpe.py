@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankwell.llm.common import common_rows, cut_lineage, shuffle_parts, whole_text
+from rankwell.llm.common import common_rows, cut_lineage, give_back, shuffle_parts, whole_text
 from rankwell.llm.pieces import chunk_texts, gather, piece_counts, slices, split_pieces
 
 COMMON = 1_500_000  # words whose ids go to every task

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwell.llm import bpe, counts, decontam, exact, jaccard, langid, tokens
+from rankwell.llm import bpe, counts, decontam, exact, html_crf, jaccard, langid, licences, tokens, weak_quality
 from rankwell.llm.common import read_table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,15 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak-label posterior, score and decision of every document."""
+    return weak_quality.quality(read_table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
@@ -29,6 +38,11 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_classes(read_table(spark, sf_dir, "documents")).drop("print", "kept")
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and licence that it states."""
+    return licences.licences_of(read_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and test item that it holds."""
     found = decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -48,8 +62,11 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_token_files,
         op2_token_counts,
+        op3_html_text,
+        op4_quality,
         op5_byte_bpe,
         op6_ngram_jaccard,
+        op7_licences,
         op8_decontamination,
         op9_language_id,
         op10_exact_dedup,
