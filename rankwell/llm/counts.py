@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.llm.common import common_rows, cut_lineage, tokenizer, whole_text
-from rankwell.llm.pieces import chunk_texts, piece_counts, slices, split_pieces
+from rankwell.llm.pieces import chunk_texts, piece_counts, slices, split_chunk, split_pieces
 
 COMMON = 400_000  # pre-tokens sent to every task
 COMMON_BYTES = 64  # longer ones are always joined: 400,000 x 64 bytes bound the broadcast
@@ -35,7 +35,7 @@ def _splitter(special: tuple[str, ...]):
                         cut += [mark, between] if k else [between]
                 parts = cut
         if len(parts) == 1:
-            return split_pieces(text)
+            return split_chunk(text)
         return [p for part in parts for p in ([part] if part in special else split_pieces(part))]
 
     return split

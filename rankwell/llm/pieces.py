@@ -37,6 +37,19 @@ def split_pieces(text: str) -> list[str]:
     return _matcher(public_tokenizers.PATTERN).findall(text)
 
 
+_MARKS = frozenset(".,;:!?")
+
+
+def split_chunk(chunk: str) -> list[str]:
+    """``split_pieces``, without the pattern for a blank with letters, and perhaps one mark, behind it."""
+    if chunk[:1] == " ":
+        if chunk[1:].isalpha():
+            return [chunk]
+        if chunk[-1] in _MARKS and chunk[1:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+    return split_pieces(chunk)
+
+
 def slices(batch: pa.RecordBatch, column: str, at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``at_once`` bytes of text each, one row at least."""
     reach = np.cumsum(pc.binary_length(batch.column(column)).to_numpy().astype(np.int64))
