@@ -18,16 +18,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankwell.llm.common import common_rows, cut_lineage, give_back, shuffle_parts, whole_text
-from rankwell.llm.pieces import chunk_texts, gather, piece_counts, slices, split_pieces
+from rankwell.llm.common import common_rows, cut_lineage, fresh_dir, give_back, shuffle_parts, whole_text
+from rankwell.llm.pieces import chunk_texts, gather, piece_counts, slices, split_chunk
 
 COMMON = 1_500_000  # words whose ids go to every task
 COMMON_BYTES = 32  # longer words are encoded with their documents; bounds the table at 48 MB of words
 FOLD_BYTES = 128  # the fold is quadratic in the word, so longer words take the heap below
-GROUP_BYTES = 6_000_000  # of documents whose words are encoded together
+GROUP_BYTES = 5_000_000  # of documents whose words are encoded together
 SLOTS = 1 << 15  # cells of the literal rank table
 NO_RANK = (1 << 31) - 1
 
@@ -162,7 +163,7 @@ def _numbered(known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     """
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
+        hashes, table = known.value
         base = len(table)
         keys, seqs, words, held = [], [], {}, 0
 
@@ -182,11 +183,11 @@ def _numbered(known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 chunks, places, firsts = chunk_texts(part.column("text"))
                 flat, sizes = [], []
                 for chunk in chunks:
-                    pieces = split_pieces(chunk)
+                    pieces = split_chunk(chunk)
                     flat += pieces
                     sizes.append(len(pieces))
                 sizes = np.array(sizes, np.int64)
-                numbers = _rows_of(flat, table)
+                numbers = _rows_of(flat, hashes, table)
                 for k in np.flatnonzero(numbers < 0).tolist():
                     numbers[k] = base + words.setdefault(flat[k], len(words))
                 sizes, starts = sizes[places], (np.cumsum(sizes) - sizes)[places]
@@ -206,10 +207,31 @@ def _numbered(known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return number
 
 
-def _rows_of(words: list[str], table: pa.Array) -> np.ndarray:
-    """The row of each word in ``table``, -1 where there is none."""
-    found = pc.index_in(pa.array(words, pa.string()), value_set=table)
-    return pc.fill_null(found, -1).to_numpy().astype("<i4")
+def _rows_of(words: list[str], hashes: np.ndarray, table: pa.Array) -> np.ndarray:
+    """The row of each word in ``table``, which is sorted by hash; -1 where there is none."""
+    if not len(table) or not words:
+        return np.full(len(words), -1, "<i4")
+    wanted = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64).view(np.int64)
+    rows = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+    near = np.flatnonzero(hashes[rows] == wanted)
+    same = pc.equal(table.take(pa.array(rows[near])), pa.array(words, pa.string()).take(pa.array(near)))
+    out = np.full(len(words), -1, "<i4")
+    near = near[same.to_numpy(zero_copy_only=False)]
+    out[near] = rows[near]
+    return out
+
+
+class _Joined:
+    """A fixed array with room behind it for what each group adds."""
+
+    def __init__(self, fixed: np.ndarray):
+        self.size, self.held = len(fixed), fixed.copy()
+
+    def with_end(self, more: np.ndarray) -> np.ndarray:
+        if self.size + len(more) > len(self.held):
+            self.held = np.concatenate([self.held[: self.size], more])
+        self.held[self.size : self.size + len(more)] = more
+        return self.held
 
 
 def _finished(known, ranks_path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -222,11 +244,12 @@ def _finished(known, ranks_path: str) -> Callable[[Iterator[pa.RecordBatch]], It
             pieces[rank] = piece
         sizes_of = np.array([len(p) for p in pieces])
         starts_of, bytes_of = np.cumsum(sizes_of) - sizes_of, np.frombuffer(b"".join(pieces), np.uint8)
+        all_values, all_starts, all_sizes = _Joined(common_values), _Joined(common_starts), _Joined(common_sizes)
         for batch in batches:
             for k in range(batch.num_rows):
                 folded = batch.column("ids")[k].values
                 own_values, own_sizes = folded.values.to_numpy().astype("<u4"), np.diff(folded.offsets.to_numpy())
-                own_starts = folded.offsets.to_numpy()[:-1].astype(np.int64)
+                own_starts = folded.offsets.to_numpy()[:-1]
                 if longs := batch.column("long")[k].as_py():
                     extra = [np.array(heap_merges(w.encode(), ranks), "<u4") for w in longs]
                     at = np.flatnonzero(own_sizes == 0)
@@ -234,13 +257,13 @@ def _finished(known, ranks_path: str) -> Callable[[Iterator[pa.RecordBatch]], It
                     own_sizes[at] = [len(x) for x in extra]
                     own_starts[at] = len(own_values) + np.cumsum(own_sizes[at]) - own_sizes[at]
                     own_values = np.concatenate([own_values, *extra])
-                starts = np.concatenate([common_starts, own_starts + len(common_values)])
-                sizes = np.concatenate([common_sizes, own_sizes])
-                values = np.concatenate([common_values, own_values])
+                starts = all_starts.with_end((own_starts + len(common_values)).astype(np.int32))
+                sizes = all_sizes.with_end(own_sizes.astype(np.int32))
+                values = all_values.with_end(own_values)
                 counts, hashes, back = [], [], []
                 for seq in batch.column("seqs")[k].as_py():
                     numbers = np.frombuffer(seq, "<i4")
-                    ids = gather(values, starts[numbers], sizes[numbers]).astype("<u4")
+                    ids = gather(values, starts[numbers].astype(np.int64), sizes[numbers]).astype("<u4")
                     counts.append(len(ids))
                     hashes.append(hashlib.sha256(ids).hexdigest())
                     back.append(hashlib.sha256(gather(bytes_of, starts_of[ids], sizes_of[ids])).hexdigest())
@@ -269,24 +292,32 @@ def encode_decode(
     """
     spark = docs.sparkSession
     table = rank_table(load_ranks(path))
-    counted = cut_lineage(piece_counts(docs, split_pieces, text))
+    counted = cut_lineage(piece_counts(docs, split_chunk, text))
     frequent = common_rows(counted.where(F.octet_length("piece") <= COMMON_BYTES), common)
-    # Spread before the fold: the rows are few in bytes, so adaptive plans would put them in few tasks.
-    spread = frequent.select("piece").repartition(2 * shuffle_parts(spark), "piece")
-    held = spread.select("piece", F.get(fold_merges(F.array("piece"), table), F.lit(0)).alias("ids")).toArrow()
-    held = held.combine_chunks()
-    words = held["piece"].combine_chunks() if held.num_rows else pa.array([], pa.string())
-    lists = held["ids"].combine_chunks() if held.num_rows else pa.array([], pa.list_(pa.int32()))
+    # In the order of their hashes, and spread before the fold: the rows are few in bytes, so adaptive
+    # plans would put them in few tasks.
+    spread = frequent.select("piece", F.xxhash64("piece").alias("hash"))
+    spread = spread.repartitionByRange(2 * shuffle_parts(spark), "hash").sortWithinPartitions("hash")
+    held = spread.select("hash", "piece", F.get(fold_merges(F.array("piece"), table), F.lit(0)).alias("ids")).toArrow()
+    lists = held["ids"]
     # Words go to the tasks that number them, their ids to those that put the ids together.
-    listed = spark.sparkContext.broadcast(words)
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    coded = spark.sparkContext.broadcast((lists.values.to_numpy().astype("<u4"), offsets[:-1], np.diff(offsets)))
+    listed = spark.sparkContext.broadcast((held["hash"].to_numpy(), held["piece"].combine_chunks()))
+    sizes = pc.list_value_length(lists).to_numpy().astype(np.int32)
+    starts = (np.cumsum(sizes) - sizes).astype(np.int32)
+    values = np.concatenate([np.zeros(0, "<u4"), *(c.flatten().to_numpy().astype("<u4") for c in lists.chunks)])
+    coded = spark.sparkContext.broadcast((values, starts, sizes))
+    del held, lists, values, starts, sizes
+    give_back()
 
     rows = docs.select(F.col(key).alias("doc_id"), whole_text(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     grouped = rows.mapInArrow(
         _numbered(listed), f"doc_ids array<{kind}>, seqs array<binary>, words array<string>, long array<string>"
     )
-    return grouped.select("doc_ids", "seqs", "long", fold_merges(F.col("words"), table).alias("ids")).mapInArrow(
+    # Written, so that a task runs one Python worker at a time and no lost executor repeats the fold.
+    folded = grouped.select("doc_ids", "seqs", "long", fold_merges(F.col("words"), table).alias("ids"))
+    step = fresh_dir(spark, "folded")
+    folded.write.option("compression", "zstd").parquet(step)
+    return spark.read.schema(folded.schema).parquet(step).mapInArrow(
         _finished(coded, path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

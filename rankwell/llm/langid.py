@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankwell.llm.common import give_back
+
 TRAIN_ROWS = 3_000  # labelled documents per language that the model is fitted on, whole texts
 CELLS = 1 << 16  # hashed trigrams
 SMOOTHING = 0.5
@@ -158,6 +160,8 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", text: str
     place = {name: k for k, name in enumerate(languages)}
     counts = np.full((CELLS, len(languages)), SMOOTHING)
     counts[held["cell"].to_numpy(), [place[x] for x in held["lang"].to_pylist()]] += held["n"].to_numpy()
+    del held
+    give_back()
     return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 

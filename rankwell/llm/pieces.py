@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from rankwell.llm.common import give_back, whole_text
 
-FLUSH = 300_000  # distinct pre-tokens a task holds before it hands them on
+FLUSH = 200_000  # distinct pre-tokens a task holds before it hands them on
 AT_ONCE = 4_000_000  # bytes of text cut together
 
 _CUT = "\x1f"
