@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankwell.llm.common import cut_lineage, whole_text
+from rankwell.llm.common import cut_lineage, give_back, whole_text
 
 UNIT = 64  # words of an item that are indexed together
 STRIDE = 64  # a passage is two strides, so any 64 words in a row lie inside one
@@ -248,6 +248,7 @@ def _matches(known, threshold: float):
                 ],
                 names=["doc_id", "print", "item_id", "passage", "score", "question_overlap", "answer_overlap"],
             )
+        give_back()
 
     return match
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankwell.llm.common import cut_lineage, may_hold, shuffle_parts, whole_text
+from rankwell.llm.common import cut_lineage, give_back, may_hold, shuffle_parts, whole_text
 from rankwell.llm.components import components
 
 SHINGLE = 5
@@ -51,7 +51,7 @@ class Shingler:
     A text of fewer words is one shingle of all of them; a text without words is the empty set.
     """
 
-    def __init__(self, remember: int = 1_000_000):
+    def __init__(self, remember: int = 200_000):
         self.known: dict[str, int] = {}
         self.remember = remember
 
@@ -124,6 +124,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ],
             names=["doc_id", "print", "node", "size", "hashes"],
         )
+    shingle.known.clear()
+    give_back()
 
 
 def _roots(runs: int):
@@ -235,6 +237,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array([nodes[a] for a, _ in edges], pa.binary()), pa.array([nodes[b] for _, b in edges], pa.binary())],
                 names=["a", "b"],
             )
+    give_back()
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -343,6 +346,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column("doc_id"), batch.column("print"), pa.array(sets, pa.binary())],
             names=["doc_id", "print", "tokens"],
         )
+    shingle.known.clear()
+    give_back()
 
 
 def _candidates(nodes: DataFrame, runs: int, bucket: int) -> DataFrame:

@@ -201,6 +201,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", prefix: str = "")
                 ],
                 names=[*batch.schema.names, *ours],
             )
+        give_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return kept.mapInArrow(infer, f"{schema}, `{ours[0]}` string, `{ours[1]}` double, `{ours[2]}` array<string>")
