@@ -12,9 +12,10 @@ from rankwell.functions.text import lookup
 def number_text(value: Column) -> Column:
     """Shortest plain form of a number: no trailing zeros, no exponent below 1e15."""
     whole = value == F.floor(value)
-    return F.when(whole, value.cast("bigint").cast("string")).otherwise(
-        value.cast("double").cast("string")
-    )
+    shown = value.cast("double").cast("string")
+    fixed = F.rtrim(value.cast("double").cast("decimal(38,10)").cast("string"), F.lit("0"))
+    large = shown.contains("E") & (F.abs(value) >= 1e7) & (F.abs(value) < 1e15)
+    return F.when(whole, value.cast("bigint").cast("string")).otherwise(F.when(large, fixed).otherwise(shown))
 
 
 def salary_label(low: Column, high: Column, currency: Column, period: Column) -> Column:

@@ -126,10 +126,11 @@ def is_finite(col: Column) -> Column:
 
 
 @cache
-def _fold_tables() -> tuple[str, str, str]:
+def _fold_tables() -> tuple[str, str, str, dict[str, str]]:
     """(from, to, delete) strings for ``translate``: letters whose compatibility form is one
-    ASCII letter or digit, followed by the combining marks, which disappear."""
-    source, target = [], []
+    ASCII letter or digit, followed by the combining marks, which disappear. Then the letters
+    whose form has several characters, such as ligatures, with that form."""
+    source, target, several = [], [], {}
     for code in range(0xA0, 0x30000):
         if 0xD800 <= code <= 0xDFFF:
             continue
@@ -139,19 +140,24 @@ def _fold_tables() -> tuple[str, str, str]:
         if len(base) == 1 and base.isascii() and base.isalnum():
             source.append(chr(code))
             target.append(base)
+        elif len(base) > 1 and any(c.isascii() and c.isalnum() for c in base):
+            several[chr(code)] = base
     marks = "".join(chr(c) for c in range(0x300, 0x370))
-    return "".join(source), "".join(target), marks
+    return "".join(source), "".join(target), marks, several
 
 
 def fold_accents(col: Column) -> Column:
-    """``Café`` to ``Cafe`` inside the JVM, by one translate table.
+    """``Café`` to ``Cafe`` and ``ﬁrm`` to ``firm`` inside the JVM.
 
-    Letters whose compatibility form has several characters (ligatures) stay as they are. Text
-    with one byte per character has nothing to fold.
+    One translate table does it, but for letters that become several characters; texts that hold
+    one are folded character by character. Text with one byte per character has nothing to fold.
     """
-    source, target, marks = _fold_tables()
+    source, target, marks, several = _fold_tables()
     plain = F.octet_length(col) == F.char_length(col)
-    return F.when(plain, col).otherwise(F.translate(col, source + marks, target))
+    wide = F.create_map([F.lit(x) for pair in several.items() for x in pair])
+    spread = F.array_join(F.transform(F.split(col, ""), lambda c: F.coalesce(wide[c], c)), "")
+    some = col.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in several) + "]")
+    return F.when(plain, col).otherwise(F.translate(F.when(some, spread).otherwise(col), source + marks, target))
 
 
 # --- lists -------------------------------------------------------------------------------------

@@ -30,14 +30,15 @@ def insert_absent(
     """Rows of ``rows`` whose key is not in the table yet, one per key.
 
     With ``other`` a second unique column guards as well: a row whose value is already taken,
-    in the table or by an earlier row, is left out.
+    in the table or by an earlier row, is left out. A row without such a value collides with none.
     """
     new = first_per_key(rows, keys, order).join(table.select(*keys), keys, "left_anti")
     if other is None:
         return new
     columns = new.columns
     free = new.join(table.select(other).where(F.col(other).isNotNull()), other, "left_anti")
-    return first_per_key(free, [other], [*keys]).select(*columns)
+    valued = first_per_key(free.where(F.col(other).isNotNull()), [other], [*keys]).select(*columns)
+    return valued.unionByName(free.where(F.col(other).isNull()).select(*columns))
 
 
 def replace_by_key(table: DataFrame, rows: DataFrame, key: str, touched: DataFrame) -> DataFrame:

@@ -318,6 +318,20 @@ def stream_payloads(t):
     return rows.select("source_url", "title", F.col("sighting_count").alias("dedupe_copies"))
 
 
+@query("""
+select 'firecrawl_scrape' as kind, case when lang = 'de' then 'upstream_failure' else 'bad_item' end
+  as refused, count(*) as payloads
+from {payload_rows} where n = 7 and lang in ('de', 'es') group by 1, 2
+""")
+def stream_quarantine(t):
+    """Payloads and elements that the streaming scan leaves out, kept with their reason."""
+    out = fresh_dir(t.spark, "refused")
+    bad = ingest.refused_stream(ingest.payload_stream(t.spark, landed(t), 50))
+    ingest.start(bad, ingest.keep_updates(f"{out}/rows"), f"{out}/checkpoint", "append").awaitTermination()
+    rows = t.spark.read.parquet(f"{out}/rows")
+    return rows.groupBy("kind", "refused").agg(F.count(F.lit(1)).alias("payloads"))
+
+
 @query("""
 select x.k as job_id, x.user_id, max(x.value) as final_score from {actions} x group by 1, 2
 """)

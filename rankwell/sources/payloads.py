@@ -52,6 +52,7 @@ class Provider:
     keep: Callable[[Column], Column] | None = None
     element: str | None = None
     optional: bool = False
+    says_success: bool = False  # the payload must say that it succeeded
 
 
 def _company(default: Column) -> Column:
@@ -245,7 +246,7 @@ PROVIDERS: dict[str, Provider] = {
         "p.data.json.jobs", ("title", "companyName", "sourceUrl"), ("sourceUrl", "applyUrl"), _scrape,
         element="struct<title:string,companyName:string,location:string,workMode:string,"
         "salaryRaw:string,postedAt:string,sourceUrl:string,applyUrl:string,descriptionHtml:string>",
-        optional=True,
+        optional=True, says_success=True,
     ),
     "firecrawl_search": Provider(
         "struct<success:boolean,data:array<struct<url:string,title:string,description:string>>>",
@@ -287,7 +288,7 @@ def _parsed(payloads: DataFrame, kind: str) -> DataFrame:
     if not spec.optional:
         refused = refused.when(items.isNull(), "no_items")
     if "success" in spec.schema:
-        refused = refused.when(~F.col("p.success"), "upstream_failure")
+        refused = refused.when(~F.coalesce("p.success", F.lit(not spec.says_success)), "upstream_failure")
     if spec.element is None:
         refused = refused.when(~F.forall(items, lambda x: _is_valid(x, spec)), "bad_item")
     return rows.withColumn("items", items).withColumn("refused", refused)

@@ -20,7 +20,9 @@ class VersionedTable:
     def _log(self) -> DataFrame:
         try:
             return self.spark.read.schema(LOG_SCHEMA).json(f"{self.base}/log")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":  # a log that cannot be read is not an empty one
+                raise
             return self.spark.createDataFrame([], LOG_SCHEMA)
 
     def version(self) -> int | None:

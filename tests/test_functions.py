@@ -196,3 +196,17 @@ def test_lists(spark):
         company.clean_companies(F.array(*[F.lit(x) for x in ("Acme Corp.", "acme corp", "!", "x.io")])).alias("c"),
     ).first()
     assert (row.a, row.b, row.c) == (["A", "b"], ["go", "c++"], ["acme-corp", "x.io"])
+
+
+def test_ligatures_and_marks_fold(apply):
+    from rankwell.functions.text import fold_accents
+
+    given = ["ﬁrm Oﬃce", "Café № ½", "Straße", "plain", None, "ĳs Ⅳ"]
+    assert apply(given, fold_accents) == ["firm Office", "Cafe No 1⁄2", "Straße", "plain", None, "ijs IV"]
+
+
+def test_large_fractions_have_no_exponent(apply):
+    from rankwell.functions.labels import number_text
+
+    given = ["12345678.9", "120000", "0.5", "98765432.125", "1500.75"]
+    assert apply(given, lambda c: number_text(c.cast("double"))) == given

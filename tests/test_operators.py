@@ -262,3 +262,25 @@ def test_search_grammar(spark):
     ids = lambda q: [r.id for r in search_records(df, q, ["t"]).orderBy("id").collect()]
     assert ids("go") == [1, 2] and ids("go -game") == [1] and ids('"board game"') == [2]
     assert ids("senior or baker") == [1, 3] and ids("the") == [1, 2, 3]
+
+
+def test_insert_absent_keeps_every_row_without_a_second_key(spark):
+    from rankwell.operators.merges import insert_absent
+
+    table = spark.createDataFrame([(1, "a@x")], "id int, email string")
+    rows = spark.createDataFrame([(2, None), (3, None), (4, "a@x"), (5, "b@x"), (6, "b@x")], "id int, email string")
+    new = insert_absent(table, rows, ["id"], ["email"], other="email")
+    assert sorted((r.id, r.email) for r in new.collect()) == [(2, None), (3, None), (5, "b@x")]
+
+
+def test_a_cluster_session_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from rankwell.session import shared_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    remote = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context)
+    with pytest.raises(ValueError):
+        shared_dir(remote)
