@@ -234,7 +234,7 @@ def fit(pages: DataFrame, rows: int = TRAIN_PAGES, text: str = "html") -> Field:
     """Trains on at most about ``rows`` pages, those of smallest hash, so the whole table has a part."""
     total = pages.count()
     spot = F.pmod(F.xxhash64(text), F.lit(1 << 30))
-    drawn = pages.where(spot < int(min(1.0, rows / max(total, 1)) * (1 << 30))).select(F.col(text).alias("html"))
+    drawn = pages.where(spot < int(min(1.0, rows / max(total, 1)) * (1 << 30))).select(whole_text(text).alias("html"))
     held = drawn.select("html", F.xxhash64("html").alias("h")).distinct().orderBy("h").limit(2 * rows).toArrow()
     ready = []
     for blocks, labels in training_pages(held["html"].to_pylist()):
