@@ -8,6 +8,7 @@ before a shard come from one total per shard.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,23 +25,34 @@ from tokenizers import Tokenizer, normalizers
 
 from rankwell.llm import simple8b
 from rankwell.llm.common import fresh_dir, shuffle_parts, tokenizer, whole_text
+from rankwell.llm.pieces import gather
 
 PAGE = 1 << 20  # ids after which a page is closed
 CACHE = 1_000_000  # distinct chunks a Python worker remembers
 AT_ONCE = 6_000_000  # bytes of text encoded together
 
+# A word of letters whose case folds one to one, and perhaps a run of marks, which is a piece of its own.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+TOGETHER = 64  # words encoded as one text
+
+
 class ChunkIds:
     """Ids of distinct chunks, learned as they are met; row 0 is the end of a document.
 
     The tokenizer drops white space and no piece of it reaches across, so a text is the sum of its
-    chunks between blanks, and each distinct chunk is encoded by the tokenizers library once.
+    chunks between blanks, and each distinct chunk is encoded by the tokenizers library once. Words
+    are encoded many to a text, whose ids are cut behind those that end a word; a chunk of a word and
+    marks is put together from both.
     """
 
     def __init__(self, path: str, end_id: int):
         self.whole = tokenizer(path)
-        # Lower-case ASCII is as the normaliser leaves it, so such chunks skip that step.
+        # Lower-case words are as the normaliser leaves them, so they skip that step.
         self.plain = Tokenizer.from_str(self.whole.to_str())
         self.plain.normalizer = normalizers.Sequence([])
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for name, k in vocabulary.items() if name.endswith("</w>")]] = True
         self.end_id = end_id
         self.reset()
 
@@ -48,22 +60,48 @@ class ChunkIds:
         self.rows: dict[str, int] = {}
         self.values, self.sizes = array("I", [self.end_id]), array("I", [1])
 
-    def learn(self, chunks: list[str]) -> np.ndarray:
-        """The rows of chunks that are not known yet."""
-        plain = np.array([c.isascii() and c == c.lower() for c in chunks])
-        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
-        chunks, first = [chunks[k] for k in order], len(self.sizes)
-        cut = int(plain.sum())
-        for coder, part in ((self.plain, chunks[:cut]), (self.whole, chunks[cut:])):
-            for start in range(0, len(part), 4096):  # the library's results are large
-                coded = coder.encode_batch_fast(part[start : start + 4096], add_special_tokens=False)
-                ids = [c.ids for c in coded]
-                self.sizes.extend(map(len, ids))
-                self.values.extend(chain.from_iterable(ids))
-        self.rows.update(zip(chunks, range(first, first + len(chunks))))
-        rows = np.empty(len(chunks), np.int64)
-        rows[order] = np.arange(first, first + len(chunks))
-        return rows
+    def _add(self, chunks: list[str], values: np.ndarray, sizes: np.ndarray) -> None:
+        self.rows.update(zip(chunks, range(len(self.sizes), len(self.sizes) + len(chunks))))
+        self.values.frombytes(values.astype(np.uint32).tobytes())
+        self.sizes.frombytes(sizes.astype(np.uint32).tobytes())
+
+    def _add_each(self, coder: Tokenizer, chunks: list[str]) -> None:
+        for start in range(0, len(chunks), 4096):  # the library's results are large
+            part = chunks[start : start + 4096]
+            ids = [c.ids for c in coder.encode_batch_fast(part, add_special_tokens=False)]
+            self._add(part, np.array(list(chain.from_iterable(ids)), np.uint32), np.array(list(map(len, ids))))
+
+    def _add_words(self, words: list[str]) -> None:
+        for start in range(0, len(words), 64 * TOGETHER):
+            part = words[start : start + 64 * TOGETHER]
+            texts = [" ".join(part[k : k + TOGETHER]) for k in range(0, len(part), TOGETHER)]
+            coded = self.plain.encode_batch_fast(texts, add_special_tokens=False)
+            values = np.array(list(chain.from_iterable(c.ids for c in coded)), np.uint32)
+            stops = np.flatnonzero(self.ends[values]) + 1
+            if len(stops) == len(part):
+                self._add(part, values, np.diff(stops, prepend=0))
+            else:  # a tokenizer that does not mark the ends of words
+                self._add_each(self.plain, part)
+
+    def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows, end to end, and the size of each."""
+        sizes = np.frombuffer(self.sizes, np.uint32).astype(np.int64)
+        starts = (np.cumsum(sizes) - sizes)[rows]
+        each = sizes[rows]
+        return gather(np.frombuffer(self.values, np.uint32), starts, each), each
+
+    def learn(self, chunks: list[str]) -> None:
+        """Adds chunks that are not known yet."""
+        cuts = [m and (m[1].lower(), m[2]) for m in map(_WORD.fullmatch, chunks)]
+        known = self.rows
+        self._add_words([w for w in dict.fromkeys(cut[0] for cut in cuts if cut) if w not in known])
+        parts = chain((c for c, cut in zip(chunks, cuts) if not cut), (cut[1] for cut in cuts if cut))
+        self._add_each(self.whole, [c for c in dict.fromkeys(parts) if c not in known])
+        known.update((c, known[cut[0]]) for c, cut in zip(chunks, cuts) if cut and not cut[1])
+        marked = [(c, *cut) for c, cut in zip(chunks, cuts) if cut and cut[1]]
+        if marked:
+            values, sizes = self._gather(np.array([known[part] for _, *both in marked for part in both], np.int64))
+            self._add([c for c, *_ in marked], values, sizes[::2] + sizes[1::2])
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id behind it, and how many each has."""
@@ -77,17 +115,14 @@ class ChunkIds:
         rows = np.array(list(map(self.rows.get, chunks, repeat(-1))), np.int64)
         new = np.flatnonzero(rows < 0)
         if len(new):
-            rows[new] = self.learn([chunks[k] for k in new])
+            left = [chunks[k] for k in new]
+            self.learn(left)
+            rows[new] = [self.rows[c] for c in left]
         rows = rows[coded.indices.to_numpy()]
         offsets = lists.offsets.to_numpy()
         rows = np.insert(rows, offsets[1:], 0)  # the end of each document
         offsets = offsets + np.arange(len(offsets))
-        sizes = np.frombuffer(self.sizes, np.uint32).astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
-        each = sizes[rows]
-        ends = np.cumsum(each)
-        source = np.arange(ends[-1]) + np.repeat(starts[rows] - ends + each, each)
-        values = np.frombuffer(self.values, np.uint32)[source]
+        values, each = self._gather(rows)
         return values, np.add.reduceat(each, offsets[:-1])
 
 
