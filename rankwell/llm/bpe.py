@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.llm.common import common_rows, cut_lineage, fresh_dir, give_back, shuffle_parts, whole_text
-from rankwell.llm.pieces import chunk_texts, gather, piece_counts, slices, split_chunk
+from rankwell.llm.pieces import chunk_texts, gather, piece_counts, slices, split_chunks, strings
 
 COMMON = 1_500_000  # words whose ids go to every task
 COMMON_BYTES = 32  # longer words are encoded with their documents; bounds the table at 48 MB of words
 FOLD_BYTES = 128  # the fold is quadratic in the word, so longer words take the heap below
-GROUP_BYTES = 5_000_000  # of documents whose words are encoded together
+GROUP_BYTES = 8_000_000  # of documents whose words are encoded together
 SLOTS = 1 << 15  # cells of the literal rank table
 NO_RANK = (1 << 31) - 1
 
@@ -181,15 +181,10 @@ def _numbered(known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
         for batch in batches:
             for part in slices(batch, "text", GROUP_BYTES):
                 chunks, places, firsts = chunk_texts(part.column("text"))
-                flat, sizes = [], []
-                for chunk in chunks:
-                    pieces = split_chunk(chunk)
-                    flat += pieces
-                    sizes.append(len(pieces))
-                sizes = np.array(sizes, np.int64)
+                flat, sizes = split_chunks(chunks)
                 numbers = _rows_of(flat, hashes, table)
-                for k in np.flatnonzero(numbers < 0).tolist():
-                    numbers[k] = base + words.setdefault(flat[k], len(words))
+                left = np.flatnonzero(numbers < 0)
+                numbers[left] = [base + words.setdefault(w, len(words)) for w in strings(flat.take(pa.array(left)))]
                 sizes, starts = sizes[places], (np.cumsum(sizes) - sizes)[places]
                 seq = gather(numbers, starts, sizes)
                 ends = np.cumsum(np.add.reduceat(sizes, firsts)).tolist()
@@ -207,18 +202,23 @@ def _numbered(known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return number
 
 
-def _rows_of(words: list[str], hashes: np.ndarray, table: pa.Array) -> np.ndarray:
+def _rows_of(words: pa.StringArray, hashes: np.ndarray, table: pa.Array) -> np.ndarray:
     """The row of each word in ``table``, which is sorted by hash; -1 where there is none."""
-    if not len(table) or not words:
+    if not len(table) or not len(words):
         return np.full(len(words), -1, "<i4")
-    wanted = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64).view(np.int64)
-    rows = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+    # Of equal words one is looked up, in the order of the hashes, so neighbours touch the same memory.
+    coded = words.dictionary_encode()
+    distinct = coded.dictionary
+    wanted = np.array([xxhash.xxh64_intdigest(w, 42) for w in strings(distinct)], np.uint64).view(np.int64)
+    order = np.argsort(wanted)
+    rows = np.empty(len(wanted), np.int64)
+    rows[order] = np.minimum(np.searchsorted(hashes, wanted[order]), len(hashes) - 1)
     near = np.flatnonzero(hashes[rows] == wanted)
-    same = pc.equal(table.take(pa.array(rows[near])), pa.array(words, pa.string()).take(pa.array(near)))
-    out = np.full(len(words), -1, "<i4")
+    same = pc.equal(table.take(pa.array(rows[near])), distinct.take(pa.array(near)))
     near = near[same.to_numpy(zero_copy_only=False)]
-    out[near] = rows[near]
-    return out
+    found = np.full(len(wanted), -1, "<i4")
+    found[near] = rows[near]
+    return found[coded.indices.to_numpy()]
 
 
 class _Joined:
@@ -292,7 +292,7 @@ def encode_decode(
     """
     spark = docs.sparkSession
     table = rank_table(load_ranks(path))
-    counted = cut_lineage(piece_counts(docs, split_chunk, text))
+    counted = cut_lineage(piece_counts(docs, text=text))
     frequent = common_rows(counted.where(F.octet_length("piece") <= COMMON_BYTES), common)
     # In the order of their hashes, and spread before the fold: the rows are few in bytes, so adaptive
     # plans would put them in few tasks.

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.llm.common import common_rows, cut_lineage, tokenizer, whole_text
-from rankwell.llm.pieces import chunk_texts, piece_counts, slices, split_chunk, split_pieces
+from rankwell.llm.pieces import chunk_texts, piece_counts, slices, split_chunk, split_chunks, split_pieces, strings
 
 COMMON = 400_000  # pre-tokens sent to every task
 COMMON_BYTES = 64  # longer ones are always joined: 400,000 x 64 bytes bound the broadcast
@@ -65,7 +65,7 @@ def token_counts(
     spark = docs.sparkSession
     special = tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
     split = _splitter(special)
-    counted = piece_counts(docs, split, text).mapInArrow(_count_pieces(path), "piece string, n long, tokens long")
+    counted = piece_counts(docs, lambda chunks: split_chunks(chunks, split, special), text).mapInArrow(_count_pieces(path), "piece string, n long, tokens long")
     counted = cut_lineage(counted)
     short = counted.where(F.octet_length("piece") <= COMMON_BYTES)
     held = common_rows(short, common).select("piece", "tokens").toArrow()
@@ -77,7 +77,7 @@ def token_counts(
             for part in slices(batch, "text"):
                 chunks, places, firsts = chunk_texts(part.column("text"))
                 sums, unknown = np.zeros(len(chunks), np.int64), {}
-                for k, chunk in enumerate(chunks):
+                for k, chunk in enumerate(strings(chunks)):
                     for piece in split(chunk):
                         tokens = find(piece)
                         if tokens is None:

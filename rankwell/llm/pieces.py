@@ -7,7 +7,6 @@ cuts of many texts hold few distinct chunks, and only these are matched against
 from __future__ import annotations
 
 import functools
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from rankwell.llm.common import give_back, whole_text
 
 FLUSH = 200_000  # distinct pre-tokens a task holds before it hands them on
-AT_ONCE = 4_000_000  # bytes of text cut together
+AT_ONCE = 8_000_000  # bytes of text cut together
 
 _CUT = "\x1f"
 _UNCUT = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}] |\x{1f}"  # texts that are matched whole
@@ -50,6 +49,46 @@ def split_chunk(chunk: str) -> list[str]:
     return split_pieces(chunk)
 
 
+_WORD = "^ [A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?$"  # a blank and letters, and perhaps one mark behind them
+_MARKED = "[.,;:!?]$"
+
+
+def strings(column: pa.StringArray) -> list[str]:
+    """``to_pylist`` of a column without nulls, by way of numpy, which is faster."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def split_chunks(
+    chunks: pa.StringArray, split: Callable[[str], list[str]] = split_chunk, special: tuple[str, ...] = ()
+) -> tuple[pa.StringArray, np.ndarray]:
+    """(the pre-tokens of all chunks end to end, how many each chunk has).
+
+    Words are cut by Arrow; other chunks, and those with a special string in them, by ``split``.
+    """
+    word = pc.match_substring_regex(chunks, _WORD)
+    for mark in special:
+        word = pc.and_not(word, pc.match_substring(chunks, mark))
+    marked = pc.and_(word, pc.match_substring_regex(chunks, _MARKED))
+    bare = np.flatnonzero(pc.and_not(word, marked).to_numpy(zero_copy_only=False))
+    rest = np.flatnonzero(pc.invert(word).to_numpy(zero_copy_only=False))
+    marked = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+    both = chunks.take(pa.array(marked))
+    others = [split(c) for c in strings(chunks.take(pa.array(rest)))]
+    pool = [chunks.take(pa.array(bare)), pc.utf8_slice_codeunits(both, 0, -1), pc.utf8_slice_codeunits(both, -1)]
+    pool.append(pa.array([p for pieces in others for p in pieces], chunks.type))
+    starts, sizes = np.empty(len(chunks), np.int64), np.ones(len(chunks), np.int64)
+    # Places in the pool: a word, or a word and a mark that stands ``len(marked)`` further, or a stretch.
+    starts[bare] = np.arange(len(bare))
+    starts[marked] = len(bare) + np.arange(len(marked))
+    sizes[rest] = [len(pieces) for pieces in others]
+    starts[rest] = len(bare) + 2 * len(marked) + np.cumsum(sizes[rest]) - sizes[rest]
+    sizes[marked] = 2
+    places = gather(np.arange(sum(map(len, pool))), starts, sizes)
+    seconds = (np.cumsum(sizes) - sizes)[marked] + 1
+    places[seconds] = len(bare) + len(marked) + np.arange(len(marked))
+    return pa.concat_arrays(pool).take(pa.array(places)), sizes
+
+
 def slices(batch: pa.RecordBatch, column: str, at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``at_once`` bytes of text each, one row at least."""
     reach = np.cumsum(pc.binary_length(batch.column(column)).to_numpy().astype(np.int64))
@@ -61,7 +100,7 @@ def slices(batch: pa.RecordBatch, column: str, at_once: int = AT_ONCE) -> Iterat
         start = stop
 
 
-def chunk_texts(texts: pa.StringArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+def chunk_texts(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
     """(distinct chunks, chunk of each place, first place of each text).
 
     The chunks of a text are the text, every text has one at least, and no pre-token crosses a cut.
@@ -76,7 +115,7 @@ def chunk_texts(texts: pa.StringArray) -> tuple[list[str], np.ndarray, np.ndarra
     lists = cut
     coded = lists.flatten().dictionary_encode()
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), offsets[:-1]
+    return coded.dictionary, coded.indices.to_numpy(), offsets[:-1]
 
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -85,30 +124,34 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
 
 
-def piece_counts(docs: DataFrame, split: Callable[[str], list[str]], text: str = "text") -> DataFrame:
+def piece_counts(
+    docs: DataFrame,
+    split: Callable[[pa.StringArray], tuple[pa.StringArray, np.ndarray]] = split_chunks,
+    text: str = "text",
+) -> DataFrame:
     """(piece, n) over all documents: counted inside each task first, then summed by piece."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
-
-        def rows() -> pa.RecordBatch:
-            kept = sorted(held)  # neighbours share beginnings, which compresses the shuffle
-            return pa.RecordBatch.from_pydict(
-                {"piece": pa.array(kept, pa.string()), "n": pa.array([held[k] for k in kept], pa.int64())}
-            )
+        def summed(parts: list[pa.Table]) -> pa.Table:
+            sums = pa.concat_tables(parts).group_by("piece", use_threads=False).aggregate([("n", "sum")])
+            return sums.select(["piece", "n_sum"]).rename_columns(["piece", "n"])
 
+        held: list[pa.Table] = []
         for batch in batches:
             for part in slices(batch, "text"):
                 chunks, places, _ = chunk_texts(part.column("text"))
-                for chunk, n in zip(chunks, np.bincount(places, minlength=len(chunks)).tolist()):
-                    for piece in split(chunk):
-                        held[piece] += n
-                if len(held) >= FLUSH:
-                    yield rows()
-                    held.clear()
+                pieces, sizes = split(chunks)
+                times = np.repeat(np.bincount(places, minlength=len(chunks)), sizes)
+                held.append(pa.table({"piece": pieces, "n": pa.array(times, pa.int64())}))
+                if sum(t.num_rows for t in held) >= FLUSH:
+                    held = [summed(held)]
+                    if held[0].num_rows >= FLUSH:
+                        # Neighbours share beginnings, which compresses the shuffle.
+                        yield from held[0].sort_by("piece").combine_chunks().to_batches()
+                        held = []
         if held:
-            yield rows()
-        held.clear()
+            yield from summed(held).sort_by("piece").combine_chunks().to_batches()
+        held = []
         give_back()
 
     counted = docs.select(whole_text(text).alias("text")).mapInArrow(count, "piece string, n long")

@@ -25,7 +25,7 @@ from tokenizers import Tokenizer, normalizers
 
 from rankwell.llm import simple8b
 from rankwell.llm.common import fresh_dir, shuffle_parts, tokenizer, whole_text
-from rankwell.llm.pieces import gather
+from rankwell.llm.pieces import gather, strings
 
 PAGE = 1 << 20  # ids after which a page is closed
 CACHE = 1_000_000  # distinct chunks a Python worker remembers
@@ -111,7 +111,7 @@ class ChunkIds:
         texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
         lists = pc.split_pattern(texts, " ")
         coded = lists.values.dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
+        chunks = strings(coded.dictionary)
         rows = np.array(list(map(self.rows.get, chunks, repeat(-1))), np.int64)
         new = np.flatnonzero(rows < 0)
         if len(new):

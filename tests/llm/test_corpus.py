@@ -78,7 +78,10 @@ def test_pieces_of_chunks_are_pieces_of_texts():
     parts = ["a", "b", " ", " ", "\n", "\t", "\x1f", "'s", "1", "!", ".", "é", "  ", "\r\n", "\x1c", "\x85", " the", "　"]
     given = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(5000)]
     chunks, places, firsts = pieces.chunk_texts(pa.array(given))
-    split = [pieces.split_chunk(c) for c in chunks]
+    split = [pieces.split_chunk(c) for c in pieces.strings(chunks)]
+    flat, sizes = pieces.split_chunks(chunks)
+    assert flat.to_pylist() == [p for part in split for p in part]
+    assert sizes.tolist() == [len(part) for part in split]
     for text, a, b in zip(given, firsts, [*firsts[1:], len(places)]):
         assert [p for k in places[a:b] for p in split[k]] == pieces.split_pieces(text)
 
