@@ -13,6 +13,9 @@ from rankwell.llm import bpe, decontam, exact, jaccard, langid
 from rankwell.llm.common import cut_lineage, may_hold, read_table, ship_package, tokenizer_path, whole_text, without
 
 
+COMMON_WORDS = 1_000_000
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language could be inferred; null texts and texts without a letter go."""
     ship_package(spark)
@@ -50,7 +53,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document: the number of ids, their hash, and the hash of the bytes they decode to."""
     ship_package(spark)
-    return bpe.encode_decode(docs, tokenizer_path("byte_bpe_50k.tiktoken"))
+    # A smaller table of words than alone: workers still hold what the stages before left them.
+    return bpe.encode_decode(docs, tokenizer_path("byte_bpe_50k.tiktoken"), common=COMMON_WORDS)
 
 
 STAGES = [
