@@ -1,7 +1,7 @@
 """Licence recognition by sentence rules.
 
-Sentences are normalised and mapped to identifiers of known licence sentences. The identifiers of a
-text, in order, are matched against rules: ordered lists of identifiers that together are a licence.
+The words of a text, whatever its line wrapping and comment signs, are searched for known licence
+sentences, which have identifiers. The identifiers of a text, in order, are matched against rules: ordered lists of identifiers that together are a licence.
 Longer rules come first and keep the sentences they match.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,44 +114,61 @@ ORDERED = sorted(
 )
 # Every known sentence holds one of these, so a text without them holds none.
 ANCHORS = re.compile("licen[sc]e|permission|redistribut|copyright|reserved|warrant", re.IGNORECASE)
-_SPLIT = re.compile(r"(?<=[.!?:;])\s+|\n+")
-_NUMBER = re.compile(r"\d+(?:\.\d+)*")
-_OTHER = re.compile(r"[^\w#]+")
-_KNOWN = {text: name for name, text in SENTENCES.items()}
-
-
-def normalise(sentence: str) -> tuple[str, str | None]:
-    """Lower-case words of a sentence with # for numbers, and the first number."""
-    number = _NUMBER.search(sentence)
-    return " ".join(_OTHER.sub(" ", _NUMBER.sub("#", sentence.lower())).split()), number.group() if number else None
-
-
-def identify(text: str) -> list[tuple[int, str, str | None]]:
-    """(place, identifier, version) of the known sentences of a text.
-
-    A known sentence may be wrapped over lines: up to four lines without an end are tried together.
+_TOKEN = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+")
+# Words that begin a comment line in some languages.
+_REMARK = re.compile(r"^(?:[ \t]*(?:@?rem|dnl)\b|c(?=[ \t]))", re.MULTILINE)
+# Sentences end at a mark before a blank or at a line without words; other line ends are wrapping.
+_END = re.compile(r"(?<=[.!?])\s+|\n(?:[^\w\n]*\n)+")
+
+
+def words_of(text: str) -> tuple[str, list[str], list[int], str]:
+    """The words of a text between single blanks, with # for numbers; the numbers; where each word is
+    in the last, the text without what begins comment lines."""
+    plain = _REMARK.sub("", text.lower()).replace("licence", "license").replace("https:", "http:")
+    words, numbers, starts = [], [], []
+    for m in _TOKEN.finditer(plain):
+        word = m.group()
+        if word[0].isdecimal():
+            numbers.append(word)
+            word = "#"
+        words.append(word)
+        starts.append(m.start())
+    return f" {' '.join(words)} ", numbers, starts, plain
+
+
+def identify(text: str) -> list[tuple[int, str, str | None, int]]:
+    """(sentence, identifier, version, first word) of the known sentences of a text.
+
+    A known sentence is found wherever its words follow each other, however they are wrapped, marked as
+    comment or led in; of those that overlap the first, then the longest counts. One behind ``not`` does
+    not count.
     """
     if not ANCHORS.search(text):
         return []
-    parts = [p for p in _SPLIT.split(text) if p and p.strip()]
-    found, at = [], 0
-    while at < len(parts):
-        step = 1
-        for length in (1, 2, 3, 4):
-            joined = " ".join(parts[at : at + length])
-            key, version = normalise(joined) if ANCHORS.search(joined) else ("", None)
-            if key in _KNOWN:
-                found.append((at, _KNOWN[key], version))
-                step = length
-                break
-            if length > len(parts) - at:
-                break
-        at += step
+    flat, numbers, starts, plain = words_of(text)
+    met = []
+    for name, known in SENTENCES.items():
+        at = flat.find(f" {known} ")
+        while at >= 0:
+            met.append((at, -len(known), name))
+            at = flat.find(f" {known} ", at + 1)
+    if not met:
+        return []
+    ends = [m.end() for m in _END.finditer(plain)]
+    sentence = np.unique(np.searchsorted(ends, starts, "right"), return_inverse=True)[1]
+    found, free = [], 0
+    for at, length, name in sorted(met):
+        if at < free or flat.endswith(" not", 0, at):
+            continue
+        free = at - length + 1
+        first = flat.count(" ", 0, at)
+        version = numbers[flat.count("#", 0, at)] if "#" in SENTENCES[name] else None
+        found.append((int(sentence[first]), name, version, first))
     return found
 
 
-def match_rules(found: list[tuple[int, str, str | None]]) -> list[tuple[str, str | None, int, int]]:
-    """(licence, version, first place, sentences) of the rules that a text's identifiers meet."""
+def match_rules(found: list[tuple[int, str, str | None, int]]) -> list[tuple[str, str | None, int, int, int]]:
+    """(licence, version, first place, sentences, first word) of the rules that a text's identifiers meet."""
     free = list(range(len(found)))
     matches = []
     for licence, rule in ORDERED:
@@ -168,11 +186,11 @@ def match_rules(found: list[tuple[int, str, str | None]]) -> list[tuple[str, str
                     break
             if len(taken) == len(rule):
                 versions = [found[k][2] for k in taken if found[k][2]]
-                matches.append((licence, versions[0] if versions else None, found[taken[0]][0], len(rule)))
+                matches.append((licence, versions[0] if versions else None, found[taken[0]][0], len(rule), found[taken[0]][3]))
                 free = [k for k in free if k not in taken]
             else:
                 start += 1
-    return sorted(matches, key=lambda m: (m[2], m[0]))
+    return sorted(matches, key=lambda m: (m[4], m[0]))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +206,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([r[2] for r in rows], pa.string()),
                 pa.array([r[3] for r in rows], pa.int32()),
                 pa.array([r[4] for r in rows], pa.int32()),
+                pa.array([r[5] for r in rows], pa.int32()),
             ],
-            names=["doc_id", "print", "licence", "version", "place", "sentences"],
+            names=["doc_id", "print", "licence", "version", "place", "sentences", "word"],
         )
 
 
@@ -202,11 +221,11 @@ def licences_of(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", whole_text().alias("text"), F.xxhash64(whole_text()).alias("print"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    met = rows.mapInArrow(_scan, f"doc_id {kind}, print long, licence string, version string, place int, sentences int")
+    met = rows.mapInArrow(_scan, f"doc_id {kind}, print long, licence string, version string, place int, sentences int, word int")
     return (
         met.groupBy("doc_id", "print", "licence", "version")
         .agg(
-            F.countDistinct("place").alias("times"),
+            F.countDistinct("word").alias("times"),
             F.min("place").alias("first_place"),
             F.max("sentences").alias("sentences"),
         )

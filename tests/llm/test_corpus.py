@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import textwrap
 import zlib
 
 import duckdb
@@ -245,6 +246,66 @@ def test_licences(spark, nothing):
     assert licences.licences_of(nothing).count() == 0
 
 
+LICENCE_TEXTS = {
+    ("MIT", None, 3): (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated'
+        ' documentation files (the "Software"), to deal in the Software without restriction, including without'
+        " limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the"
+        " Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions"
+        " of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED'
+        " TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL"
+        " THE AUTHORS BE LIABLE.",
+    ),
+    ("GPL", "3", 2): (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General"
+        " Public License as published by the Free Software Foundation, either version 3 of the License, or (at your"
+        " option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the"
+        " implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License.",
+    ),
+    ("BSD-3-Clause", None, 4): (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
+        " the following conditions are met:",
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the"
+        " following disclaimer.",
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the"
+        " following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
+        " products derived from this software without specific prior written permission.",
+    ),
+    ("Apache", "2.0", 4): (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance'
+        " with the License. You may obtain a copy of the License at",
+        "https://www.apache.org/licenses/LICENSE-2.0",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed'
+        ' on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    ),
+}
+
+
+@pytest.mark.parametrize("width", [24, 40, 80, 4000])
+@pytest.mark.parametrize("sign", ["", " * ", "# ", "// ", "dnl ", "    "])
+def test_wrapped_licences(width, sign):
+    for want, parts in LICENCE_TEXTS.items():
+        lines = [x for part in parts for x in [*textwrap.wrap(part, width, break_long_words=False, break_on_hyphens=False), ""]]
+        text = "\r\n".join(sign + x for x in ["Copyright (c) 2020 Somebody", "", *lines])
+        got = [(m[0], m[1], m[3]) for m in licences.match_rules(licences.identify(text))]
+        assert got == [want]
+
+
+def test_licences_named_inside_sentences(spark):
+    ship_package(spark)
+    rows = [
+        (1, "This project is licensed under the MIT License."), (2, "It is not licensed under the MIT License."),
+        (3, "One part is licensed under the MIT License, another is licensed under the MIT\n# License."),
+        (4, "Copyright 2020 A, all rights reserved, but B is licensed under the GNU General Public Licence, version 3"),
+    ]
+    got = by_key(licences.licences_of(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "licence", "version", "times")
+    assert got == [(1, "MIT", None, 1), (3, "MIT", None, 2), (4, "All rights reserved", None, 1), (4, "GPL", "3", 1)]
+
+
 def test_bitmap_never_loses_a_row(docs):
     keys = docs.where("doc_id % 3 = 0").select("doc_id")
     held = may_hold(docs, keys, "doc_id")
