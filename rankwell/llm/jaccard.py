@@ -3,7 +3,8 @@
 A text is the set of its five-word shingles. Equal sets are one node. In every run the sets are split
 on sampled shared tokens: at each place of the recursion one or two minhash coordinates are chosen,
 and sets that agree on one go on together, until few are left and these are compared by their
-sketches. Runs repeat until a pair at the threshold has met with the target probability. What has met
+sketches. Runs repeat until a pair at the threshold has met with the target probability; sets of large
+buckets, which take more splits, get as many runs more as the deepest of these asks for. What has met
 forms groups; inside a group every pair is compared exactly, so links are counted whole even where
 sketches or single runs missed them.
 
@@ -13,8 +14,10 @@ are found and never become rows.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ THRESHOLD = 0.8
 RECALL = 0.9999  # that a pair at the threshold meets in some run
 COORDINATES = 64
 SMALL = 1500  # sets that are compared by brute force
-DEPTH = 12
+DEPTH = 12  # splits across tasks, and again inside a task
 BUCKET = 50_000  # sets of a bucket that one task splits further
 LOOSE = 0.55  # share of equal coordinates from which sets count as met: five deviations below 0.8
 BLOCK = 2048  # sets compared in one task
@@ -97,11 +100,29 @@ def _child(path: int, coordinate: int, values: np.ndarray) -> np.ndarray:
     return _finish(base + (values.astype(np.uint64) << np.uint64(20)))
 
 
-def runs_for(recall: float) -> int:
-    """Runs after which a pair at the threshold, which survives two splits of a run with this
-    probability, has met with probability ``recall``."""
-    once = 0.75 * THRESHOLD + 0.25 * (1 - (1 - THRESHOLD) ** 2)
-    return math.ceil(math.log(1 - recall) / math.log(1 - once * once))
+def survival(share: float, splits: int) -> float:
+    """The probability that two sets with this share of equal coordinates are together somewhere after
+    so many splits of a run."""
+    out = 1.0
+    for _ in range(splits):
+        out = 0.75 * share * out + 0.25 * (1 - (1 - share * out) ** 2)
+    return out
+
+
+@functools.cache
+def runs_for(recall: float, splits: int = 2) -> int:
+    """Runs after which a pair at the threshold has met with probability ``recall``, where its buckets
+    take so many splits until they are small.
+
+    All runs use the same coordinates, so the mean is over how many of them a pair has equal.
+    """
+    shares = range(math.ceil(LOOSE * COORDINATES), COORDINATES + 1)
+    weights = [math.comb(COORDINATES, k) * THRESHOLD**k * (1 - THRESHOLD) ** (COORDINATES - k) for k in shares]
+    lost = [1 - survival(k / COORDINATES, splits) for k in shares]
+    unseen = 1 - sum(weights)  # by the sketches
+    if unseen >= 1 - recall:
+        raise ValueError("the sketches have too few coordinates for this recall")
+    return next(n for n in count(1) if unseen + sum(w * x**n for w, x in zip(weights, lost)) <= 1 - recall)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,15 +149,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def _roots(runs: int):
-    """The first split of every run: (path, node) rows."""
+def _roots(runs: range):
+    """The first split of these runs: (path, node) rows."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             hashes = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), "<u4").reshape(n, COORDINATES)
             paths, rows = [], []
-            for run in range(runs):
+            for run in runs:
                 for coordinate in _choose(run + 1):
                     paths.append(_child(run + 1, coordinate, hashes[:, coordinate]))
                     rows.append(np.arange(n))
@@ -162,14 +183,9 @@ def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for coordinate in _choose(int(path)):
                 new.append(_child(int(path), coordinate, hashes[at, coordinate]))
                 rows.append(at)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate(new).view(np.int64) if new else [], pa.int64()),
-                batch.column("node").take(pa.array(np.concatenate(rows) if rows else [], pa.int64())),
-                batch.column("hashes").take(pa.array(np.concatenate(rows) if rows else [], pa.int64())),
-            ],
-            names=["path", "node", "hashes"],
-        )
+        taken = batch.take(pa.array(np.concatenate(rows) if rows else [], pa.int64()))
+        path = pa.array(np.concatenate(new).view(np.int64) if new else [], pa.int64())
+        yield pa.RecordBatch.from_arrays([path, *taken.columns[1:]], names=batch.schema.names)
 
 
 def _met(hashes: np.ndarray) -> np.ndarray:
@@ -188,14 +204,22 @@ def _met(hashes: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _split(path: int, rows: np.ndarray, hashes: np.ndarray, depth: int, edges: list[tuple[int, int]]) -> None:
-    if len(rows) <= SMALL:
+def _split(
+    path: int, rows: np.ndarray, hashes: np.ndarray, roots: np.ndarray, splits: int, limit: int, small: int,
+    edges: list[tuple[int, int]], deep: np.ndarray,
+) -> None:
+    """Edges of what meets below a bucket that came of so many splits; ``deep`` gets the splits that the
+    sets of large buckets take. Sets of one root have met before."""
+    if (roots[rows] == roots[rows[0]]).all():
+        return
+    if len(rows) <= small:
         first = _met(hashes[rows])
         edges += [(int(rows[a]), int(rows[k])) for k, a in enumerate(first) if a != k]
-    elif depth >= DEPTH:
+    elif splits >= limit:
         # Sets that agree at every split: taken as met, and compared exactly with their group.
         edges += [(int(rows[0]), int(k)) for k in rows[1:]]
     else:
+        deep[rows] = np.maximum(deep[rows], splits + 1)
         for coordinate in _choose(path):
             values = hashes[rows, coordinate]
             order = np.argsort(values, kind="stable")
@@ -203,7 +227,7 @@ def _split(path: int, rows: np.ndarray, hashes: np.ndarray, depth: int, edges: l
             for part in np.split(order, cuts):
                 if len(part) > 1:
                     child = int(_child(path, coordinate, values[part[:1]])[0])
-                    _split(child, rows[part], hashes, depth + 1, edges)
+                    _split(child, rows[part], hashes, roots, splits + 1, limit, small, edges, deep)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -224,20 +248,35 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between sets that meet in a bucket: at most one less than it has sets."""
-    for group in _grouped(batches, "path"):
-        nodes = group["node"].to_pylist()
-        hashes = np.frombuffer(b"".join(group["hashes"].to_pylist()), "<u4").reshape(len(nodes), COORDINATES)
-        edges: list[tuple[int, int]] = []
-        _split(int(group["path"][0].as_py()) % (1 << 64), np.arange(len(nodes)), hashes, 1, edges)
-        edges = sorted(set(edges))
-        if edges:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([nodes[a] for a, _ in edges], pa.binary()), pa.array([nodes[b] for _, b in edges], pa.binary())],
-                names=["a", "b"],
-            )
-    give_back()
+def _buckets(splits: int, small: int):
+    """Of buckets that came of so many splits: edges between sets that meet, at most one less than a
+    bucket has sets; and sets alone with the splits they take, where these are more."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, "path"):
+            nodes = group["node"].to_pylist()
+            hashes = np.frombuffer(b"".join(group["hashes"].to_pylist()), "<u4").reshape(len(nodes), COORDINATES)
+            roots = np.arange(len(nodes))
+            if "root" in group.column_names:
+                roots = group["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+            edges: list[tuple[int, int]] = []
+            deep = np.zeros(len(nodes), np.int32)
+            path = int(group["path"][0].as_py()) % (1 << 64)
+            _split(path, np.arange(len(nodes)), hashes, roots, splits, splits + DEPTH - 1, small, edges, deep)
+            edges = sorted(set(edges))
+            large = np.flatnonzero(deep)
+            if edges or len(large):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([*(nodes[a] for a, _ in edges), *(nodes[k] for k in large)], pa.binary()),
+                        pa.array([*(nodes[b] for _, b in edges), *([None] * len(large))], pa.binary()),
+                        pa.array([*([None] * len(edges)), *deep[large].tolist()], pa.int32()),
+                    ],
+                    names=["a", "b", "deep"],
+                )
+        give_back()
+
+    return meet
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -350,43 +389,97 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def _candidates(nodes: DataFrame, runs: int, bucket: int) -> DataFrame:
-    """Edges between nodes that met in any run."""
+def _candidates(nodes: DataFrame, runs: range, bucket: int, small: int) -> DataFrame:
+    """(a, b, deep): edges between nodes that met in any of the runs, and nodes of large buckets (b is
+    null) with the splits that these take. Nodes may have a root, those of one root have met."""
     spark = nodes.sparkSession
+    rooted = ["root"] if "root" in nodes.columns else []
+    kinds = ", ".join(["path long", "node binary", "hashes binary", *(f"{c} binary" for c in rooted)])
+
+    def unmet(rows: DataFrame) -> DataFrame:
+        found = [F.min("root") < F.max("root")] if rooted else [F.lit(True)]
+        sizes = rows.groupBy("path").agg(F.count("*").alias("count"), *(x.alias("unmet") for x in found))
+        return rows.join(sizes.where("count > 1 and unmet").drop("unmet"), "path")
+
     rows = nodes.select("node", "hashes").mapInArrow(_roots(runs), "path long, node binary")
     first = cut_lineage(rows)
     sizes = first.groupBy("path").count().where("count > 1")
-    shared = first.join(sizes, "path").select("path", "node", "count").join(nodes.select("node", "hashes"), "node")
-    shared = cut_lineage(shared.select("path", "node", "hashes", "count"))
+    shared = first.join(sizes, "path").select("path", "node", "count").join(nodes.select("node", "hashes", *rooted), "node")
+    shared = cut_lineage(shared.select("path", "node", "hashes", *rooted, "count"))
     ready = [shared.where(F.col("count") <= bucket).drop("count")]
     large = shared.where(F.col("count") > bucket).drop("count")
+    if rooted:
+        large = unmet(large).drop("count")
+    deep = []
     depth = 1
     while depth < DEPTH and not large.isEmpty():
-        split = cut_lineage(large.mapInArrow(_deeper, "path long, node binary, hashes binary"))
-        sized = split.join(split.groupBy("path").count().where("count > 1"), "path")
+        deep.append(large.select("node").distinct().withColumn("deep", F.lit(depth + 1)))
+        split = cut_lineage(large.mapInArrow(_deeper, kinds))
+        sized = unmet(split)
         ready.append(sized.where(F.col("count") <= bucket).drop("count"))
         large = cut_lineage(sized.where(F.col("count") > bucket).drop("count"))
         depth += 1
     edges = None
     parts = shuffle_parts(spark)
-    for rows in ready:
+    for splits, rows in enumerate(ready, 1):
         met = (
-            rows.repartition(parts, "path").sortWithinPartitions("path").mapInArrow(_buckets, "a binary, b binary")
+            rows.repartition(parts, "path")
+            .sortWithinPartitions("path")
+            .mapInArrow(_buckets(splits, small), "a binary, b binary, deep int")
         )
         edges = met if edges is None else edges.unionByName(met)
+    none = F.lit(None)
+    for rows in deep:
+        edges = edges.unionByName(rows.select(F.col("node").alias("a"), none.cast("binary").alias("b"), "deep"))
     if depth == DEPTH:
         # No split has parted these: taken as met, and compared exactly with their group.
         head = large.groupBy("path").agg(F.min("node").alias("a"))
-        edges = edges.unionByName(large.join(head, "path").select("a", F.col("node").alias("b")))
+        met = large.join(head, "path").select("a", F.col("node").alias("b"), none.cast("int").alias("deep"))
+        edges = edges.unionByName(met)
     return edges
 
 
+def _met_groups(nodes: DataFrame, recall: float, bucket: int, small: int) -> DataFrame:
+    """(node, root): groups of what has met after the runs that the splits of its buckets ask for.
+
+    After the first runs, only nodes of buckets that took more splits go on, and of these only buckets in
+    which not all have met. A round makes about as many rows as the first.
+    """
+    done, runs = 0, runs_for(recall)
+    active, groups, deep = nodes.select("node", "hashes"), None, None
+    while True:
+        met = cut_lineage(_candidates(active, range(done, runs), bucket, small))
+        edges = met.where("b is not null").select("a", "b")
+        if groups is not None:
+            edges = edges.unionByName(groups.select(F.col("root").alias("a"), F.col("node").alias("b")))
+        groups = components(edges)
+        seen = met.where("b is null").select(F.col("a").alias("node"), "deep")
+        seen = seen if deep is None else seen.unionByName(deep)
+        deep = cut_lineage(seen.groupBy("node").agg(F.max("deep").alias("deep")))
+        done = runs
+        enough = next(n for n in count(2) if runs_for(recall, n + 1) > done)
+        pending = deep.where(F.col("deep") > enough)
+        left = pending.agg(F.count("*").alias("n"), F.max("deep").alias("deep")).first()
+        if not left["n"]:
+            return groups
+        room = runs_for(recall) * nodes.count() // left["n"]
+        runs = min(runs_for(recall, left["deep"]), done + room)
+        active = (
+            nodes.select("node", "hashes")
+            .join(pending.select("node"), "node")
+            .join(groups, "node", "left")
+            .withColumn("root", F.coalesce("root", "node"))
+        )
+        active = cut_lineage(active)
+
+
 def similar_classes(
     docs: DataFrame,
     threshold: float = THRESHOLD,
     recall: float = RECALL,
     block: int = BLOCK,
     bucket: int = BUCKET,
+    small: int = SMALL,
 ) -> DataFrame:
     """One row per document: doc_id, print, class_id, class_size, n_links, n_text_links, kept.
 
@@ -417,7 +510,7 @@ def similar_classes(
             F.first("hashes").alias("hashes"),
         )
     )
-    groups = components(_candidates(nodes, runs_for(recall), bucket))
+    groups = _met_groups(nodes, recall, bucket, small)
     members = cut_lineage(groups.join(nodes.drop("hashes"), "node"))
 
     # Shingles again, for one text of each node of a group. A fixed bitmap of their hashes keeps the

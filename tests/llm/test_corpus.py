@@ -158,6 +158,52 @@ def test_similar_classes_agree_with_all_pairs(docs, nothing, block, bucket):
     assert jaccard.similar_classes(nothing).count() == 0
 
 
+def passage_pairs(n):
+    """Pairs of texts at a similarity just over 0.8 whose common part is passages that most others share."""
+    rng = random.Random(11)
+    out = []
+    for _ in range(n):
+        chosen = [(slot, int(rng.random() < 0.3)) for slot in range(40)]
+        common = " ".join(" ".join(f"p{slot}v{kind}w{k}" for k in range(12)) for slot, kind in chosen)
+        out += [" ".join([common, *(f"e{rng.randint(0, 10**9)}" for _ in range(56))]) for _ in range(2)]
+    return out
+
+
+def test_pairs_in_large_buckets_are_met(spark):
+    ship_package(spark)
+    given = passage_pairs(30)
+    shingle = jaccard.Shingler()
+    sets = [set(shingle(x).tolist()) for x in given]
+    assert all(0.8 <= len(a & b) / len(a | b) < 0.83 for a, b in zip(sets[::2], sets[1::2]))
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").repartition(3)
+    got = by_key(jaccard.similar_classes(docs, small=2), "doc_id", "class_id", "n_links")
+    assert got == [(k, k - k % 2, 1) for k in range(len(given))]
+
+
+def test_recall_where_most_share_passages():
+    """Pairs at 0.8 whose common coordinates most others share: eight runs lose several of them."""
+    rng, pairs = np.random.default_rng(7), 800
+    kinds = (rng.random((pairs, 40)) < 0.3).astype(int)
+    passages = 1 - rng.random((40, 2, jaccard.COORDINATES)) ** (1 / 12)
+    common = np.min([passages[k, kinds[:, k]] for k in range(40)], axis=0)
+    halves = [np.minimum(common, 1 - rng.random(common.shape) ** (1 / 60)) for _ in range(2)]
+    hashes = (np.concatenate(halves) * (1 << 36)).astype(np.uint64).astype("<u4")
+    rows, deep, met = np.arange(2 * pairs), np.zeros(2 * pairs, np.int32), np.zeros(pairs, bool)
+    run = 0
+    while run < jaccard.runs_for(jaccard.RECALL, max(2, int(deep.max()))):
+        run += 1
+        edges = []
+        jaccard._split(run, rows, hashes, rows, 0, jaccard.DEPTH, 2, edges, deep)
+        head = {}
+        for a, b in edges:
+            head.setdefault(a, {a}).add(b)
+        for group in head.values():
+            met[[k for k in group if k < pairs and k + pairs in group]] = True
+        if run == 8:
+            assert not met.all()
+    assert met.all()
+
+
 def test_language(spark, nothing):
     ship_package(spark)
     rng = random.Random(5)
