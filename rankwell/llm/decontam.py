@@ -25,6 +25,7 @@ STRIDE = 64  # a passage is two strides, so any 64 words in a row lie inside one
 THRESHOLD = 0.5  # score from which a unit is retrieved
 QUESTION, ANSWER = 0.6, 0.5  # shares of word trigrams that must be in the passage
 NGRAM = 3
+JUDGED = 8  # trigrams from which the question or the answer of a unit is judged by itself
 BLOCK = 32  # postings per block
 SPAN = 1  # units that share a bound in the first test
 SHARD_WORDS = 1_000_000  # words of a shard: bounds what is broadcast
@@ -186,8 +187,15 @@ class Index:
         return found
 
     def overlaps(self, unit: int, passage: list[str]) -> tuple[float, float]:
-        """Shares of the trigrams of the question and of the answer that the passage holds."""
+        """Shares of the trigrams of the question and of the answer that the passage holds.
+
+        Where either has too few of them to be judged alone, or none in this unit, both are the share of
+        the unit as a whole, whatever the length of its item.
+        """
         words, cut = self.words[unit], self.question[unit]
+        if min(cut, len(words) - cut) < JUDGED + NGRAM - 1:
+            whole = _share(words, passage)
+            return whole, whole
         return _share(words[:cut], passage), _share(words[cut:], passage)
 
 
@@ -259,7 +267,8 @@ def contaminated(
     """One row per document and test item that it holds.
 
     Columns: doc_id, print (hash of the text), item_id, passages, score, question_overlap,
-    answer_overlap (of the best passage). Every passage of every text is searched. Null and empty texts
+    answer_overlap (of the best passage; both the share of the whole unit where it has too little of
+    either). Every passage of every text is searched. Null and empty texts
     and items match nothing; repeated rows of one key and text give one row; null keys are kept; an
     empty table on either side gives an empty result. Other columns are not read.
     """

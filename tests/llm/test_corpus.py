@@ -234,6 +234,23 @@ def test_decontamination(spark, nothing):
     assert decontam.contaminated(docs, items.where("item_id < 0")).count() == 0
 
 
+def test_edited_and_cut_copies_of_items(spark):
+    ship_package(spark)
+    rng = random.Random(16)
+    rows, items = [], []
+    for k, (size, last) in enumerate([(30, 1), (30, 2), (30, 4), (30, 7), (110, 1), (110, 4)]):
+        body = [f"{rng.choice(WORDS)}{rng.randint(0, 9999)}" for _ in range(size)]
+        answer = [f"{rng.choice(WORDS)}{rng.randint(0, 9999)}" for _ in range(last)]
+        items.append((k, f"{' '.join(body)}. {' '.join(answer)}."))
+        changed = [*answer[: last // 2], "other", *answer[last // 2 + 1 :]]
+        rows += [(10 * k, f"{' '.join(body)}. {' '.join(changed)}."), (10 * k + 1, " ".join(body)), (10 * k + 2, items[-1][1])]
+        rows.append((10 * k + 3, " ".join(x for w in body for x in (w, "between"))))
+    got = decontam.contaminated(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    assert by_key(got, "doc_id", "item_id") == [(10 * k + n, k) for k in range(len(items)) for n in range(3)]
+
+
 def test_wand_finds_what_scoring_all_finds():
     rng = random.Random(8)
     units = [[rng.choice(WORDS) + str(rng.randint(0, 5)) for _ in range(rng.randint(3, 30))] for _ in range(150)]
