@@ -67,7 +67,7 @@ def features(blocks: list[Block]) -> list[np.ndarray]:
         names.append(f"ends {block.text[-1] if block.text[-1] in '.!?:,|' else 'no'}")
         names.append(f"mean {min(letters // max(len(words), 1), 12)}")
         names.append(f"place {'first' if k < 2 else 'last' if k >= len(blocks) - 2 else 'mid'}")
-        if any(w.isdigit() for w in words[:20]):
+        if any(w.isdigit() for w in words):
             names.append("number")
         if "©" in block.text or "copyright" in block.text.lower():
             names.append("copyright")

@@ -309,6 +309,13 @@ def test_licences(spark, nothing):
     assert licences.licences_of(nothing).count() == 0
 
 
+def test_measures_read_the_whole_text():
+    words = [f"a{k}" for k in range(300)] + [f"q{k}" for k in range(700)]
+    assert weak_quality.measures(" ".join(words))["vowels"] == 0.3
+    block = html_blocks.blocks_of("<p>" + "word " * 30 + "77</p>")
+    assert html_crf._cell("number") in html_crf.features(block)[0]
+
+
 LICENCE_TEXTS = {
     ("MIT", None, 3): (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated'
