@@ -35,10 +35,10 @@ CELLS = 1 << 21  # source pairs corrected at once
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-_POSTING = pa.struct(
-    [("lang", pa.string()), ("term", pa.binary()), ("source", pa.string()), ("n", pa.int64()), ("docs", pa.int64())]
+_RUN = (
+    "shard int, run long, keys array<binary>, sizes array<int>, names array<string>,"
+    " sources array<int>, n array<long>, docs array<long>"
 )
-_RUN = "shard int, run long, page array<struct<lang: string, term: binary, source: string, n: bigint, docs: bigint>>"
 
 
 def terms(text: str) -> list[bytes]:
@@ -46,42 +46,74 @@ def terms(text: str) -> list[bytes]:
     return text.encode().translate(_LETTERS).split()
 
 
-def _page(shard: np.ndarray, run: int, rows: pa.StructArray) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of their shards as one page a shard."""
+def _key(lang: str) -> bytes:
+    """What stands before a term, so that terms of different languages never meet."""
+    return len(lang.encode()).to_bytes(4, "big") + lang.encode()
+
+
+def _term(key: bytes) -> tuple[str, str]:
+    cut = 4 + int.from_bytes(key[:4], "big")
+    return key[4:cut].decode(), key[cut:].decode()
+
+
+def _lists(values: pa.Array, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), values)
+
+
+def _pages(shard: np.ndarray, run: int, names: list[str], keys: list[bytes], rows: list[np.ndarray]) -> pa.RecordBatch:
+    """Sorted keys and the rows (key, source, n, docs) of their postings as one page a shard.
+
+    Keys are in the order of their shards, and rows in the order of their keys.
+    """
     starts = np.flatnonzero(np.diff(shard, prepend=-1))
-    offsets = np.append(starts, len(shard)).astype(np.int32)
-    yield pa.RecordBatch.from_arrays(
+    key_ends = np.append(starts[1:], len(keys))
+    place, source, n, docs = rows
+    sizes = np.bincount(place, minlength=len(keys))
+    ends = np.cumsum(sizes)[key_ends - 1]
+    names = pa.array(names, pa.string())
+    return pa.RecordBatch.from_arrays(
         [
             pa.array(shard[starts].astype(np.int32)),
             pa.array(np.full(len(starts), run, np.int64)),
-            pa.ListArray.from_arrays(pa.array(offsets), rows),
+            _lists(pa.array(keys, pa.binary()), key_ends),
+            _lists(pa.array(sizes.astype(np.int32)), key_ends),
+            _lists(pa.concat_arrays([names] * len(starts)), len(names) * np.arange(1, len(starts) + 1)),
+            _lists(pa.array(source.astype(np.int32)), ends),
+            _lists(pa.array(n), ends),
+            _lists(pa.array(docs), ends),
         ],
-        names=["shard", "run", "page"],
+        names=["shard", "run", "keys", "sizes", "names", "sources", "n", "docs"],
     )
 
 
-def _spill(block: dict, shards: int, run: int) -> Iterator[pa.RecordBatch]:
-    langs, sources, words, n, docs = [], [], [], [], []
-    for (lang, source), (counts, spread) in block.items():
+def _spill(block: dict, shards: int, run: int) -> pa.RecordBatch:
+    """A block as one run: its terms sorted, and the postings behind each."""
+    number = {source: k for k, source in enumerate(sorted({s for groups in block.values() for s in groups}))}
+    keys, parts = [], []
+    for lang, groups in block.items():
+        listed = sorted(set().union(*(counts for counts, _ in groups.values())))
         # The empty term stands for the group itself, which may have no other.
-        words += [b"", *counts]
-        n += [0, *counts.values()]
-        docs += [0, *map(spread.__getitem__, counts)]
-        langs += [lang] * (len(counts) + 1)
-        sources += [source] * (len(counts) + 1)
-    table = pa.table(
-        {
-            "shard": pa.array([zlib.crc32(w) % shards for w in words], pa.int32()),
-            "lang": pa.array(langs, pa.string()),
-            "term": pa.array(words, pa.binary()),
-            "source": pa.array(sources, pa.string()),
-            "n": pa.array(n, pa.int64()),
-            "docs": pa.array(docs, pa.int64()),
-        }
-    )
-    table = table.sort_by([(c, "ascending") for c in ("shard", "lang", "term", "source")]).combine_chunks()
-    rows = pa.StructArray.from_arrays([table[f.name].combine_chunks() for f in _POSTING], fields=list(_POSTING))
-    yield from _page(table["shard"].to_numpy(), run, rows)
+        place = {w: len(keys) + k for k, w in enumerate([b"", *listed])}
+        start = _key(lang)
+        keys += [start + w for w in place]
+        for source, (counts, spread) in groups.items():
+            size = len(counts) + 1
+            columns = [np.zeros(size, np.int64) for _ in range(4)]
+            columns[0][0] = place[b""]
+            columns[0][1:] = np.fromiter(map(place.__getitem__, counts), np.int64, size - 1)
+            columns[1][:] = number[source]
+            columns[2][1:] = np.fromiter(counts.values(), np.int64, size - 1)
+            columns[3][1:] = np.fromiter(spread.values(), np.int64, size - 1)  # in the order of counts
+            parts.append(columns)
+    shard = np.fromiter((zlib.crc32(k) % shards for k in keys), np.int64, len(keys))
+    by_key = sorted(range(len(keys)), key=keys.__getitem__)
+    by_key = np.array(by_key)[np.argsort(shard[by_key], kind="stable")]
+    rank = np.empty(len(keys), np.int64)
+    rank[by_key] = np.arange(len(keys))
+    rows = [np.concatenate(c) for c in zip(*parts)]
+    rows[0] = rank[rows[0]]
+    order = np.argsort(rows[0], kind="stable")
+    return _pages(shard[by_key], run, list(number), [keys[k] for k in by_key], [c[order] for c in rows])
 
 
 def _runs(shards: int, block_size: int):
@@ -90,76 +122,91 @@ def _runs(shards: int, block_size: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 for text, lang, source in zip(*(part.column(c).to_pylist() for c in ("text", "lang", "source"))):
-                    counts, spread = block.setdefault((lang, source), (Counter(), Counter()))
+                    counts, spread = block.setdefault(lang, {}).setdefault(source, (Counter(), Counter()))
                     words, before = terms(text), len(counts)
-                    distinct = set(words)
+                    distinct = dict.fromkeys(words)
                     counts.update(words)
-                    spread.update(distinct)
+                    spread.update(iter(distinct))  # new terms enter both in the same order
                     held += len(counts) - before + sum(len(w) for w in distinct if len(w) > LONG) // LONG
                     if held >= block_size:
-                        yield from _spill(block, shards, run)
+                        yield _spill(block, shards, run)
                         block, held, run = {}, 0, run + 1
         if block:
-            yield from _spill(block, shards, run)
+            yield _spill(block, shards, run)
         block = None
         give_back()
 
     return index
 
 
-def _postings(page) -> Iterator[tuple]:
-    rows = page.values
-    columns = [rows.field(k).to_pylist() for k in range(5)]
-    return zip(*columns)
+def _merged(table: pa.Table) -> tuple[list[str], list[bytes], list[np.ndarray]]:
+    """Some runs of a shard as one: source names, sorted keys, and rows (key, source, n, docs).
 
-
-def _merged(table: pa.Table) -> Iterator[tuple]:
-    """The postings of some runs in the order of their terms, equal ones added up."""
-    pages = (table["page"].chunk(i)[k] for i in range(table["page"].num_chunks) for k in range(len(table["page"].chunk(i))))
-    last, n, docs = None, 0, 0
-    for lang, term, source, more, seen in heapq.merge(*map(_postings, pages)):
-        if (lang, term, source) != last:
-            if last:
-                yield *last, n, docs
-            last, n, docs = (lang, term, source), 0, 0
-        n += more
-        docs += seen
-    if last:
-        yield *last, n, docs
+    The heap holds one key of every run; postings follow as arrays and equal ones are added up.
+    """
+    table = table.combine_chunks()
+    columns = {c: table[c].chunk(0) for c in table.column_names}  # a group has a row at least
+    name_of = columns["names"].flatten().dictionary_encode()
+    names = name_of.dictionary.to_pylist()
+    name_starts = np.cumsum([0, *(len(x) for x in columns["names"])])
+    codes = name_of.indices.to_numpy()
+    counts = np.diff(columns["sources"].offsets.to_numpy())
+    source = codes[np.repeat(name_starts[:-1], counts) + columns["sources"].flatten().to_numpy()]
+
+    first = np.cumsum([0, *(len(x) for x in columns["keys"])]).tolist()
+    listed = columns["keys"].flatten().to_pylist()
+    sorted_runs = [zip(listed[a:b], range(a, b)) for a, b in zip(first, first[1:])]
+    order, at, keys, last = np.empty(len(listed), np.int64), np.empty(len(listed), np.int64), [], None
+    for k, (key, position) in enumerate(heapq.merge(*sorted_runs)):
+        if key != last:
+            keys.append(key)
+            last = key
+        order[k], at[k] = position, len(keys) - 1
+
+    sizes = columns["sizes"].flatten().to_numpy().astype(np.int64)
+    starts = (np.cumsum(sizes) - sizes)[order]
+    sizes = sizes[order]
+    gathered = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    cell = np.repeat(at, sizes) * max(len(names), 1) + source[gathered]
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    bounds = np.flatnonzero(np.diff(cell, prepend=-1))
+    n, docs = (
+        np.add.reduceat(columns[c].flatten().to_numpy()[gathered][order], bounds) if len(bounds) else np.zeros(0, np.int64)
+        for c in ("n", "docs")
+    )
+    cell = cell[bounds]
+    return names, keys, [cell // max(len(names), 1), cell % max(len(names), 1), n, docs]
 
 
 def _merge_runs(key: tuple, table: pa.Table) -> pa.Table:
     """Some runs of a shard as one."""
-    rows = list(zip(*_merged(table)))
-    page = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _POSTING)], fields=list(_POSTING))
-    shard = np.full(len(page), key[0].as_py(), np.int32)
-    return pa.Table.from_batches(_page(shard, key[1].as_py(), page))
+    names, keys, rows = _merged(table)
+    shard = np.full(len(keys), key[0].as_py(), np.int64)
+    return pa.Table.from_batches([_pages(shard, key[1].as_py(), names, keys, rows)])
 
 
 def _frequencies(least: int):
     def finish(table: pa.Table) -> pa.Table:
         """The last merge of a shard: whole terms, of which those in few documents go."""
-        out = [[], [], [], [], [], []]
-
-        def add(lang: str, term: bytes, sources: list) -> None:
-            if term == b"" or sum(docs for _, _, docs in sources) >= least:
-                total = sum(n for _, n, _ in sources)
-                for k, (source, n, _) in enumerate(sources):
-                    for column, value in zip(out, (lang, source, term.decode(), n, total, int(k == 0))):
-                        column.append(value)
-
-        last, sources = None, []
-        for lang, term, source, n, docs in _merged(table):
-            if (lang, term) != last:
-                if last:
-                    add(*last, sources)
-                last, sources = (lang, term), []
-            sources.append((source, n, docs))
-        if last:
-            add(*last, sources)
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32())
-        names = ("lang", "source", "term", "n", "lang_n", "first")
-        return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+        names, keys, (place, source, n, docs) = _merged(table)
+        split = [_term(k) for k in keys]
+        spread, total = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        np.add.at(spread, place, docs)
+        np.add.at(total, place, n)
+        keep = np.array([not word for _, word in split], bool) | (spread >= least)
+        kept = np.flatnonzero(keep[place])
+        place, chosen = place[kept], pa.array(place[kept])
+        return pa.table(
+            {
+                "lang": pa.array([a for a, _ in split], pa.string()).take(chosen),
+                "source": pa.array(names, pa.string()).take(pa.array(source[kept])),
+                "term": pa.array([b for _, b in split], pa.string()).take(chosen),
+                "n": pa.array(n[kept]),
+                "lang_n": pa.array(total[place]),
+                "first": pa.array((np.diff(place, prepend=-1) != 0).astype(np.int32)),
+            }
+        )
 
     return finish
 
@@ -181,16 +228,15 @@ def frequencies(
     shards = max(shuffle_parts(spark), min((scanned or 0) + 1, SHARDS))
     runs = cut_lineage(rows.mapInArrow(_runs(shards, block), _RUN))
     while True:
-        size = runs.agg(F.count_distinct("run").alias("runs"), F.count("*").alias("pages"), F.sum(F.size("page")).alias("rows"))
+        size = runs.agg(F.count_distinct("run").alias("runs"), F.count("*").alias("pages"), F.sum(F.size("n")).alias("rows"))
         size = size.first()
         fan = max(2, int(merged * size["pages"] / max(size["rows"] or 0, 1)))
         if (size["runs"] or 0) <= fan:
             break
         batches = -(-size["runs"] // fan)
-        keyed = runs.select("shard", F.pmod(F.xxhash64("run"), F.lit(batches)).alias("run"), "page")
+        keyed = runs.withColumn("run", F.pmod(F.xxhash64("run"), F.lit(batches)))
         runs = cut_lineage(keyed.groupBy("shard", "run").applyInArrow(_merge_runs, _RUN))
-    kept = runs.select("shard", "page").groupBy("shard")
-    return kept.applyInArrow(_frequencies(least), "lang string, source string, term string, n long, lang_n long, first int")
+    return runs.groupBy("shard").applyInArrow(_frequencies(least), "lang string, source string, term string, n long, lang_n long, first int")
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
