@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -241,9 +242,12 @@ def frequencies(
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
     """1 + floor(10^9 (n + 2) / (total + 2 terms)), exact; null without terms."""
-    high = F.lit(1_000_000_000).cast("decimal(10,0)") * (n.cast("decimal(20,0)") + F.lit(2))
-    whole = (total + 2 * terms).cast("decimal(20,0)")
-    return F.lit(1) + F.when(whole > 0, F.call_function("div", high, whole))
+    wide = F.lit(1_000_000_000).cast("decimal(10,0)") * (n.cast("decimal(20,0)") + F.lit(2))
+    whole = total + 2 * terms
+    share = F.when(  # counts beyond this times 10^9 leave 64 bits
+        n < 9_000_000_000, F.call_function("div", F.lit(1_000_000_000).cast("long") * (n + 2), whole)
+    ).otherwise(F.call_function("div", wide, whole.cast("decimal(20,0)")))
+    return F.lit(1) + F.when(whole > 0, share)
 
 
 def _gap(p: Column, q: Column) -> Column:
@@ -273,29 +277,34 @@ def _correct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = [pa.array(c, pa.string()) for c in columns] + [pa.array(sums)]
         yield from pa.table(arrays, names=["lang", "source", "other", "value"]).to_batches(max_chunksize=100_000)
 
+    def gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a - b) ** 2 // (a + b)
+
     for batch in batches:
-        for lang, found in zip(batch.column("lang").to_pylist(), batch.column("found")):
-            rows = found.values
-            order = rows.field("source").to_pylist()  # sorted, as the rows are
-            number = np.array([names.setdefault((lang, s), len(names)) for s in order], np.int64)
-            p, none = (rows.field(f).to_numpy() for f in ("p", "none"))
-
-            def gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                return (a - b) ** 2 // (a + b)
-
-            step = max(1, CELLS // len(order))
-            for at in range(0, len(order), step):
-                i, j = np.triu_indices(min(step, len(order) - at), 1, len(order) - at)
-                i, j = i + at, j + at
-                keys.append(number[i] << 32 | number[j])
-                values.append(gap(p[i], p[j]) - gap(p[i], none[j]) - gap(none[i], p[j]) + gap(none[i], none[j]))
-                size += len(i)
-                if size >= CELLS:
-                    distinct, sums = summed()
-                    keys, values, size = [distinct], [sums], len(distinct)
-                    if size >= CELLS // 2:
-                        yield from send()
-                        keys, values, size = [], [], 0
+        # Postings of all terms of a batch as arrays; a posting meets those behind it in its own term.
+        found = batch.column("found")
+        rows, sizes = found.flatten(), pc.list_value_length(found).to_numpy().astype(np.int64)
+        langs = pc.take(batch.column("lang"), pa.array(np.repeat(np.arange(len(sizes)), sizes))).to_pylist()
+        pairs = zip(langs, rows.field("source").to_pylist())
+        number = np.fromiter((names.setdefault(pair, len(names)) for pair in pairs), np.int64, len(rows))
+        p, none = (rows.field(f).to_numpy() for f in ("p", "none"))
+        behind = np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(len(rows))
+        reach = np.cumsum(behind)
+        start = 0
+        while start < len(rows):
+            done = reach[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(reach, done + CELLS, side="right")))
+            i = np.repeat(np.arange(start, stop), behind[start:stop])
+            j = i + 1 + np.arange(len(i)) - np.repeat(reach[start:stop] - behind[start:stop] - done, behind[start:stop])
+            keys.append(number[i] << 32 | number[j])
+            values.append(gap(p[i], p[j]) - gap(p[i], none[j]) - gap(none[i], p[j]) + gap(none[i], none[j]))
+            size, start = size + len(i), stop
+            if size >= CELLS:
+                distinct, sums = summed()
+                keys, values, size = [distinct], [sums], len(distinct)
+                if size >= CELLS // 2:
+                    yield from send()
+                    keys, values, size = [], [], 0
     if keys:
         yield from send()
 

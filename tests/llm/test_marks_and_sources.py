@@ -211,6 +211,15 @@ def test_corrections_are_summed_whatever_the_batch(monkeypatch):
     assert sums() == want and len(want) == 2 * 28
 
 
+def test_share_of_very_large_counts(spark):
+    rows = [(n, total, terms) for n in (0, 5, 9_000_000_000, 4 * 10**18) for total, terms in ((7, 3), (9 * 10**18, 10**5), (0, 0))]
+    df = spark.createDataFrame(rows, "n long, total long, terms long").where("n <= 100 or total > 100")
+    shares = df.select("*", divergence._share(F.col("n"), F.col("total"), F.col("terms")).alias("p")).collect()
+    for r in shares:
+        whole = r["total"] + 2 * r["terms"]
+        assert r["p"] == (1 + 10**9 * (r["n"] + 2) // whole if whole else None)
+
+
 def test_hash_of_a_document_does_not_depend_on_its_text():
     assert fim.choose(5, "abc", 1)[0] == fim.choose(5, "xyz", 1)[0]
     name = hashlib.sha256(b"1:5").hexdigest()
