@@ -18,6 +18,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pa_fs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,14 +158,36 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _numbered(known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _stored(path: str, columns: list[str]) -> pa.Table:
+    """Columns of a table in the shared folder, which may be on any file system that pyarrow opens."""
+    files, base = pa_fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (None, path)
+    return pq.read_table(base, columns=columns, filesystem=files, use_threads=False, partitioning=None)
+
+
+@functools.lru_cache(maxsize=1)
+def _known_words(path: str) -> tuple[np.ndarray, pa.Array]:
+    """Hashes in rising order, and their words; the files are ranges of the hash, in the order of their names."""
+    held = _stored(path, ["hash", "piece"])
+    return held["hash"].to_numpy(), held["piece"].combine_chunks()
+
+
+@functools.lru_cache(maxsize=1)
+def _known_ids(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of the same words: all of them in one array, and the start and number of each word's."""
+    lists = _stored(path, ["ids"])["ids"]
+    sizes = pc.list_value_length(lists).to_numpy().astype(np.int32)
+    starts = (np.cumsum(sizes) - sizes).astype(np.int32)
+    return np.concatenate([np.zeros(0, "<u4"), *(c.flatten().to_numpy().astype("<u4") for c in lists.chunks)]), starts, sizes
+
+
+def _numbered(known: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Groups of documents as rows: the word numbers of each, and the distinct words without ids.
 
     Numbers below the size of the common table are its rows; the others are places in ``words``.
     """
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table = known.value
+        hashes, table = _known_words(known)
         base = len(table)
         keys, seqs, words, held = [], [], {}, 0
 
@@ -234,11 +258,11 @@ class _Joined:
         return self.held
 
 
-def _finished(known, ranks_path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _finished(known: str, ranks_path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Ids of every document from its word numbers, and the bytes that the ids stand for."""
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (common_values, common_starts, common_sizes), ranks = known.value, load_ranks(ranks_path)
+        (common_values, common_starts, common_sizes), ranks = _known_ids(known), load_ranks(ranks_path)
         pieces = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece
@@ -298,26 +322,20 @@ def encode_decode(
     # plans would put them in few tasks.
     spread = frequent.select("piece", F.xxhash64("piece").alias("hash"))
     spread = spread.repartitionByRange(2 * shuffle_parts(spark), "hash").sortWithinPartitions("hash")
-    held = spread.select("hash", "piece", F.get(fold_merges(F.array("piece"), table), F.lit(0)).alias("ids")).toArrow()
-    lists = held["ids"]
-    # Words go to the tasks that number them, their ids to those that put the ids together.
-    listed = spark.sparkContext.broadcast((held["hash"].to_numpy(), held["piece"].combine_chunks()))
-    sizes = pc.list_value_length(lists).to_numpy().astype(np.int32)
-    starts = (np.cumsum(sizes) - sizes).astype(np.int32)
-    values = np.concatenate([np.zeros(0, "<u4"), *(c.flatten().to_numpy().astype("<u4") for c in lists.chunks)])
-    coded = spark.sparkContext.broadcast((values, starts, sizes))
-    del held, lists, values, starts, sizes
-    give_back()
+    # The table stays in the shared folder: each Python worker that needs it opens it there once.
+    known = fresh_dir(spark, "words")
+    ids = F.get(fold_merges(F.array("piece"), table), F.lit(0)).alias("ids")
+    spread.select("hash", "piece", ids).write.option("compression", "zstd").parquet(known)
 
     rows = docs.select(F.col(key).alias("doc_id"), whole_text(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     grouped = rows.mapInArrow(
-        _numbered(listed), f"doc_ids array<{kind}>, seqs array<binary>, words array<string>, long array<string>"
+        _numbered(known), f"doc_ids array<{kind}>, seqs array<binary>, words array<string>, long array<string>"
     )
     # Written, so that a task runs one Python worker at a time and no lost executor repeats the fold.
     folded = grouped.select("doc_ids", "seqs", "long", fold_merges(F.col("words"), table).alias("ids"))
     step = fresh_dir(spark, "folded")
     folded.write.option("compression", "zstd").parquet(step)
     return spark.read.schema(folded.schema).parquet(step).mapInArrow(
-        _finished(coded, path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        _finished(known, path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
