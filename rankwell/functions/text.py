@@ -156,7 +156,7 @@ def fold_accents(col: Column) -> Column:
     plain = F.octet_length(col) == F.char_length(col)
     wide = F.create_map([F.lit(x) for pair in several.items() for x in pair])
     spread = F.array_join(F.transform(F.split(col, ""), lambda c: F.coalesce(wide[c], c)), "")
-    some = col.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in several) + "]")
+    some = F.length(F.translate(col, "".join(several), "")) != F.length(col)  # far faster than a class of them
     return F.when(plain, col).otherwise(F.translate(F.when(some, spread).otherwise(col), source + marks, target))
 
 

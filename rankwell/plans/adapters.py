@@ -164,6 +164,27 @@ from {customer}
 select user_id as source_id, cast(ts as date) as run_day, event_id, event_type, value,
   cast(ts as timestamp) as acted_at
 from {events}
+""",
+    # Records and how they change: at version 1 a third is older and pays less, at 2 a fifth is on site.
+    "record_versions": """
+select 'part-' || cast(p_partkey as string) as job_id, p_partkey as part_key, v.version, p_name as title,
+  p_brand as company_name, cast(null as string) as company_domain,
+  case p_partkey % 6 when 0 then 'IN' when 1 then 'US' when 2 then 'GB' when 3 then 'CA' when 4 then 'DE' end
+    as country_code,
+  case when v.version = 2 then 'onsite' when p_type in ('ECONOMY', 'SMALL') then 'remote'
+    when p_type = 'PROMO' then 'hybrid' else 'unknown' end as work_mode,
+  case p_type when 'ECONOMY' then 'global' when 'PROMO' then 'india' else 'unknown' end as remote_scope,
+  case when p_size <= 9 then 'junior' when p_size <= 18 then 'mid' when p_size <= 27 then 'senior'
+    when p_size <= 36 then 'staff' else 'unknown' end as seniority,
+  p_name || ' team uses ' || case p_size % 4 when 0 then 'Python and AWS' when 1 then 'React, TypeScript'
+    when 2 then 'Postgres, Docker and k8s' else 'py, psql' end as description_text,
+  cast(p_retailprice as double) as salary_min,
+  cast(p_retailprice as double) * case when v.version = 1 then 2 else 60 end as salary_max,
+  case p_partkey % 3 when 0 then 'USD' when 1 then 'INR' else 'EUR' end as salary_currency,
+  'year' as salary_period,
+  cast(case when v.version = 1 then '1995-05-01' else '1995-06-20' end as timestamp) as posted_at
+from {part} join (select 0 as version union all select 1 union all select 2) v
+  on v.version = 0 or (v.version = 1 and p_partkey % 3 = 0) or (v.version = 2 and p_partkey % 5 = 0)
 """,
     # Salary text in six notations with the figures it must give.
     "salary_text": """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rankwell.functions import labels
 from rankwell.functions.text import round2
-from rankwell.operators import feed, scoring, search
+from rankwell.operators import feed, reach, scoring, search
 from rankwell.plans.adapters import CHECKS, NOW
 from rankwell.plans.queries_ingest import hashed, jobs_of, stamp
 from rankwell.plans.registry import Inputs, query
@@ -71,7 +71,7 @@ def feed_table(t: Inputs, *columns: str):
 
 # --- the same in plain SQL --------------------------------------------------------------------------
 
-CHECKS["job_side"] = """
+_JOB_SIDE = """
 select j.*, g.tags, e.embedding::double[] as vec, upper(j.country_code) as cc,
   (list_position(['intern','junior','mid','senior','lead','staff','principal','director','exec'],
     j.seniority) - 1) as jr,
@@ -80,12 +80,13 @@ select j.*, g.tags, e.embedding::double[] as vec, upper(j.country_code) as cc,
     when 'month' then coalesce(j.salary_max, j.salary_min) * 12 end as annual,
   list_filter([trim(regexp_replace(lower(j.company_name), '[^a-z0-9]+', '-', 'g'), '-'),
     j.company_domain, split_part(j.company_domain, '.', 1)], lambda c: c is not null) as cands
-from {jobs} j join {job_tags} g on g.job_id = j.job_id
-  left join {embeddings} e on e.vec_id = j.part_key
+from {{{jobs}}} j join {{{tags}}} g on g.job_id = j.job_id
+  left join {{embeddings}} e on e.vec_id = j.part_key
 """
+CHECKS["job_side"] = _JOB_SIDE.format(jobs="jobs", tags="job_tags")
 
 
-def _score_ctes(label: str, profiles: str, skills: str, pairs: str) -> None:
+def _score_ctes(label: str, profiles: str, skills: str, pairs: str, side: str = "job_side") -> None:
     CHECKS[f"{label}_levels"] = f"""
 select user_id, list(skill_id order by skill_id) as sk, list(factor order by skill_id) as fc
 from (select user_id, skill_id, case coalesce(level, 'proficient') when 'familiar' then 0.6::double
@@ -106,7 +107,7 @@ from {{{profiles}}} p left join {{{label}_levels}} v on v.user_id = p.user_id
 """
     CHECKS[f"{label}_hits"] = f"""
 select job_id, list(k) as hits
-from {{job_side}}, (select distinct unnest(kws) as k from {{{label}_side}})
+from {{{side}}}, (select distinct unnest(kws) as k from {{{label}_side}})
 where regexp_matches(lower(title || ' ' || description_text),
   case when regexp_matches(k, '^\\w') then '\\b' else '' end
   || regexp_replace(k, '([.*+?^${{}}()|\\[\\]\\\\])', '\\\\\\1', 'g')
@@ -181,6 +182,16 @@ _score_ctes(
     "{cohort_side} p join {job_side} j on (len(p.work_modes) = 0 or j.work_mode = 'unknown' "
     "or list_contains(p.work_modes, j.work_mode)) and coalesce(j.jr <= p.pr + 1, true)",
 )
+_OPEN = (
+    "(len(p.work_modes) = 0 or j.work_mode = 'unknown' or list_contains(p.work_modes, j.work_mode)) "
+    "and coalesce(j.jr <= p.pr + 1, true)"
+)
+_score_ctes("every", "profiles", "profile_skills", "{every_side} p join {job_side} j on " + _OPEN)
+CHECKS["version_jobs"] = "select * replace (job_id || '/' || version as job_id) from {record_versions}"
+CHECKS["version_tags"] = CHECKS["job_tags"].replace("{jobs}", "{version_jobs}")
+CHECKS["version_side"] = _JOB_SIDE.format(jobs="version_jobs", tags="version_tags")
+_score_ctes("vers", "profiles", "profile_skills", "{vers_side} p join {version_side} j on " + _OPEN, "version_side")
+CHECKS["every_feed"] = "select * from {every_scores} where final_score >= 60"
 CHECKS["job_actions"] = """
 select a.user_id, j.job_id, a.event, a.acted_at, a.event_id from {actions} a
 join {jobs} j on j.part_key = a.k where a.event is not null
@@ -200,6 +211,42 @@ select * from {ranked} where final_score >= 60 and not dismissed and not applied
 """
 
 
+def customer_feeds(t: Inputs):
+    """Feed scores of all customers; only pairs that can reach the floor are ever formed."""
+    profiles = t.profiles.join(_vectors(t, "vec_id"), "vec_id", "left")
+    return t.stored("customer_feeds", lambda: reach.score_feed(
+        scored_jobs(t), profiles, NOW, profile_skills=t.profile_skills
+    ).select("user_id", "job_id", "final_score", "rule_score"))
+
+
+@query("""
+select user_id, job_id, final_score, rule_score, position, total from (select *,
+    row_number() over (partition by user_id order by final_score desc, job_id desc) as position,
+    count(*) over (partition by user_id) as total from {every_feed}) where position <= 20
+""")
+def customer_feed(t):
+    """First page of every customer's feed with its exact total."""
+    rows = customer_feeds(t)
+    page = feed.with_total(feed.page(rows, 20), rows)
+    return page.select(
+        "user_id", "job_id", "final_score", "rule_score", F.col("position").cast("bigint").alias("position"), "total"
+    )
+
+
+@query("""
+select case when final_score >= 85 then 'strong' when final_score >= 70 then 'good' else 'fair' end as band,
+  count(*) as pairs, count(distinct user_id) as users, count(distinct job_id) as records
+from {every_feed} group by 1
+""")
+def customer_bands(t):
+    """Feed rows of all customers by band, with the customers and records they reach."""
+    rows = customer_feeds(t).withColumn("band", labels.score_band(F.col("final_score")))
+    return rows.groupBy("band").agg(
+        F.count(F.lit(1)).alias("pairs"), F.count_distinct("user_id").alias("users"),
+        F.count_distinct("job_id").alias("records"),
+    )
+
+
 # --- gates and scores ------------------------------------------------------------------------------------
 
 

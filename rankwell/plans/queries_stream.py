@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.operators import dedupe
-from rankwell.plans.adapters import CHECKS
+from rankwell.plans.adapters import CHECKS, NOW
 from rankwell.plans.queries_ingest import stamp
 from rankwell.plans.registry import Inputs, query
 from rankwell.session import fresh_dir
+from rankwell.sources import keyed
 from rankwell.sources import payloads as pay
-from rankwell.sources.tables import VersionedTable, read_applications_csv
+from rankwell.sources.tables import read_applications_csv
 from rankwell.streaming import ingest
 
 KINDS = list(pay.PROVIDERS)
@@ -224,6 +226,23 @@ def event_stream(t: Inputs, files: int = 4) -> DataFrame:
     )
 
 
+def feed_in_turn(t: Inputs, rows: DataFrame, part: str, handle: Callable[[DataFrame, int], None]) -> None:
+    """Lands the rows of each ``part`` (0, 1, ...) after the other and works each off as one batch."""
+    out = fresh_dir(t.spark, "landed")
+    kind = rows.drop(part).schema
+    for k in range(rows.agg(F.max(part)).first()[0] + 1):
+        rows.where(F.col(part) == k).drop(part).write.mode("append").parquet(f"{out}/rows")
+        stream = t.spark.readStream.schema(kind).parquet(f"{out}/rows")
+        ingest.start(stream, handle, f"{out}/checkpoint", "append").awaitTermination()
+
+
+def late_log(t: Inputs) -> DataFrame:
+    """The action log in four parts: three of ten days each, then every fiftieth row, up to a month late."""
+    day = F.datediff("acted_at", F.lit("2024-01-01"))
+    part = F.when(F.col("event_id") % 50 == 0, 3).otherwise(F.greatest(F.lit(0), F.least(F.lit(2), F.floor(day / 10))))
+    return t.actions.withColumn("part", part.cast("int"))
+
+
 def run_updates(t: Inputs, stream: DataFrame, keys: list[str]) -> DataFrame:
     out = fresh_dir(t.spark, "stream")
     done = ingest.start(stream, ingest.keep_updates(f"{out}/rows"), f"{out}/checkpoint")
@@ -232,13 +251,16 @@ def run_updates(t: Inputs, stream: DataFrame, keys: list[str]) -> DataFrame:
 
 
 @query("""
-select k, count(*) as sighting_count, strftime(min(acted_at), '%Y-%m-%d %H:%M:%S') as first_seen_at,
-  strftime(max(acted_at), '%Y-%m-%d %H:%M:%S') as last_seen_at from {actions} group by k
+select user_id * 1000 + k as k, count(*) as sighting_count, strftime(min(acted_at), '%Y-%m-%d %H:%M:%S') as first_seen_at,
+  strftime(max(acted_at), '%Y-%m-%d %H:%M:%S') as last_seen_at from {actions} group by 1
 """)
 def stream_sightings(t):
-    """Running sighting state per key, kept by the stream."""
-    state = ingest.sighting_state(event_stream(t), "k", "acted_at")
-    return run_updates(t, state, ["k"]).select(
+    """Sighting state that ends after five days without a sighting; late rows are added all the same."""
+    out = fresh_dir(t.spark, "sightings")
+    opened, closed = f"{out}/open", f"{out}/closed"
+    log = late_log(t).withColumn("k", F.col("user_id") * 1000 + F.col("k"))
+    feed_in_turn(t, log, "part", ingest.merge_open_sightings(opened, closed, "k", "acted_at", "5 days"))
+    return ingest.all_sightings(t.spark, opened, closed, "k").select(
         "k", "sighting_count", stamp("first_seen_at"), stamp("last_seen_at")
     )
 
@@ -248,13 +270,16 @@ select k, count(*) as sighting_count, strftime(min(acted_at), '%Y-%m-%d %H:%M:%S
   strftime(max(acted_at), '%Y-%m-%d %H:%M:%S') as last_seen_at from {actions} group by k
 """)
 def stream_first_seen(t):
-    """Batches merged into the record table; the order in which they arrive does not matter."""
+    """Batches merged into the record table: the last holds only late rows, and each is sent twice."""
     out = fresh_dir(t.spark, "records")
-    table = VersionedTable(t.spark, f"{out}/table")
-    rows = event_stream(t).withColumn("dedupe_hash", F.col("k"))
-    merge = ingest.merge_sightings(table, "dedupe_hash", "acted_at", [], ["event_id"])
-    ingest.start(rows, merge, f"{out}/checkpoint", "append").awaitTermination()
-    return table.read().select(
+    merge = ingest.merge_sightings(f"{out}/table", "dedupe_hash", "acted_at", [], ["event_id"])
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        merge(batch, batch_id)
+        merge(batch, batch_id)
+
+    feed_in_turn(t, late_log(t).withColumn("dedupe_hash", F.col("k")), "part", twice)
+    return keyed.read_keyed(t.spark, f"{out}/table").select(
         F.col("dedupe_hash").alias("k"), "sighting_count", stamp("first_seen_at"), stamp("last_seen_at")
     )
 
@@ -332,23 +357,31 @@ def stream_quarantine(t):
     return rows.groupBy("kind", "refused").agg(F.count(F.lit(1)).alias("payloads"))
 
 
+CHECKS["version_pairs"] = """
+select user_id, split_part(job_id, '/', 1) as job_id, cast(split_part(job_id, '/', 2) as int) as version, final_score
+from {vers_scores}
+"""
+
+
 @query("""
-select x.k as job_id, x.user_id, max(x.value) as final_score from {actions} x group by 1, 2
+select r.job_id, r.user_id, coalesce(s.final_score, 0.0) as final_score
+from (select distinct user_id, job_id from {version_pairs} where final_score >= 60) r
+join (select job_id, max(version) as version from {record_versions} group by 1) l on l.job_id = r.job_id
+left join {version_pairs} s on s.user_id = r.user_id and s.job_id = r.job_id and s.version = l.version
 """)
 def stream_rescore(t):
-    """Changed pairs of each batch scored and merged into the score table."""
+    """Records that change from batch to batch, scored against every customer.
+
+    A pair enters the table when it reaches the floor; from then on it follows its record, so scores
+    fall and gates close.
+    """
     out = fresh_dir(t.spark, "scores")
-    table = VersionedTable(t.spark, f"{out}/table")
-
-    def score(batch: DataFrame) -> DataFrame:
-        fresh = batch.groupBy("user_id", F.col("k").alias("job_id")).agg(
-            F.max("value").alias("final_score")
-        )
-        known = table.read()
-        if known is None:
-            return fresh
-        both = fresh.unionByName(known.select(*fresh.columns).join(fresh, ["user_id", "job_id"], "left_semi"))
-        return both.groupBy("user_id", "job_id").agg(F.max("final_score").alias("final_score"))
-
-    ingest.start(event_stream(t), ingest.rescore_changes(table, score), f"{out}/checkpoint", "append").awaitTermination()
-    return table.read().select("job_id", "user_id", "final_score")
+    vectors = t.embeddings.select("vec_id", "embedding")
+    profiles = t.profiles.join(vectors, "vec_id", "left")
+
+    def jobs(batch: DataFrame) -> DataFrame:
+        return batch.join(vectors.withColumnRenamed("vec_id", "part_key"), "part_key", "left")
+
+    rescore = ingest.rescore_changes(f"{out}/table", jobs, profiles, NOW, profile_skills=t.profile_skills)
+    feed_in_turn(t, t.record_versions, "version", rescore)
+    return keyed.read_keyed(t.spark, f"{out}/table").select("job_id", "user_id", "final_score")

@@ -1,52 +1,10 @@
-"""Versioned Parquet tables: a new state is written beside the old one, then pointed to.
-
-A run that is started again finds its id among the applied ones and changes nothing, so counts
-do not double.
-"""
+"""Tables that users bring along."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOG_SCHEMA = "version bigint, run_id string"
-
-
-class VersionedTable:
-    def __init__(self, spark: SparkSession, base: str, partition_by: list[str] | None = None):
-        self.spark, self.base, self.partition_by = spark, base.rstrip("/"), partition_by or []
-
-    def _log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(LOG_SCHEMA).json(f"{self.base}/log")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":  # a log that cannot be read is not an empty one
-                raise
-            return self.spark.createDataFrame([], LOG_SCHEMA)
-
-    def version(self) -> int | None:
-        return self._log().agg(F.max("version")).first()[0]
-
-    def is_applied(self, run_id: str) -> bool:
-        return not self._log().where(F.col("run_id") == run_id).isEmpty()
-
-    def read(self) -> DataFrame | None:
-        """Current state, or None before the first write."""
-        version = self.version()
-        return None if version is None else self.spark.read.parquet(f"{self.base}/v{version}")
-
-    def write(self, state: DataFrame, run_id: str) -> None:
-        """Write the next state in full, then record it; readers see the old one until then."""
-        version = (self.version() or 0) + 1
-        writer = state.write.mode("overwrite")
-        if self.partition_by:
-            writer = writer.partitionBy(*self.partition_by)
-        writer.parquet(f"{self.base}/v{version}")
-        entry = self.spark.createDataFrame([(version, run_id)], LOG_SCHEMA)
-        entry.coalesce(1).write.mode("append").json(f"{self.base}/log")
-
-
 def read_applications_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Imported applications as (good, bad) rows; a bad row carries its reason.
 

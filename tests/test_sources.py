@@ -1,9 +1,10 @@
+import datetime as dt
 import json
 
 from pyspark.sql import functions as F
 
-from rankwell.sources import config, payloads
-from rankwell.sources.tables import VersionedTable, read_applications_csv
+from rankwell.sources import config, keyed, payloads
+from rankwell.sources.tables import read_applications_csv
 from rankwell.streaming import ingest
 
 JOB_URL = "https://boards.example.com/jobs/1"
@@ -98,12 +99,53 @@ def test_source_settings(spark):
     assert config.enabled_sources(ready).count() == 9 and "config" not in config.enabled_sources(ready).columns
 
 
-def test_versioned_table(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "t"))
-    assert table.read() is None
-    table.write(spark.range(3), "r1")
-    table.write(table.read().union(spark.range(2)), "r2")
-    assert table.read().count() == 5 and table.is_applied("r1") and not table.is_applied("r3")
+def test_keyed_table_reads_and_writes_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    add = lambda state, delta: (delta if state is None else state.unionByName(delta)).groupBy("k").agg(F.sum("n").alias("n"))
+    assert keyed.read_keyed(spark, path) is None and keyed.rows_of(spark, path, spark.range(1), ["id"]) is None
+    rows = spark.range(200).select(F.col("id").alias("k"), F.lit(1).cast("long").alias("n"))
+    keyed.merge_batch(path, rows, ["k"], 0, add, buckets=8)
+    files = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    keyed.merge_batch(path, rows.where("k = 7"), ["k"], 1, add, buckets=8)
+    keyed.merge_batch(path, rows.where("k = 7"), ["k"], 1, add, buckets=8)  # sent again: nothing happens
+    after = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    assert len({p.parent for p in files.items() - after.items() for p in [p[0]]}) == 1
+    found = {r["k"]: r["n"] for r in keyed.read_keyed(spark, path).collect()}
+    assert found == {k: 2 if k == 7 else 1 for k in range(200)}
+    # A batch that was lost half way: some of its buckets are written, the others are not.
+    keyed.merge_batch(path, rows.where(keyed.bucket_of(["k"], 8) < 4), ["k"], 2, add, buckets=8)
+    keyed.merge_batch(path, rows, ["k"], 2, add, buckets=8)
+    found = {r["k"]: r["n"] for r in keyed.read_keyed(spark, path).collect()}
+    assert found == {k: 3 if k == 7 else 2 for k in range(200)}
+    # A bucket whose rows all go is empty afterwards.
+    keyed.merge_batch(path, rows, ["k"], 3, lambda state, delta: state.join(delta, "k", "left_anti"), buckets=8)
+    assert keyed.read_keyed(spark, path).count() == 0
+    keyed.merge_batch(path, rows.limit(0), ["k"], 4, add, buckets=8)
+    assert keyed.rows_of(spark, path, rows, ["k"], buckets=8).count() == 0
+
+
+def test_open_sightings_are_bounded_and_totals_whole(spark, tmp_path):
+    opened, closed = str(tmp_path / "o"), str(tmp_path / "c")
+    handle = ingest.merge_open_sightings(opened, closed, "h", "seen_at", "2 days")
+    day = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    batches = [[(f"h{10 * b + k}", day(3 * b)) for k in range(10)] + [("kept", day(3 * b))] for b in range(5)]
+    batches.append([("h0", day(0.5)), ("h3", day(13)), (None, day(13))])  # late by twelve days; one that comes back
+    batches.append([("last", day(40))])
+    want = {}
+    for number, rows in enumerate(batches):
+        batch = spark.createDataFrame(rows, "h string, seen_at timestamp")
+        handle(batch, number)
+        handle(batch, number)
+        for h, at in rows:
+            n, first, last = want.get(h, (0, at, at))
+            want[h] = (n + 1, min(first, at), max(last, at))
+        newest = max(last for _, _, last in want.values())
+        recent = {h for h, at in rows if newest - at <= dt.timedelta(days=2)}
+        assert keyed.read_keyed(spark, opened).count() <= len(recent) + 11
+    assert [r["h"] for r in keyed.read_keyed(spark, opened).collect()] == ["last"] and len(want) > 50
+    total = ingest.all_sightings(spark, opened, closed, "h").collect()
+    assert {r["h"]: (r["sighting_count"], r["first_seen_at"], r["last_seen_at"]) for r in total} == want
+    assert ingest.all_sightings(spark, str(tmp_path / "x"), str(tmp_path / "y"), "h") is None
 
 
 def test_csv_import(spark, tmp_path):
@@ -118,12 +160,12 @@ def test_csv_import(spark, tmp_path):
 
 
 def test_stream_replays_no_batch(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "t"))
+    path = str(tmp_path / "t")
     rows = spark.createDataFrame([("h", 5, 1), ("h", 3, 2)], "dedupe_hash string, seen_at long, event_id long")
-    merge = ingest.merge_sightings(table, "dedupe_hash", "seen_at", ["event_id"], ["event_id"])
+    merge = ingest.merge_sightings(path, "dedupe_hash", "seen_at", ["event_id"], ["event_id"])
     merge(rows, 0)
     merge(rows, 0)
     late = spark.createDataFrame([("h", 1, 9)], "dedupe_hash string, seen_at long, event_id long")
     merge(late, 1)
-    row = table.read().first()
+    row = keyed.read_keyed(spark, path).first()
     assert (row.sighting_count, row.first_seen_at, row.last_seen_at, row.event_id) == (3, 1, 5, 2)
