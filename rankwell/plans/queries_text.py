@@ -334,6 +334,29 @@ def vector_topk(t):
     )
 
 
+@query("""
+select query_id, vec_id, floor(cosine * 1000000 + 0.5) / 1000000 as cosine, rank from (select *,
+  row_number() over (partition by query_id order by cosine desc, vec_id) as rank from (
+    select q.vec_id as query_id, v.vec_id, least(100, greatest(0, list_dot_product(q.embedding::double[],
+      v.embedding::double[]) / (sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))
+      * sqrt(list_dot_product(v.embedding::double[], v.embedding::double[]))) * 100)) as cosine
+    from {embeddings} q join {embeddings} v on q.vec_id % 20 = 0)) where rank <= 10
+""")
+def vector_neighbours(t):
+    """The ten vectors nearest to every twentieth vector, over all vectors."""
+    queries = t.embeddings.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    top = neighbours.nearest(t.embeddings, queries, 10, "vec_id", "query_id")
+    rounded = (F.floor(F.col("cosine") * 1000000 + 0.5) / F.lit(1000000.0)).alias("cosine")
+    return top.select("query_id", "vec_id", rounded, F.col("rank").cast("bigint").alias("rank"))
+
+
+@query()
+def vector_neighbours_approximate(t):
+    """The same from hashed buckets: most of the ten nearest, ranked by their exact cosine."""
+    queries = t.embeddings.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return neighbours.nearest_approximate(t.embeddings, queries, 10, "vec_id", "query_id")
+
+
 @query("""
 select label, vec_id from {embeddings} e where label not in (select label from (select label,
   vec_id - min(vec_id) over (partition by label) as d from {embeddings}) where d between 4 and 5)

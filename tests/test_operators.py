@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rankwell.constants import STAGE_MOVES
@@ -244,15 +245,41 @@ def test_scores_keep_their_explanation(spark):
     assert rows == [(1, "a", 30.0, "why"), (1, "b", 20.0, None), (2, "c", 5.0, None)]
 
 
-def test_nearest_in_several_passes(spark, monkeypatch):
+def test_nearest_whatever_the_blocks(spark, monkeypatch):
     rng = random.Random(2)
-    vec = lambda: [rng.uniform(-1, 1) for _ in range(8)]
-    vectors = spark.createDataFrame([(i, vec()) for i in range(80)], "vec_id long, embedding array<double>")
-    queries = spark.createDataFrame([(i, vec()) for i in range(9)], "q long, embedding array<double>")
-    one = sorted(map(tuple, neighbours.nearest(vectors, queries, 3, "vec_id", "q").collect()))
-    monkeypatch.setattr(neighbours, "QUERY_SLICE", 2)
-    many = sorted(map(tuple, neighbours.nearest(vectors.repartition(5), queries, 3, "vec_id", "q").collect()))
-    assert [r[:2] + r[3:] for r in one] == [r[:2] + r[3:] for r in many] and len(one) == 27
+    vec = lambda: [rng.uniform(-1, 1) for _ in range(8)]
+    rows = [(i, vec()) for i in range(80)]
+    rows += [(100 + i, rows[i][1]) for i in range(5)]  # ties go to the smaller id
+    odd = [(200, None), (201, [0.0] * 8), (202, [float("nan")] * 8), (203, [1.0] * 5), (204, [])]
+    vectors = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
+    asked = [(i, vec()) for i in range(9)] + [(9, rows[3][1]), (10, None)]
+    queries = spark.createDataFrame(asked, "q long, embedding array<double>")
+
+    def cosine(a, b):
+        return min(100.0, max(0.0, 100 * float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))))
+
+    want = []
+    for q, v in asked[:-1]:
+        best = sorted((-round(cosine(v, w), 6), i) for i, w in rows)[:3]
+        want += [(q, i, -c, n) for n, (c, i) in enumerate(best, 1)]
+    for parts, small in ((1, 64), (5, 0)):
+        monkeypatch.setattr(neighbours, "BROADCAST_BLOCKS", small)
+        found = neighbours.nearest(vectors.repartition(parts), queries.repartition(2), 3, "vec_id", "q").collect()
+        assert sorted((r["q"], r["vec_id"], round(r["cosine"], 6), r["rank"]) for r in found) == sorted(want)
+    assert neighbours.nearest(vectors.limit(0), queries, 3, "vec_id", "q").count() == 0
+
+
+def test_approximate_neighbours_reach_their_recall(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 32))
+    rows = [(int(i), (centres[i % 40] + 0.8 * rng.standard_normal(32)).tolist()) for i in range(3000)]
+    vectors = spark.createDataFrame(rows + [(9000, None), (9001, [0.0] * 32)], "vec_id long, embedding array<double>")
+    queries = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "q")
+    exact, near = (
+        {(r["q"], r["vec_id"]) for r in f(vectors, queries, 10, "vec_id", "q").collect()}
+        for f in (neighbours.nearest, neighbours.nearest_approximate)
+    )
+    assert len(exact) == 1500 and len(exact & near) >= 0.9 * len(exact)
 
 
 def test_search_grammar(spark):
