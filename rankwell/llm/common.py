@@ -12,16 +12,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwell import session
-from rankwell.session import cut_lineage, fresh_dir  # noqa: F401
+from rankwell.session import cut_lineage, fresh_dir, ship_package  # noqa: F401
 
-BATCH_BYTES = 8 << 20  # of rows that go to a Python worker together, whatever their number
+BATCH_BYTES = 8 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give this package to the Python workers, and hand them long texts in batches of bounded size."""
-    session.ship_package(spark)
+def bound_batches(spark: SparkSession) -> None:
+    """Give the package to the Python workers, and rows in batches of at most ``BATCH_BYTES``.
+
+    For queries whose workers hold much beside their rows. The setting stays with the session.
+    """
+    ship_package(spark)
     if int(spark.conf.get(_BATCH_CONF).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rankwell.llm import (
     bpe, counts, decontam, divergence, exact, fim, html_crf, jaccard, langid, licences, simhash, tokens, weak_quality,
 )
-from rankwell.llm.common import read_table, tokenizer_path
+from rankwell.llm.common import bound_batches, read_table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,7 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return divergence.audit(read_table(spark, sf_dir, "documents"))
 
 
