@@ -22,15 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.llm.common import whole_text
-from rankwell.llm.html_blocks import Block, blocks_of
+from rankwell.llm.html_blocks import Block, Open, blocks_of, chain
 
 TRAIN_PAGES = 400  # pages the field is trained on, at most about
 TRAIN_BLOCKS = 60  # pages of more blocks are trained on in stretches of so many
+TRAIN_DEPTH = 200  # pages that nest deeper are not trained on
+SHORT = 8  # words of blocks of at most so many are features
 CELLS = 1 << 14
 EPOCHS = 6
 RATE = 0.15
 
-# Element names and class words of parts that are not the article.
+# Element names and class words of the article, and of parts that are not the article.
+MARKS = frozenset(("article", "main"))
 OUTSIDE_TAGS = frozenset("nav header footer aside form menu dialog button".split())
 OUTSIDE_WORDS = (
     "ad ads advert advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice alert popup modal"
@@ -54,61 +57,87 @@ def _cell(name: str) -> int:
     return zlib.crc32(name.encode()) % CELLS
 
 
-def features(blocks: list[Block]) -> list[np.ndarray]:
-    """Hashed features of every block of a page."""
+_OUTSIDE = frozenset(OUTSIDE_WORDS)
+_FLAGS = ("outside tag", "outside word", "inside tag")
+
+
+def _flags(element: Open) -> list[str]:
+    held = (element.tag in OUTSIDE_TAGS, not _OUTSIDE.isdisjoint(element.words), element.tag in MARKS)
+    return [name for name, flag in zip(_FLAGS, held) if flag]
+
+
+def _own_names(blocks: list[Block]) -> list[list[str]]:
+    """Features of every block of a page beside those that all of its open elements give."""
     out = []
+    sizes = []
     for k, block in enumerate(blocks):
         words = block.text.split()
         letters = sum(map(len, words))
-        names = [f"tag {block.tag}", f"words {min(len(words).bit_length(), 9)}", f"linked {int(block.linked * 4)}", "bias"]
-        names += [f"in {t}" for t in set(block.path)]
-        names += [f"near {t}" for t in block.path[-3:]]
-        names += [f"named {w}" for w in set(block.names)]
-        names.append(f"ends {block.text[-1] if block.text[-1] in '.!?:,|' else 'no'}")
-        names.append(f"mean {min(letters // max(len(words), 1), 12)}")
-        names.append(f"place {'first' if k < 2 else 'last' if k >= len(blocks) - 2 else 'mid'}")
+        sizes.append(min(len(words).bit_length(), 9))
+        names = {f"tag {block.tag}", f"words {sizes[-1]}", f"linked {int(block.linked * 4)}", "bias"}
+        at = block.inner
+        for _ in range(3):
+            if at:
+                names.add(f"near {at.tag}")
+                at = at.around
+        names.add(f"ends {block.text[-1] if block.text[-1] in '.!?:,|' else 'no'}")
+        names.add(f"mean {min(letters // max(len(words), 1), 12)}")
+        names.add(f"place {'first' if k < 2 else 'last' if k >= len(blocks) - 2 else 'mid'}")
+        if len(words) <= SHORT:
+            names.update(f"says {w.lower().strip('.,:;!?')}" for w in words)
         if any(w.isdigit() for w in words):
-            names.append("number")
+            names.add("number")
         if "©" in block.text or "copyright" in block.text.lower():
-            names.append("copyright")
-        if any(t in OUTSIDE_TAGS for t in block.path):
-            names.append("outside tag")
-        if any(w in _OUTSIDE for w in block.names):
-            names.append("outside word")
-        if any(t in ("article", "main") for t in block.path):
-            names.append("inside tag")
-        out.append(np.array(sorted({_cell(n) for n in names}), np.int64))
-    return out
+            names.add("copyright")
+        out.append(names)
+    for k, names in enumerate(out):  # what stands before and after
+        names.add(f"after {sizes[k - 1] if k else 'start'}")
+        names.add(f"before {sizes[k + 1] if k + 1 < len(out) else 'end'}")
+    return [sorted(names) for names in out]
 
 
-_OUTSIDE = frozenset(OUTSIDE_WORDS)
+def features(blocks: list[Block]) -> list[np.ndarray]:
+    """Hashed features of every block, those of its open elements with them; for pages of bounded depth."""
+    out = []
+    for block, names in zip(blocks, _own_names(blocks)):
+        opened = block.opened()
+        above = [n for e in opened for n in e.fresh] + sorted({n for e in opened for n in _flags(e)})
+        out.append(np.array([_cell(n) for n in names + above], np.int64))
+    return out
 
 
 def own_labels(blocks: list[Block]) -> np.ndarray | None:
     """Labels of a page that marks its article or main part; None for other pages."""
-    marked = [any(t in ("article", "main") for t in b.path) for b in blocks]
-    if not any(marked):
+    paths = [block.opened() for block in blocks]
+    first = [next((k for k, e in enumerate(p) if e.tag in MARKS), len(p)) for p in paths]
+    if all(k == len(p) for k, p in zip(first, paths)):
         return None
-    inner = [b.path[next((k for k, t in enumerate(b.path) if t in ("article", "main")), 0) :] for b in blocks]
-    outside = [any(t in OUTSIDE_TAGS - {"header"} for t in p) or any(w in _OUTSIDE for w in b.names) for p, b in zip(inner, blocks)]
-    return np.array([m and not o for m, o in zip(marked, outside)], np.int64)
+    outside = [
+        any(e.tag in OUTSIDE_TAGS - {"header"} for e in p[k:]) or any(not _OUTSIDE.isdisjoint(e.words) for e in p)
+        for k, p in zip(first, paths)
+    ]
+    return np.array([k < len(p) and not o for k, p, o in zip(first, paths, outside)], np.int64)
 
 
 def relaid(kept: list[str], others: list[str], rng: random.Random) -> tuple[list[Block], np.ndarray]:
     """The same texts in another layout, with its labels."""
     blocks, labels = [], []
-    outer = rng.choice([("div",), ("div", "div"), ("main",), ("section",), ("article",), ("div", "article")])
-    outer_names = tuple(rng.sample(INSIDE_WORDS, rng.randint(0, 2)))
+    bare = rng.random() < 0.3  # a layout without a word on what its parts are
+    kinds = [("div",), ("div", "div"), ("main",), ("section",), ("article",), ("div", "article")]
+    outer = rng.choice(kinds[:2] if bare else kinds)
+    outer_names = () if bare else tuple(rng.sample(INSIDE_WORDS, rng.randint(0, 2)))
 
     def outside(where: tuple[str, ...], names: tuple[str, ...]) -> None:
         for _ in range(rng.randint(1, 4)):
             text = rng.choice(others + list(OUTSIDE_TEXTS))
             kind = rng.choice([(), ("ul", "li"), ("p",), ("div",), ("ul", "li", "a"), ("span",)])
             tag, word = rng.choice([("div", True), ("section", True), (rng.choice(sorted(OUTSIDE_TAGS)), rng.random() < 0.5)])
+            if bare:
+                tag, word = "div", False
             path = ("html", "body", *where, tag, *kind)
             given = (*names, *((rng.choice(OUTSIDE_WORDS),) if word else ()))
             inner = next((t for t in reversed(path) if t not in ("a", "span")), "body")
-            blocks.append(Block(text, inner, path, given, float("a" in kind)))
+            blocks.append(Block(text, inner, chain(path, given), float("a" in kind)))
             labels.append(0)
 
     for _ in range(rng.randint(1, 3)):
@@ -117,16 +146,17 @@ def relaid(kept: list[str], others: list[str], rng: random.Random) -> tuple[list
         tag = "h1" if k == 0 and len(text) < 120 else rng.choice(["p", "p", "p", "p", "li", "h2", "blockquote", "div", "td"])
         deep = {"li": ("ul",), "td": ("table", "tr")}.get(tag, ())
         path = ("html", "body", *outer, *deep, tag)
-        blocks.append(Block(text, tag, path, outer_names, 0.0 if rng.random() < 0.9 else rng.random() * 0.4))
+        blocks.append(Block(text, tag, chain(path, outer_names), 0.0 if rng.random() < 0.9 else rng.random() * 0.4))
         labels.append(1)
         if rng.random() < 0.08:
             outside(outer, outer_names)
-    if rng.random() < 0.5:  # comments of readers look like text
+    if not bare and rng.random() < 0.5:  # comments of readers look like text
         for _ in range(rng.randint(1, 4)):
             where = outer if rng.random() < 0.5 else ()
             word = rng.choice(["comment", "comments", "reply", "respond", "discussion"])
             path = ("html", "body", *where, rng.choice(["div", "section", "ol"]), "p")
-            blocks.append(Block(rng.choice(kept or list(OUTSIDE_TEXTS)), "p", path, (*outer_names, word) if where else (word,), 0.0))
+            given = (*outer_names, word) if where else (word,)
+            blocks.append(Block(rng.choice(kept or list(OUTSIDE_TEXTS)), "p", chain(path, given), 0.0))
             labels.append(0)
     for _ in range(rng.randint(1, 3)):
         outside((), ())
@@ -145,9 +175,34 @@ class Field:
         sizes = np.array([len(c) for c in cells])
         return np.add.reduceat(self.state[np.concatenate(cells)], np.cumsum(sizes) - sizes, axis=0)
 
-    def decode(self, cells: list[np.ndarray]) -> np.ndarray:
-        """The likeliest labels."""
-        scores = self.scores(cells)
+    @functools.cached_property
+    def _weights(self) -> list[list[float]]:
+        return self.state.tolist()
+
+    def page_scores(self, blocks: list[Block]) -> np.ndarray:
+        """The scores of ``features(blocks)`` for a trained field; those of an open element are summed once
+        for all its blocks."""
+        weights = self._weights
+        above: dict[int, tuple[float, float, frozenset[str]]] = {0: (0.0, 0.0, frozenset())}
+        out = np.empty((len(blocks), 2))
+        for k, (block, names) in enumerate(zip(blocks, _own_names(blocks))):
+            new, at = [], block.inner
+            while at and id(at) not in above:
+                new.append(at)
+                at = at.around
+            s0, s1, flags = above[id(at) if at else 0]
+            for element in reversed(new):
+                added = [*element.fresh, *(f for f in _flags(element) if f not in flags)]
+                for w0, w1 in (weights[_cell(n)] for n in added):
+                    s0, s1 = s0 + w0, s1 + w1
+                flags = flags.union(added).intersection(_FLAGS) if added else flags
+                above[id(element)] = (s0, s1, flags)
+            own = [weights[_cell(n)] for n in names]
+            out[k] = s0 + sum(w[0] for w in own), s1 + sum(w[1] for w in own)
+        return out
+
+    def decode(self, scores: np.ndarray) -> np.ndarray:
+        """The likeliest labels of the blocks with these scores, by Viterbi."""
         best = (scores[0] + self.edge[0]).tolist()
         (a00, a01), (a10, a11) = self.step.tolist()
         back = []
@@ -162,9 +217,8 @@ class Field:
             labels.append(label)
         return np.array(labels[::-1])
 
-    def expected(self, cells: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def expected(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of each block's label, and the expected number of each transition."""
-        scores = self.scores(cells)
         n = len(scores)
         ahead, behind = np.empty((n, 2)), np.empty((n, 2))
         ahead[0], behind[-1] = scores[0] + self.edge[0], self.edge[1]
@@ -189,7 +243,7 @@ class Field:
         for _ in range(EPOCHS):
             for at in order.permutation(len(pages)):
                 cells, labels = pages[at]
-                single, pairs = field.expected(cells)
+                single, pairs = field.expected(field.scores(cells))
                 truth = np.eye(2)[labels]
                 flat = np.concatenate(cells)
                 delta = np.repeat(truth - single, [len(c) for c in cells], axis=0)
@@ -216,7 +270,9 @@ def training_pages(pages: list[str]) -> list[tuple[list[Block], np.ndarray]]:
     out: list[tuple[list[Block], np.ndarray]] = []
     for page in pages:
         blocks = blocks_of(page)
-        labels = own_labels(blocks) if blocks else None
+        if not blocks or max(b.inner.depth if b.inner else 0 for b in blocks) > TRAIN_DEPTH:
+            continue
+        labels = own_labels(blocks)
         if labels is None:
             continue
         kept = [b.text for b, y in zip(blocks, labels) if y]
@@ -248,7 +304,7 @@ def main_text(page: str, field: Field) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    return "\n".join(b.text for b, keep in zip(blocks, field.decode(features(blocks))) if keep)
+    return "\n".join(b.text for b, keep in zip(blocks, field.decode(field.page_scores(blocks))) if keep)
 
 
 def extract(pages: DataFrame, rows: int = TRAIN_PAGES) -> DataFrame:
