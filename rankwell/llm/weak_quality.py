@@ -3,7 +3,8 @@
 Heuristic labellers vote good, bad or nothing on each document. Expectation-maximisation over the
 counts of all vote patterns estimates how accurate each labeller is and how common good text is, which
 gives every pattern a posterior. The posteriors of a bounded sample train a linear scorer over hashed
-words and shapes, and the scorer judges every document.
+words, word pairs and word shapes of the whole text, and the scorer judges every document. The scorer
+does not see what the labellers measure, so it finds bad text by its words where no labeller votes.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ from pyspark.sql import functions as F
 from rankwell.llm.common import whole_text
 
 TRAIN_ROWS = 8_000  # documents that the scorer is trained on, whole texts
-CELLS = 1 << 16
+CELLS = 1 << 18  # hashed words; as many again for pairs
+SHAPES = 1 << 10
+REMEMBERED = 200_000  # words a Python worker keeps the cells of
 ROUNDS = 200
 EPOCHS = 12
+RATE = 0.2
 THRESHOLD = 0.5
 
 _SIGNS = "#$%&*|{}<>\\^~=_"
@@ -33,7 +37,7 @@ _VOWEL = re.compile("[aeiouyàâäáãåæèéêëíìîïóòôöõøúùûüý
 
 
 def measures(text: str) -> dict[str, float]:
-    """What the labellers and the scorer look at."""
+    """What the labellers look at."""
     words = text.split()
     n = max(len(words), 1)
     lines = [x for x in text.split("\n") if x.strip()]
@@ -140,45 +144,76 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(gap, -50, 50)))
 
 
-def features(text: str, m: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed cells and their weights: distinct word shapes and graded measures."""
-    shapes: dict[str, int] = {}
-    for word in text.split():
+class Cells(dict):
+    """word -> its cell, and the cell of its shape above it; forgets all when it holds too many."""
+
+    def __missing__(self, word: str) -> int:
         shape = "A" if word.isupper() else "a" if word.isalpha() else "9" if word.isdigit() else "x" + word[-1]
-        shapes[shape] = shapes.get(shape, 0) + 1
-    total = max(sum(shapes.values()), 1)
-    named = {f"shape {k}": n / total for k, n in shapes.items()}
-    named |= {f"{k} {min(int(v * 10), 20)}": 1.0 for k, v in m.items() if k != "words"}
-    named[f"words {int(np.log2(m['words'] + 1))}"] = 1.0
-    named["bias"] = 1.0
-    cells = np.array([xxhash.xxh32_intdigest(k) % CELLS for k in named], np.int64)
-    return cells, np.array(list(named.values()))
-
-
-def _train(texts: list[str], model: LabelModel) -> np.ndarray:
-    """Logistic regression on posterior labels, by AdaGrad."""
-    weights, seen = np.zeros(CELLS), np.full(CELLS, 1e-6)
-    rows = []
-    for text in texts:
-        m = measures(text)
-        rows.append((*features(text, m), float(model.posterior(np.array([pattern_of(votes(m))]))[0])))
+        cell = xxhash.xxh32_intdigest(word.lower().strip(_ENDS)) % CELLS
+        cell += CELLS * (xxhash.xxh32_intdigest(shape) % SHAPES)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = cell
+        return cell
+
+
+def cells_of(text: str, known: Cells) -> np.ndarray:
+    """The cells of all words, pairs and shapes of a text, repeats included; each counts 1 / words."""
+    both = np.fromiter(map(known.__getitem__, text.split()), np.int64)
+    words, shapes = both % CELLS, both // CELLS
+    pairs = (words[:-1] * 0x9E3779B1 + words[1:]) % 0x7FFFFFFF % CELLS
+    return np.concatenate([words, CELLS + pairs, 2 * CELLS + shapes])
+
+
+BIAS = 2 * CELLS + SHAPES
+
+
+def _train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
+    """Logistic regression of the posteriors on (cells, shares), by AdaGrad."""
+    weights, seen = np.zeros(BIAS + 1), np.full(BIAS + 1, 1e-6)
     order = np.random.default_rng(1)
     for _ in range(EPOCHS):
         for k in order.permutation(len(rows)):
             cells, values, label = rows[k]
             score = 1 / (1 + np.exp(-np.clip((weights[cells] * values).sum(), -30, 30)))
             step = (score - label) * values
-            np.add.at(seen, cells, step * step)
-            np.add.at(weights, cells, -0.2 * step / np.sqrt(seen[cells]))
+            seen[cells] += step * step
+            weights[cells] -= RATE * step / np.sqrt(seen[cells])
     return weights
 
 
+def _examples(drawn: DataFrame, model: LabelModel) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Cells, shares and posterior of the sample, in the order of its hash, whatever the partitions."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Cells()
+        for batch in batches:
+            cells, shares, given = [], [], []
+            for text in batch.column(1).to_pylist():
+                m = measures(text)
+                given.append(pattern_of(votes(m)))
+                some, counts = np.unique(cells_of(text, known), return_counts=True)
+                cells.append(np.append(some, BIAS).astype(np.int32))
+                shares.append(np.append(counts / max(m["words"], 1), 1.0))
+            labels = model.posterior(np.array(given, np.int64)) if given else np.zeros(0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(cells, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float64())), pa.array(labels)],
+                names=["h", "cells", "shares", "label"],
+            )
+
+    held = drawn.mapInArrow(read, "h long, cells array<int>, shares array<double>, label double").orderBy("h", "label").toArrow()
+    return [
+        (c.values.to_numpy(), v.values.to_numpy(), y.as_py()) for c, v, y in zip(held["cells"], held["shares"], held["label"])
+    ]
+
+
 def quality(docs: DataFrame, rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, posterior (of the votes), score (of the scorer), kept.
 
-    ``kept`` means that the scorer's probability of good text reaches ``threshold``. Null counts as
-    empty; a text without words gets score 0. Repeated rows each give a row, a null key is kept, an empty
-    table gives an empty result. Other columns are not read.
+    ``kept`` means that the posterior and the scorer's probability of good text both reach ``threshold``.
+    The scorer is trained on about ``rows`` documents, at most twice as many, spread by a hash of key and
+    text. Null counts as empty; a text without words gets score 0. Repeated rows each give a row, a null
+    key is kept, an empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     whole = docs.select("doc_id", whole_text().alias("text"))
@@ -187,22 +222,22 @@ def quality(docs: DataFrame, rows: int = TRAIN_ROWS, threshold: float = THRESHOL
     patterns, counts = held["pattern"].to_numpy(), held["n"].to_numpy()
     model = LabelModel.fit(patterns, counts)
     total = int(counts.sum()) if len(counts) else 0
-    spot = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30))
+    spot = F.pmod(F.xxhash64("doc_id", "text", F.lit("quality")), F.lit(1 << 30))
     drawn = whole.where(spot < int(min(1.0, rows / max(total, 1)) * (1 << 30)))
-    weights = spark.sparkContext.broadcast((model, _train(_texts(drawn), model)))
+    drawn = drawn.select(F.xxhash64("text", "doc_id").alias("h"), "text").distinct().orderBy("h").limit(2 * rows)
+    weights = spark.sparkContext.broadcast((model, _train(_examples(drawn, model))))
     kind = whole.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, linear = weights.value
+        cells = Cells()
         for batch in batches:
-            posteriors, scores = [], []
-            given = []
+            scores, given = [], []
             for text in batch.column(1):
                 text = text.as_py()
                 m = measures(text)
                 given.append(pattern_of(votes(m)))
-                cells, values = features(text, m)
-                z = float((linear[cells] * values).sum())
+                z = float(linear[cells_of(text, cells)].sum()) / max(m["words"], 1) + linear[BIAS]
                 scores.append(1 / (1 + np.exp(-np.clip(z, -30, 30))) if m["words"] else 0.0)
             posteriors = known.posterior(np.array(given, np.int64)) if given else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
@@ -211,10 +246,5 @@ def quality(docs: DataFrame, rows: int = TRAIN_ROWS, threshold: float = THRESHOL
             )
 
     scored = whole.mapInArrow(score, f"doc_id {kind}, posterior double, score double")
-    return scored.withColumn("kept", F.col("score") >= threshold)
-
+    return scored.withColumn("kept", (F.col("score") >= threshold) & (F.col("posterior") >= threshold))
 
-def _texts(drawn: DataFrame) -> list[str]:
-    """The sample in the order of its hash, so that training does not depend on partitions."""
-    held = drawn.select("text", F.xxhash64("text").alias("h"), "doc_id").orderBy("h", "doc_id").toArrow()
-    return held["text"].to_pylist()
