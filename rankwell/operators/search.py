@@ -2,7 +2,8 @@
 
 The text is reduced once per row to lower-case words set apart by single blanks, and every
 condition is a substring test on it, so a search is one scan without joins. Words are compared
-as written; word stems are not folded together.
+as written there. ``stem_index`` holds the places of each word stem in each record, and
+``search_stems`` answers the same search texts from it, inflected words included.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankwell.functions.stems import stem, stems
+
 # --- fixed values: English stop words ------------------------------------------------------------
 STOP_WORDS = frozenset(
     """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself
@@ -55,3 +58,79 @@ def matches(words: Column, search: str) -> Column:
 
 def search_records(records: DataFrame, search: str, columns: list[str]) -> DataFrame:
     return records.where(matches(word_text(*[F.col(c) for c in columns]), search))
+
+
+# --- by word stems --------------------------------------------------------------------------------
+
+
+def stem_index(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(stem, key, places): where each stem stands in each record, stop words left out but counted.
+
+    ``key`` names the column that tells records apart. Sorted by stem, so that a search of the written
+    table reads the row groups of its stems; a stem that most records hold spans many partitions.
+    """
+    words = F.split(F.trim(word_text(*[F.col(c) for c in columns])), " ")
+    stop = F.array(*[F.lit(w) for w in sorted(STOP_WORDS)])
+    found = records.select(F.col(key), words.alias("_words"))
+    # Places are gathered by word first, so that a record hands each of its words over once.
+    placed = found.select(key, F.posexplode("_words").alias("_place", "_word"))
+    listed = placed.where((F.col("_word") != "") & ~F.array_contains(stop, F.col("_word"))).groupBy(key, "_word").agg(
+        F.collect_list("_place").alias("_places")
+    )
+    stemmed = listed.withColumn("stem", stems(F.col("_word")))
+    return (
+        stemmed.groupBy(key, "stem")
+        .agg(F.array_sort(F.flatten(F.collect_list("_places"))).alias("places"))
+        .select("stem", key, "places")
+        .repartitionByRange("stem", key)
+        .sortWithinPartitions("stem", key)
+    )
+
+
+def _stem_groups(search: str) -> list[list[tuple[bool, list[tuple[int, str]]]]]:
+    """Alternatives of (wanted, [(offset, stem)]); stop words are left out, their offsets stay."""
+    groups: list[list[tuple[bool, list[tuple[int, str]]]]] = [[]]
+    for part in _PART.findall(search):
+        if part.lower() == "or":
+            groups.append([])
+            continue
+        terms = [
+            (k, stem(w)) for k, w in enumerate(re.findall(r"[a-z0-9]+", part.lower())) if w not in STOP_WORDS
+        ]
+        if terms:
+            groups[-1].append((not part.startswith("-"), terms))
+    return [g for g in groups if g]
+
+
+def search_stems(records: DataFrame, index: DataFrame, search: str, key: str) -> DataFrame:
+    """The records that match a search text by stems; all records for one without usable words.
+
+    Terms of one word ask for the stem, phrases for their stems at the same distances. Only the
+    postings of the stems asked for are read, and meet per record. Records without a key are found only
+    by a search without usable words.
+    """
+    groups = _stem_groups(search)
+    if not groups:
+        return records
+    asked = sorted({s for g in groups for _, terms in g for _, s in terms})
+    hits = index.where(F.col("stem").isin(asked)).groupBy(key).agg(
+        *[F.first(F.when(F.col("stem") == s, F.col("places")), ignorenulls=True).alias(f"_{k}") for k, s in enumerate(asked)]
+    )
+    places = {s: F.col(f"_{k}") for k, s in enumerate(asked)}
+
+    def stands(terms: list[tuple[int, str]]) -> Column:
+        first, lead = terms[0]
+        if len(terms) == 1:
+            return places[lead].isNotNull()
+        rest = [(offset - first, places[s]) for offset, s in terms[1:]]
+        return F.coalesce(
+            F.exists(places[lead], lambda p: reduce(lambda a, b: a & b, [F.array_contains(at, p + d) for d, at in rest])),
+            F.lit(False),
+        )
+
+    sides = [reduce(lambda a, b: a & b, [stands(t) if wanted else ~stands(t) for wanted, t in g]) for g in groups]
+    matched = reduce(lambda a, b: a | b, sides)
+    if all(any(wanted for wanted, _ in g) for g in groups):
+        return records.join(hits.where(matched).select(key), key, "left_semi")
+    # Exclusions alone also hold for records without any of the stems.
+    return records.join(hits.where(~matched).select(key), key, "left_anti").where(F.col(key).isNotNull())

@@ -493,6 +493,22 @@ def feed_search(t):
     ).select("doc_id")
 
 
+@query("""
+select doc_id from (select doc_id, ' ' || trim(regexp_replace(lower(title || ' ' || source || ' '
+  || text), '[^a-z0-9]+', ' ', 'g')) || ' ' as w from {postings})
+where (regexp_matches(w, ' senior engine(s|d|er|ers|ered|ering)? ')
+    and not regexp_matches(w, ' src1 '))
+  or regexp_matches(w, ' (chief|chiefs|chiefly) of staffs? ')
+  or regexp_matches(w, ' intern(s|ed|ing)? ')
+""")
+def feed_search_stems(t):
+    """Phrases of inflected words, an exclusion and alternatives over title, source and text, by stems."""
+    columns = ["title", "source", "text"]
+    index = t.stored("stems", lambda: search.stem_index(t.postings, "doc_id", columns))
+    wanted = '"seniors engineering" -src1 or "chiefs of staffs" or interned'
+    return search.search_stems(t.postings, index, wanted, "doc_id").select("doc_id")
+
+
 @query("""
 select job_id,
   case when salary_max is not null then regexp_replace(salary_min::varchar, '\\.0$', '') || '–'

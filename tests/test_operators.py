@@ -291,6 +291,55 @@ def test_search_grammar(spark):
     assert ids("senior or baker") == [1, 3] and ids("the") == [1, 2, 3]
 
 
+def test_stems_of_published_pairs():
+    from rankwell.functions.stems import stem
+
+    pairs = """consigned consign consigning consign consignment consign consistency consist consoled consol knaves
+        knave knightly knight knives knive knotted knot generously generous communities communiti happy happi
+        enjoying enjoy hopping hop hoping hope relational relat engineers engin nationality nation cries cri ties tie
+        dying die gas gas this this agreed agre feed feed sensibility sensibl rationalize ration rolled roll
+        controlling control managers manag skies sky proceed proceed by by""".split()
+    assert [stem(w) for w in pairs[::2]] == pairs[1::2]
+
+
+def test_search_by_stems_agrees_with_a_plain_reading(spark):
+    import random
+    import re
+
+    from rankwell.functions.stems import stem
+    from rankwell.operators.search import STOP_WORDS, search_stems, stem_index
+
+    rng = random.Random(8)
+    words = "managing manager managed teams team the of developers developing board boards playing plays 42".split()
+    rows = [(k, " ".join(rng.choices(words, k=rng.randint(0, 9))), rng.choice(["Go", None, "baking;bakes"])) for k in range(150)]
+    rows += [(200, None, None), (201, "", ""), (202, "The THE of", None), (203, "x " * 40_000 + "teams managed", "")]
+    df = spark.createDataFrame(rows, "id int, t string, u string")
+    index = stem_index(df, "id", ["t", "u"]).cache()
+
+    def stands(text, phrase):
+        held = re.findall("[a-z0-9]+", text.lower())
+        want = [(k, stem(w)) for k, w in enumerate(phrase.split()) if w not in STOP_WORDS]
+        lead = want[0][0]
+        return any(
+            all(0 <= p + k - lead < len(held) and held[p + k - lead] not in STOP_WORDS and stem(held[p + k - lead]) == s for k, s in want)
+            for p in range(len(held))
+        )
+
+    searches = {
+        "manage": lambda x: stands(x, "manage"),
+        '"team manager"': lambda x: stands(x, "team manager"),
+        '"team of developers" bake': lambda x: stands(x, "team of developers") and stands(x, "bake"),
+        "managers -board or 42": lambda x: (stands(x, "managers") and not stands(x, "board")) or stands(x, "42"),
+        "-playing": lambda x: not stands(x, "playing"),
+        '-"boards play" or going': lambda x: not stands(x, "boards play") or stands(x, "going"),
+        "the of": lambda x: True,
+    }
+    for search, holds in searches.items():
+        got = sorted(r.id for r in search_stems(df, index, search, "id").collect())
+        assert got == [k for k, t, u in rows if holds(f"{t or ''} {u or ''}")], search
+    assert search_stems(df.where("id < 0"), stem_index(df.where("id < 0"), "id", ["t"]), "team", "id").count() == 0
+
+
 def test_insert_absent_keeps_every_row_without_a_second_key(spark):
     from rankwell.operators.merges import insert_absent
 
