@@ -41,10 +41,20 @@ def html_sanitise(t):
     return t.pages.select("page_id", html.sanitise_html(F.col("html")).alias("clean"))
 
 
-@query()
+_FLAT = "regexp_replace(html, '(?s)<!--.*?-->|<![^>]*>', '', 'g')"
+for _tag in ("script", "style", "iframe", "object", "embed", "template", "noscript", "svg", "math"):
+    _FLAT = f"regexp_replace({_FLAT}, '(?is)<{_tag}\\b.*?</{_tag}>', '', 'g')"
+_FLAT = f"regexp_replace({_FLAT}, '(?i)</?(p|ul|li|h3|h4)\\b[^>]*>|<br\\b[^>]*>', ' ', 'g')"
+_FLAT = f"regexp_replace({_FLAT}, '</?[a-zA-Z][^>]*>', '', 'g')"
+_FLAT = f"replace(replace(replace(replace({_FLAT}, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query(f"""
+select page_id, trim(regexp_replace({_FLAT}, '\\s+', ' ', 'g')) as text from {{pages}}
+""")
 def html_text(t):
     """Visible text of every page, entities decoded."""
-    return t.pages.select("page_id", html.html_text(F.col("html")).alias("text"))
+    return t.pages.select("page_id", html.visible_text(F.col("html")).alias("text"))
 
 
 CHECKS["links"] = """

@@ -104,7 +104,7 @@ def test_html(apply):
         "<script>never closed": "", "a < b": "a < b", "<p unterminated": "<p unterminated",
         "<!-- c -->t<ul><li>1<li>2</ul>z": "t 1 2 z",
     }
-    assert apply(list(texts), html.html_text) == list(texts.values())
+    assert apply(list(texts), html.visible_text) == list(texts.values())
     links = ["javascript:x", "ht\ttp://a.b", " https://x ", "data:x"]
     assert apply(links, html.safe_href) == [None, "http://a.b", "https://x", None]
 
