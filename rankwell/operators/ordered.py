@@ -7,6 +7,8 @@ be looked at in sequence to carry values across the cuts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,13 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names where null equals null; the left side's are kept."""
+    other = right.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    match = reduce(lambda a, b: a & b, [_same(left[k], other[f"_other_{k}"]) for k in keys])
+    return left.join(other, match, how).drop(*[f"_other_{k}" for k in keys])
+
+
 def with_previous(
     df: DataFrame, keys: list[str], order: list[str], columns: list[str], prefix: str = "prev_"
 ) -> DataFrame:
@@ -57,18 +66,14 @@ def with_row_number(
     firsts = rows.groupBy("_part").agg(F.min_by(F.struct(*keys), "_at").alias("_first"))
     cut_keys = firsts.select(*[F.col("_first")[k].alias(k) for k in keys]).distinct()
     sizes = (
-        rows.join(cut_keys, keys, "left_semi")
+        joined(rows, cut_keys, keys, "left_semi")
         .groupBy("_part", *keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", *keys, F.sum("_rows").over(earlier).alias("_offset"))
-    return (
-        rows.withColumn("_local", local)
-        .join(offsets, ["_part", *keys], "left")
-        .select(
-            *df.columns, (F.col("_local") + F.coalesce("_offset", F.lit(0))).alias(name)
-        )
+    return joined(rows.withColumn("_local", local), offsets, ["_part", *keys], "left").select(
+        *df.columns, (F.col("_local") + F.coalesce("_offset", F.lit(0))).alias(name)
     )
 
 
@@ -116,33 +121,41 @@ def replay(
     """Runs a small state machine over each key's rows; adds ``state``, the state before a row.
 
     ``step`` is an array giving the next state for each state. Steps combine like functions, so
-    slices of at most ``slice_rows`` rows are combined first, then the slices of a partition,
-    then the partitions of a key, and the start states flow back down. No group holds more than
-    a slice, the slices of one partition, or one entry per partition.
+    slices of at most ``slice_rows`` rows are combined first, then as many of these slices, and
+    so on until a key is one step; the start states flow back down the same levels. No list at
+    any level is longer than ``slice_rows``, whatever a key or a partition holds. A null key is a
+    key like any other.
     """
     cut = sorted_rows(rows.withColumn("step", step), keys, order)
-    cut = cut.withColumn(
-        "_slice", F.floor(F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) / slice_rows)
-    )
-    by_slice = cut.groupBy(*keys, "_part", "_slice").agg(_listed("_at").alias("_rows"))
-    slices = by_slice.withColumn("step", _combined(F.col("_rows"), states))
-    by_part = slices.groupBy(*keys, "_part").agg(_listed("_slice").alias("_slices"))
-    parts = by_part.withColumn("step", _combined(F.col("_slices"), states))
-    by_key = parts.groupBy(*keys).agg(_listed("_part").alias("_parts"))
-
-    def spread(df: DataFrame, listed: str, into: str, begin: Column, held: list[str]) -> DataFrame:
-        inner = df.select(*held, F.inline(_starts(F.col(listed), begin)))
-        return inner.withColumnRenamed("pos", into).withColumnRenamed("state", f"{into}_state")
-
-    part_starts = spread(by_key, "_parts", "_part", F.lit(start), keys)
-    slice_starts = spread(
-        by_part.join(part_starts, [*keys, "_part"]),
-        "_slices", "_slice", F.col("_part_state"), [*keys, "_part"],
-    )
-    row_starts = spread(
-        by_slice.join(slice_starts, [*keys, "_part", "_slice"]),
-        "_rows", "_at", F.col("_slice_state"), [],
-    )
-    return cut.join(row_starts.withColumnRenamed("_at_state", "state"), "_at").select(
-        *rows.columns, "state"
-    )
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    last = cut.agg(F.max(place).alias("row"), F.max("_part").alias("part")).first()
+    width = slice_rows
+    while width <= (last.row or 0):
+        width *= slice_rows
+    # A row's place in the whole table; partitions follow each other at a power of the slice.
+    cut = cut.withColumn("_pos", F.col("_part") * width + place)
+    levels, top = 1, slice_rows
+    while top < ((last.part or 0) + 1) * width:
+        levels, top = levels + 1, top * slice_rows
+
+    slices, below = [], cut.select(*keys, "_pos", "step")
+    for _ in range(levels):
+        grouped = below.groupBy(*keys, F.floor(F.col("_pos") / slice_rows).alias("_slice")).agg(
+            _listed("_pos").alias("_steps")
+        )
+        slices.append(grouped)
+        below = grouped.select(
+            *keys, F.col("_slice").alias("_pos"), _combined(F.col("_steps"), states).alias("step")
+        )
+
+    def started(df: DataFrame, begin: Column) -> DataFrame:
+        return df.select(*keys, F.inline(_starts(F.col("_steps"), begin))).withColumnsRenamed(
+            {"pos": "_slice", "state": "_state"}
+        )
+
+    begun = started(slices[-1], F.lit(start))
+    for grouped in reversed(slices[:-1]):
+        begun = started(joined(grouped, begun, [*keys, "_slice"]), F.col("_state"))
+    # The last level's places are those of the rows, and no two rows share one.
+    states_of = begun.select(F.col("_slice").alias("_pos"), F.col("_state").alias("state"))
+    return cut.join(states_of, "_pos").select(*rows.columns, "state")

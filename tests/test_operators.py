@@ -176,6 +176,33 @@ def test_replay_with_a_hot_key(spark):
     assert got == want
 
 
+def test_replay_of_a_key_of_any_length(spark):
+    """200,000 moves of one key in one partition, a null key beside it."""
+    log = spark.range(200_000).select(
+        F.when(F.col("id") % 50 == 7, None).otherwise("a").alias("key"),
+        F.col("id").alias("at"), F.pmod(F.xxhash64("id"), F.lit(3)).cast("int").alias("turn"),
+    )
+    # Three states on a ring: stay, go on, or go back to the first.
+    turns = F.array(F.array(*map(F.lit, (0, 1, 2))), F.array(*map(F.lit, (1, 2, 0))), F.array(*map(F.lit, (0, 0, 0))))
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = ordered.replay(log, ["key"], ["at"], F.get(turns, F.col("turn")), 3, 1, slice_rows=20).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    now = {"a": 1, None: 1}
+    assert len(got) == 200_000
+    for r in sorted(got, key=lambda r: r.at):
+        assert r.state == now[r.key]
+        now[r.key] = [now[r.key], (now[r.key] + 1) % 3, 0][r.turn]
+
+
+def test_numbers_of_a_null_key(spark):
+    log = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("key"), "id")
+    got = ordered.with_row_number(log, ["key"], ["id"], "n").collect()
+    assert sorted(r.n for r in got if r.key is None) == list(range(1, 1001)) and len(got) == 3000
+
+
 def test_previous_and_numbers_with_a_hot_key(spark):
     rows, df = hot_log(spark)
     keys, order = ["application_id"], ["at", "event_id"]
