@@ -111,6 +111,29 @@ def rates_by_band(rows: DataFrame, band: Column) -> DataFrame:
     )
 
 
+def days_to_first(history: DataFrame, start: str, end: str, key: str = "application_id") -> DataFrame:
+    """Per week of the first ``start``: applications, those that reached ``end`` later, and the
+    median of the whole days between. The median is exact; it holds one entry per distinct count.
+    """
+    first = lambda stage: F.min(F.when(F.col("to_stage") == stage, F.col("acted_at")))
+    spans = (
+        history.where(F.col("to_stage").isin(start, end))
+        .groupBy(key)
+        .agg(first(start).alias("_start"), first(end).alias("_end"))
+        .where(F.col("_start").isNotNull())
+    )
+    days = F.when(F.col("_end") >= F.col("_start"), F.timestamp_diff("DAY", "_start", "_end"))
+    return (
+        spans.withColumn("_days", days)
+        .groupBy(F.date_trunc("week", "_start").alias("week"))
+        .agg(
+            F.count(F.lit(1)).alias("applications"),
+            F.count("_days").alias("reached"),
+            F.percentile("_days", 0.5).alias("median_days"),
+        )
+    )
+
+
 def run_success(runs: DataFrame) -> DataFrame:
     """Share of runs per source that did not fail."""
     return runs.groupBy("source_id").agg(

@@ -439,6 +439,59 @@ def score_given(
     )
 
 
+def checked(records: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Casts text columns to their kinds; adds ``faults``, the columns whose text does not fit.
+
+    A value that does not fit becomes null, a missing value is no fault.
+    """
+    casts = {name: F.col(name).try_cast(kind) for name, kind in kinds.items()}
+    faults = F.array_compact(
+        F.array(
+            *[F.when(F.col(n).isNotNull() & cast.isNull(), F.lit(n)) for n, cast in casts.items()]
+        )
+    )
+    return records.withColumn("faults", faults).withColumns(casts)
+
+
+def score_checked(
+    pairs: DataFrame,
+    records: DataFrame,
+    kinds: dict[str, str],
+    profiles: DataFrame,
+    now: str,
+    job_skills: DataFrame | None = None,
+    profile_skills: DataFrame | None = None,
+) -> DataFrame:
+    """Scores of given pairs over records as they came in.
+
+    One bad record costs only its own pairs: they stay as rows with ``faults`` and without a
+    score, so a caller keeps them apart by ``faults is not null``. Pairs of unknown records or
+    profiles give no row.
+    """
+    typed = checked(records, kinds)
+    bad = F.size("faults") > 0
+    scores = score_given(
+        pairs, typed.where(~bad).drop("faults"), profiles, now, job_skills, profile_skills
+    ).withColumn("faults", F.lit(None).cast("array<string>"))
+    asked = pairs.select("user_id", "job_id").distinct()
+    failed = (
+        asked.join(typed.where(bad).select("job_id", "faults"), "job_id")
+        .join(profiles.select("user_id"), "user_id", "left_semi")
+        .withColumn("scored_at", F.lit(now).cast("timestamp"))
+    )
+    return scores.unionByName(failed, allowMissingColumns=True)
+
+
+def run_counters() -> list[Column]:
+    """Counters of a run over rows of :func:`score_checked`, for ``agg`` or ``observe``."""
+    good = F.col("faults").isNull()
+    return [
+        F.count_if(good).alias("scored"),
+        F.count_if(~good).alias("failed"),
+        F.count_if(good & ~F.col("gate_passed")).alias("gated"),
+    ]
+
+
 def score_all(
     jobs: DataFrame,
     profiles: DataFrame,

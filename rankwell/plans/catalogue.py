@@ -4,6 +4,7 @@ from rankwell.plans import (  # noqa: F401
     queries_ingest,
     queries_match,
     queries_report,
+    queries_state,
     queries_stream,
     queries_text,
     queries_track,
