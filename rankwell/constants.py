@@ -22,6 +22,11 @@ SENIORITY_SPAN = 4
 MODE_SHARE = 0.7
 LOCATION_SHARE = 0.3
 UNKNOWN_MODE_RAW = 0.6
+OTHER_MODE_RAW = 0.2
+GLOBAL_REMOTE_RAW = 0.9
+INDIA_REMOTE_ELSEWHERE_RAW = 0.5
+REMOTE_ELSEWHERE_RAW = 0.7
+OTHER_PLACE_RAW = 0.2
 RECENCY_HORIZON_DAYS = 28
 COMPONENT_LABELS = {
     "skills": "Skills",

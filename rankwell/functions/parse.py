@@ -19,14 +19,22 @@ INDIA_SCOPE = [
     r"\bindia\s*wfh\b",
     r"\bwfh\s+india\b",
     r"\bremote\s*\(india\)",
+    r"\bremote\s*-\s*india\b",
 ]
 GLOBAL_SCOPE = [
     r"\bworldwide\b",
     r"\bglobal\b",
     r"\banywhere\b",
     r"\binternational\s+remote\b",
+    r"\bremote\s*[-–]\s*anywhere\b",
+    r"\bremote\s*[-–]\s*global\b",
+    r"\bremote\s*[-–]\s*worldwide\b",
+    r"\bwork\s+from\s+anywhere\b",
     r"\blocation\s+agnostic\b",
     r"\btime\s*zone\s+agnostic\b",
+    r"\bremote\s*\(global\)",
+    r"\bremote\s*\(worldwide\)",
+    r"\bremote\s*\(anywhere\)",
 ]
 SENIORITY_RULES = [
     ("intern", r"\b(intern|internship|trainee|fresher)\b"),

@@ -43,13 +43,10 @@ YEARS = [
     r"experience[:\s]*(\d+)\+?\s*years?",
     r"(\d+)\+?\s*years?\s*(?:in|of)",
 ]
-_AMOUNT = r"[\d][\d,]*(?:\.\d{1,2})?\s*(?:l|lakh|cr|crore)"
-_PER = r"(?:\s*(?:per|\/)\s*(?:year|annum|yr|month|mo|hour|hr))?"
 PAY = [
-    r"(?:expected|desired|target)?\s*(?:salary|compensation|ctc|pay|package)\s*[:\s-]*"
-    r"(?:₹|\$|€|£)?\s*" + _AMOUNT + "?" + _PER,
-    r"(?:₹|\$|€|£)\s*" + _AMOUNT + "?" + _PER,
-    r"\b" + _AMOUNT + r"\b(?:\s*(?:per|\/)\s*(?:year|annum|yr|month|mo))?",
+    r"(?:expected|desired|target)?\s*(?:salary|compensation|ctc|ctc|pay|package)\s*[:\s-]*(?:₹|\$|€|£)?\s*[\d][\d,]*(?:\.\d{1,2})?\s*(?:l|lakh|cr|crore)?(?:\s*(?:per|\/)\s*(?:year|annum|yr|month|mo|hour|hr))?",
+    r"(?:₹|\$|€|£)\s*[\d][\d,]*(?:\.\d{1,2})?\s*(?:l|lakh|cr|crore)?(?:\s*(?:per|\/)\s*(?:year|annum|yr|month|mo|hour|hr))?",
+    r"\b[\d][\d,]*(?:\.\d{1,2})?\s*(?:l|lakh|cr|crore)\b(?:\s*(?:per|\/)\s*(?:year|annum|yr|month|mo))?",
 ]
 PAY_WORDS = ["salary", "compensation", "ctc", "pay", "package"]
 PAY_SIGNS = ["₹", "$", "€", "£"]
@@ -61,16 +58,11 @@ SKILLS = [
     "Machine Learning", "Deep Learning", "NLP", "Computer Vision", "Data Science", "Analytics",
     "Product Management", "Project Management", "Leadership", "Communication", "Collaboration",
 ]
-_FIELD = "software|frontend|backend|full[- ]stack|devops|data|product|project|engineering"
-_ROLE = "engineer|developer|manager|designer|analyst|consultant|architect"
-TITLE = (
-    r"^(senior|junior|lead|principal|staff|director|vp|head of|chief)?\s*"
-    rf"({_FIELD})?\s*({_ROLE})"
-)
-DEGREE = (
-    r"(b\.?s\.?|m\.?s\.?|b\.?a\.?|m\.?a\.?|b\.?tech|m\.?tech|b\.?e\.?|m\.?e\.?|ph\.?d\.?|"
-    r"bachelor|master|doctorate)"
-)
+TITLES = [
+    r"^(senior|junior|lead|principal|staff|director|vp|head of|chief)?\s*(software|frontend|backend|full[- ]stack|devops|data|product|project|engineering)?\s*(engineer|developer|manager|designer|analyst|consultant|architect)",
+    r"^(software|frontend|backend|full[- ]stack|devops|data|product|project|engineering)\s*(engineer|developer|manager|designer|analyst|consultant|architect)",
+]
+DEGREE = r"(b\.?s\.?|m\.?s\.?|b\.?a\.?|m\.?a\.?|b\.?tech|m\.?tech|b\.?e\.?|m\.?e\.?|ph\.?d\.?|bachelor|master|doctorate)"
 YEAR = r"(?:19|20)\d{2}"
 PLACE_LABEL = r"location\s*:\s*(.+)"
 PLACE_LINE = r"^[A-Z][A-Za-z .'-]+,\s*[A-Z]{2}(?:\s*,\s*[A-Za-z ]+)?\s*$"
@@ -190,7 +182,7 @@ def location(text: Column) -> Column:
 def titles(experience: Column) -> Column:
     rows = F.filter(
         F.transform(_lines(experience), trimmed),
-        lambda x: (F.length(x) > 5) & (F.length(x) < 100) & has(x, TITLE),
+        lambda x: (F.length(x) > 5) & (F.length(x) < 100) & (has(x, TITLES[0]) | has(x, TITLES[1])),
     )
     heads = F.transform(rows, lambda x: F.get(F.split(x, "[-–|]"), 0))
     kept = F.transform(F.filter(heads, lambda x: x != ""), trimmed)

@@ -19,12 +19,17 @@ from pyspark.sql import functions as F
 from rankwell.constants import (
     DEFAULT_LEVEL,
     GATE_CODES,
+    GLOBAL_REMOTE_RAW,
+    INDIA_REMOTE_ELSEWHERE_RAW,
     LEVEL_MULTIPLIER,
     LOCATION_SHARE,
     MODE_SHARE,
     MODEL_VERSION,
     NEUTRAL_RAW,
+    OTHER_MODE_RAW,
+    OTHER_PLACE_RAW,
     RECENCY_HORIZON_DAYS,
+    REMOTE_ELSEWHERE_RAW,
     RULE_WEIGHTS,
     SEMANTIC_BLEND,
     SENIORITIES,
@@ -332,18 +337,20 @@ def place_part() -> tuple[Column, Column]:
         F.when(no_choice, NEUTRAL_RAW)
         .when(job_mode == "unknown", UNKNOWN_MODE_RAW)
         .when(accepted, 1.0)
-        .otherwise(0.2)
+        .otherwise(OTHER_MODE_RAW)
     )
     no_place = F.col("p_country").isNull() | F.col("country_code").isNull()
-    india = F.when(F.col("p_country") == "IN", 1.0).otherwise(0.5)
+    india = F.when(F.col("p_country") == "IN", 1.0).otherwise(INDIA_REMOTE_ELSEWHERE_RAW)
     place = (
         F.when(no_place, NEUTRAL_RAW)
         .when(F.col("country_code") == F.col("p_country"), 1.0)
         .when(
             job_mode.isin("remote", "hybrid"),
-            F.when(scope == "global", 0.9).when(scope == "india", india).otherwise(0.7),
+            F.when(scope == "global", GLOBAL_REMOTE_RAW)
+            .when(scope == "india", india)
+            .otherwise(REMOTE_ELSEWHERE_RAW),
         )
-        .otherwise(0.2)
+        .otherwise(OTHER_PLACE_RAW)
     )
     known = ~no_choice & (job_mode != "unknown") & ~no_place
     return clamp(mode * MODE_SHARE + place * LOCATION_SHARE, 0, 1), known
