@@ -212,6 +212,28 @@ select c_custkey as id,
   c_custkey % 7 as form, n_name, r_name
 from {customer} join {nation} on c_nationkey = n_nationkey
   join {region} on n_regionkey = r_regionkey
+""",
+    # One résumé per customer; what it says follows from the customer's number.
+    "resumes": """
+select c_custkey as doc_id,
+  case c_custkey % 3 when 0 then 'Maria Lopez' when 1 then ' John Van Smith ' else 'papers of nobody' end || chr(10)
+  || case when c_custkey % 5 <> 0 then 'Mail' || cast(c_custkey as string) || '@Example.com' || chr(10) else '' end
+  || case when c_custkey % 4 <> 0 then '(415) 555-' || lpad(cast(c_custkey % 10000 as string), 4, '0') || chr(10) else '' end
+  || case when c_custkey % 7 = 0 then '' when c_custkey % 7 < 3 then 'Location: London, UK' || chr(10)
+    when c_custkey % 7 < 5 then 'Location: Bangalore, India' || chr(10)
+    else 'Location: San Francisco, CA, USA' || chr(10) end
+  || case when c_custkey % 2 = 0 then 'Expected salary: $' || cast(50 + c_custkey % 100 as string) || ',000 per year'
+    || chr(10) else '' end
+  || case c_custkey % 5 when 1 then 'Prefers remote' || chr(10) when 2 then 'Hybrid or on-site' || chr(10) else '' end
+  || chr(10) || 'Summary' || chr(10) || 'Builds things that last and helps people' || chr(10)
+  || 'EXPERIENCE:' || chr(10) || case c_custkey % 3 when 0 then 'Senior Software Engineer - Acme' || chr(10)
+    when 1 then 'Data Analyst | Beta' || chr(10) || 'Lead Product Manager – Gamma' || chr(10) else '' end
+  || cast(c_custkey % 12 as string) || ' years of experience in teams' || chr(10)
+  || 'Education' || chr(10) || case when c_custkey % 3 = 0 then 'B.Tech in Computing 2014' || chr(10)
+    || 'Master of Arts, 1999' else 'School of life' end || chr(10)
+  || 'Skills' || chr(10) || case c_custkey % 4 when 0 then 'Python, SQL and Docker' when 1 then 'C++, C#, Go'
+    when 2 then 'Node.js; React; CI/CD' else 'Cooking' end as text
+from {customer}
 """,
     # Document parts seen as postings.
     "postings": """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankwell.constants import SKILL_SEED
+from rankwell.functions import resume
 from rankwell.operators import dedupe, feed, reports, scoring, tracker
 from rankwell.plans.adapters import CHECKS, NOW
 from rankwell.plans.queries_ingest import TIE, hashed, stamp
@@ -166,6 +167,92 @@ def resume_versions(t):
     )
 
 
+CHECKS["resume_fields"] = """
+select c_custkey as doc_id, case c_custkey % 3 when 0 then 'Maria Lopez' when 1 then 'John Van Smith' end as full_name,
+  case when c_custkey % 5 <> 0 then 'mail' || c_custkey || '@example.com' end as email,
+  case when c_custkey % 4 <> 0 then '(415) 555-' || lpad((c_custkey % 10000)::varchar, 4, '0') end as phone,
+  case when c_custkey % 7 = 0 then null when c_custkey % 7 < 3 then 'London' when c_custkey % 7 < 5 then 'Bangalore'
+    else 'San Francisco' end as city,
+  case when c_custkey % 7 = 0 then null when c_custkey % 7 < 3 then 'GB' when c_custkey % 7 < 5 then 'IN'
+    else 'US' end as country_code,
+  case c_custkey % 3 when 0 then 'Senior Software Engineer' when 1 then 'Data Analyst|Lead Product Manager'
+    else '' end as titles,
+  case c_custkey % 3 when 0 then 'senior' when 1 then 'lead' else case when c_custkey % 12 < 2 then 'junior'
+    when c_custkey % 12 < 5 then 'mid' when c_custkey % 12 < 8 then 'senior' else 'lead' end end as seniority,
+  (c_custkey % 12)::double as years_experience,
+  case c_custkey % 4 when 0 then 'Python|Docker|SQL' when 1 then 'C++|C#|Go' when 2 then 'React|Node.js|CI/CD'
+    else '' end as skills,
+  case c_custkey % 5 when 1 then 'remote' when 2 then 'hybrid|onsite' else '' end as work_modes,
+  case when c_custkey % 3 = 0 then 'B.Tech in Computing 2014:2014|Master of Arts, 1999:1999' else '' end as education,
+  'Builds things that last and helps people' as summary,
+  case when c_custkey % 2 = 0 then (50 + c_custkey % 100) * 1000.0::double end as min_salary,
+  case when c_custkey % 2 = 0 then 'USD' end as salary_currency, case when c_custkey % 2 = 0 then 'year' end as salary_period,
+  (case when c_custkey % 5 <> 0 then 20 else 0 end + case when c_custkey % 4 <> 0 then 10 else 0 end
+    + case when c_custkey % 7 <> 0 then 15 else 0 end + case when c_custkey % 3 < 2 then 20 else 0 end
+    + case when c_custkey % 4 < 3 then 20 else 0 end + 15) / 100.0::double as confidence
+from {customer}
+"""
+
+
+@query("""
+select *, confidence < 0.6 or email is null or titles = '' as needs_review,
+  case when confidence >= 0.6 then 'rules' else 'fallback' end as method from {resume_fields}
+""")
+def resume_profiles(t):
+    """All fields of a résumé per customer."""
+    rows = resume.extract_profiles(t.resumes)
+    place = F.col("location")
+    degrees = F.transform("education", lambda e: F.concat_ws(":", e["degree"], e["year"].cast("string")))
+    return rows.select(
+        "doc_id", "full_name", "email", "phone", place["city"].alias("city"), place["country_code"].alias("country_code"),
+        F.array_join("titles", "|").alias("titles"), "seniority", "years_experience",
+        F.array_join("skills", "|").alias("skills"), F.array_join("work_modes", "|").alias("work_modes"),
+        F.array_join(degrees, "|").alias("education"), "summary", "min_salary", "salary_currency", "salary_period",
+        "confidence", "needs_review", "method",
+    )
+
+
+@query("""
+select f.doc_id as user_id, f.titles, f.skills,
+  case when f.work_modes <> '' then f.work_modes else array_to_string(coalesce(p.work_modes, []), '|') end as work_modes,
+  coalesce(f.seniority, p.seniority) as seniority, f.years_experience, coalesce(f.country_code, p.country_code) as country_code,
+  f.city, coalesce(f.min_salary, p.min_salary) as min_salary, coalesce(f.salary_currency, p.salary_currency) as salary_currency,
+  coalesce(f.salary_period, p.salary_period) as salary_period,
+  f.titles <> '' or f.skills <> '' or f.country_code is not null or f.work_modes <> '' as ready
+from {resume_fields} f join {profiles} p on p.user_id = f.doc_id
+""")
+def resume_seeds(t):
+    """Seeds from the résumés over the stored profiles: all columns, and whether a seed holds enough."""
+    seed = resume.profile_seed(resume.extract_profiles(t.resumes)).withColumnRenamed("doc_id", "user_id")
+    empty = lambda kind: F.lit(None).cast(kind)
+    stored = t.profiles.select(
+        "user_id", "seniority", "country_code", "work_modes", "min_salary", "salary_currency", "salary_period",
+        empty("array<string>").alias("target_titles"), empty("array<string>").alias("skills"),
+        empty("double").alias("years_experience"), empty("string").alias("city"),
+    )
+    ready = seed.select("user_id", resume.seed_ready().alias("ready"))
+    merged = resume.merge_seed(stored, seed, "user_id").join(ready, "user_id")
+    lists = {c: F.array_join(c, "|") for c in ("target_titles", "skills", "work_modes")}
+    return merged.withColumns(lists).withColumnRenamed("target_titles", "titles")
+
+
+@query("""
+select c_custkey as doc_id, 'Builds things that last and helps people' as summary,
+  case c_custkey % 3 when 0 then 'Senior Software Engineer - Acme' || chr(10)
+    when 1 then 'Data Analyst | Beta' || chr(10) || 'Lead Product Manager – Gamma' || chr(10) else '' end
+    || (c_custkey % 12) || ' years of experience in teams' as experience,
+  case when c_custkey % 3 = 0 then 'B.Tech in Computing 2014' || chr(10) || 'Master of Arts, 1999'
+    else 'School of life' end as education,
+  case c_custkey % 4 when 0 then 'Python, SQL and Docker' when 1 then 'C++, C#, Go'
+    when 2 then 'Node.js; React; CI/CD' else 'Cooking' end as skills,
+  null::varchar as projects, null::varchar as certifications from {customer}
+""")
+def resume_sections(t):
+    """Named sections of every résumé."""
+    names = [name for name, _ in resume.HEADERS]
+    return t.resumes.select("doc_id", *[resume.section(F.col("text"), n).alias(n) for n in names])
+
+
 # --- records ----------------------------------------------------------------------------------------
 
 
