@@ -103,6 +103,31 @@ def apply_updates(
     return joined.select(*[next_value(c) for c in profiles.columns])
 
 
+def pending(queue: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """Queued rows whose work is not completed yet: new ones and those that failed before."""
+    completed = state.where(F.col("status") == "completed").select(key)
+    return queue.join(completed, key, "left_anti")
+
+
+def after_processing(state: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:
+    """Status of every key after a batch: completed, or failed with its last error.
+
+    ``outcomes`` holds one row per processed key with ``error``, null where it went well; the bad
+    rows are those a caller puts into quarantine. A completed key stays so whatever is sent again.
+    """
+    fresh = outcomes.select(key, F.struct(F.col("error").cast("string").alias("error")).alias("_now"))
+    rows = state.join(fresh, key, "full")
+    ran = F.col("_now").isNotNull() & ~F.coalesce(F.col("status") == "completed", F.lit(False))
+    error = F.col("_now")["error"]
+    return rows.select(
+        key,
+        F.when(ran, F.when(error.isNull(), "completed").otherwise("failed"))
+        .otherwise(F.col("status")).alias("status"),
+        (F.coalesce("attempts", F.lit(0)) + ran.cast("int")).alias("attempts"),
+        F.when(ran, error).otherwise(F.col("error")).alias("error"),
+    )
+
+
 def new_accounts(profiles: DataFrame, accounts: DataFrame) -> DataFrame:
     """A profile row for each new account; a clash on id or e-mail adds nothing."""
     rows = accounts.select(

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from rankwell.constants import SKILL_SEED
 from rankwell.functions import resume
-from rankwell.operators import dedupe, feed, reports, scoring, tracker
+from rankwell.operators import dedupe, feed, merges, reports, scoring, tracker
 from rankwell.plans.adapters import CHECKS, NOW
 from rankwell.plans.queries_ingest import TIE, hashed, stamp
 from rankwell.plans.queries_match import given_scores, job_actions, ordered_pairs, scored_jobs, stored_jobs
 from rankwell.plans.queries_track import history_of, moves_of, text_time
 from rankwell.plans.registry import Inputs, query
+from rankwell.session import cut_lineage
 
 _CUT = "2024-01-15"
 
@@ -253,6 +254,28 @@ def resume_sections(t):
     return t.resumes.select("doc_id", *[resume.section(F.col("text"), n).alias(n) for n in names])
 
 
+@query("""
+select c_custkey as doc_id, case when c_custkey % 10 = 0 then 'failed' else 'completed' end as status,
+  case when c_custkey % 3 <> 0 then 1 else 0 end + case when c_custkey % 3 = 0 or c_custkey % 5 = 0 then 1 else 0 end
+    as attempts,
+  case when c_custkey % 10 = 0 then 'no_email' end as error from {customer}
+""")
+def resume_status(t):
+    """Two thirds of the résumés processed, then all sent: what is completed is not processed again.
+
+    A résumé without an e-mail fails; at the second attempt half of them pass.
+    """
+    state = t.spark.createDataFrame([], "doc_id bigint, status string, attempts int, error string")
+    queue = t.resumes
+    for batch in (queue.where(F.col("doc_id") % 3 != 0), queue):
+        todo = merges.pending(batch, state, "doc_id")
+        missing = F.size(resume.emails(F.col("text"))) == 0
+        bad = missing & (F.col("doc_id") % 2 == 0) if batch is queue else missing
+        outcomes = todo.select("doc_id", F.when(bad, "no_email").alias("error"))
+        state = cut_lineage(merges.after_processing(state, outcomes, "doc_id"))
+    return state
+
+
 # --- records ----------------------------------------------------------------------------------------
 
 

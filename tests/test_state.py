@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from rankwell.operators import dedupe, reports, scoring, tracker
+from rankwell.operators import dedupe, merges, reports, scoring, tracker
 
 JOBS = "job_id string, title string, company_name string"
 REQUESTS = "user_id int, job_id string, applied_at string, request_id int, next_action_at string, notes string"
@@ -125,3 +125,16 @@ def test_days_to_first(spark):
     )
     got = {r.week.day: (r.applications, r.reached, r.median_days) for r in reports.days_to_first(history, "applied", "interview").collect()}
     assert got == {1: (3, 2, 5.5), 8: (1, 0, None)}
+
+
+def test_completed_work_is_not_done_again(spark):
+    state = spark.createDataFrame(
+        [(1, "completed", 1, None), (2, "failed", 1, "old")], "doc_id int, status string, attempts int, error string"
+    )
+    queue = spark.createDataFrame([(1,), (2,), (3,), (4,)], "doc_id int")
+    assert sorted(r.doc_id for r in merges.pending(queue, state, "doc_id").collect()) == [2, 3, 4]
+    outcomes = spark.createDataFrame([(1, "late"), (2, None), (3, "bad")], "doc_id int, error string")
+    got = {tuple(r) for r in merges.after_processing(state, outcomes, "doc_id").collect()}
+    assert got == {(1, "completed", 1, None), (2, "completed", 2, None), (3, "failed", 1, "bad")}
+    none = merges.after_processing(state, outcomes.limit(0), "doc_id")
+    assert {tuple(r) for r in none.collect()} == {(1, "completed", 1, None), (2, "failed", 1, "old")}
