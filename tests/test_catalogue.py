@@ -18,7 +18,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 SAMPLE = [
     "exact_dedupe", "parse_salary", "list_clean", "rule_score", "ranked_feed", "stage_replay",
     "run_stats", "fuzzy_best", "payload_scan", "stream_first_seen", "digest", "vector_topk",
-    "feed_search_stems",
+    "feed_search_stems", "html_text", "moved_applications", "resume_profiles", "resume_seeds", "resume_status",
+    "profile_catalogue", "history_newest_first", "address_sightings",
 ]
 
 
