@@ -9,7 +9,9 @@ from rankwell.functions import resume
 from rankwell.operators import dedupe, feed, merges, reports, scoring, tracker
 from rankwell.plans.adapters import CHECKS, NOW
 from rankwell.plans.queries_ingest import TIE, hashed, stamp
-from rankwell.plans.queries_match import given_scores, job_actions, ordered_pairs, scored_jobs, stored_jobs
+from rankwell.plans.queries_match import (
+    job_actions, ordered_pairs, packed, packed_scores, scored_jobs, spelled, stored_jobs,
+)
 from rankwell.plans.queries_track import history_of, moves_of, text_time
 from rankwell.plans.registry import Inputs, query
 from rankwell.session import cut_lineage
@@ -316,7 +318,7 @@ def rescore_counters(t):
     )
     vectors = t.embeddings.select("vec_id", "embedding")
     rows = scoring.score_checked(
-        ordered_pairs(t), raw, {"salary_min": "double", "posted_at": "timestamp"},
+        ordered_pairs(t), packed(raw), {"salary_min": "double", "posted_at": "timestamp"},
         t.profiles.join(vectors, "vec_id", "left"), NOW, profile_skills=t.profile_skills,
     )
     return rows.groupBy("user_id").agg(*scoring.run_counters())
@@ -338,13 +340,14 @@ left join {weighted_skills} w on w.job_id = x.job_id
 """)
 def weighted_skill_score(t):
     """Skill component where a record asks for its skills with different weights."""
-    skills = scoring.derive_job_skills(stored_jobs(t)).withColumn(
+    jobs = packed(stored_jobs(t))
+    skills = scoring.derive_job_skills(jobs).withColumn(
         "weight", (F.length("skill_id") % 4 + 1) / F.lit(4.0)
     )
     rows = scoring.score_given(
-        ordered_pairs(t), stored_jobs(t), t.profiles, NOW, skills, t.profile_skills
+        ordered_pairs(t), jobs, t.profiles, NOW, skills, t.profile_skills
     )
-    return rows.select("user_id", "job_id", F.get("breakdown", 0)["raw"].alias("skills_raw"))
+    return spelled(rows).select("user_id", "job_id", F.get("breakdown", 0)["raw"].alias("skills_raw"))
 
 
 # --- feed -------------------------------------------------------------------------------------------
@@ -367,7 +370,7 @@ where position <= 10
 def feed_by_date(t):
     """Newest records of one source and of two employment types that are still open."""
     part = F.col("part_key")
-    jobs = stored_jobs(t).withColumns(
+    jobs = packed(stored_jobs(t)).withColumns(
         {
             "status": F.when(part % 9 == 0, "expired").otherwise("active"),
             "source_id": part % 3,
@@ -377,12 +380,12 @@ def feed_by_date(t):
             ),
         }
     ).drop("part_key")
-    view = feed.ranked_view(jobs, given_scores(t), feed.action_flags(job_actions(t)))
+    view = feed.ranked_view(jobs, packed_scores(t), feed.action_flags(packed(job_actions(t))))
     narrow = feed.FeedFilter(
         employment_types=("full_time", "contract"), source_id=1, posted_since="1992-06-01"
     )
     page = feed.page(feed.feed_rows(view, narrow), 10, "date")
-    return page.select("user_id", "job_id", F.col("position").cast("bigint").alias("position"))
+    return spelled(page).select("user_id", "job_id", F.col("position").cast("bigint").alias("position"))
 
 
 @query("""
@@ -392,9 +395,9 @@ where j.part_key % 9 <> 0 and j.part_key % 5 < 2
 def scored_since(t):
     """Pairs of open records whose last scoring is recent."""
     part = F.col("part_key")
-    jobs = stored_jobs(t).withColumn("status", F.when(part % 9 == 0, "expired").otherwise("active"))
+    jobs = packed(stored_jobs(t)).withColumn("status", F.when(part % 9 == 0, "expired").otherwise("active"))
     ages = jobs.select("job_id", (part % 5).cast("int").alias("_age"))
-    scores = given_scores(t).join(ages, "job_id").withColumn(
+    scores = packed_scores(t).join(ages, "job_id").withColumn(
         "scored_at", F.timestamp_add("DAY", -F.col("_age"), F.col("scored_at"))
     )
-    return feed.recently_scored(jobs, scores, "1995-06-29 00:00:00")
+    return spelled(feed.recently_scored(jobs, scores, "1995-06-29 00:00:00"))

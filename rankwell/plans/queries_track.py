@@ -10,7 +10,7 @@ from rankwell.operators import dedupe, health, merges, tracker
 from rankwell.operators.ordered import with_row_number
 from rankwell.plans.adapters import CHECKS
 from rankwell.plans.queries_ingest import TIE, hashed, stamp
-from rankwell.plans.queries_match import given_scores, job_actions, ordered_pairs, stored_jobs
+from rankwell.plans.queries_match import job_actions, ordered_pairs, packed, packed_scores, spelled, stored_jobs
 from rankwell.plans.registry import Inputs, query
 
 TIME = "'%Y-%m-%d %H:%M:%S'"
@@ -155,8 +155,8 @@ select user_id, job_id from {ordered_jobs} o where not exists (select 1 from {jo
 """)
 def exclude_acted(t):
     """Ordered pairs without those dismissed or applied to."""
-    acted = job_actions(t).where(F.col("event").isin("dismiss", "apply"))
-    return ordered_pairs(t).distinct().join(acted, ["user_id", "job_id"], "left_anti")
+    acted = packed(job_actions(t).where(F.col("event").isin("dismiss", "apply")))
+    return spelled(ordered_pairs(t).distinct().join(acted, ["user_id", "job_id"], "left_anti"))
 
 
 CHECKS["applied"] = """
@@ -223,8 +223,10 @@ left join {applied} p on p.user_id = a.user_id and p.job_id = a.job_id
 """)
 def job_detail(t):
     """Record, score and application for every (user, record) of the action log."""
-    rows = tracker.job_detail(stored_jobs(t), given_scores(t), applications_of(t), job_actions(t))
-    return rows.select(
+    rows = tracker.job_detail(
+        packed(stored_jobs(t)), packed_scores(t), packed(applications_of(t)), packed(job_actions(t))
+    )
+    return spelled(rows).select(
         "user_id", "job_id", "title", "final_score",
         F.col("application_stage").isNotNull().alias("has_application"),
     )
