@@ -197,13 +197,22 @@ from {customer}
 """
 
 
+def resumes_of(t: Inputs):
+    """Résumés dealt evenly to the cores, as keys, before their texts are built.
+
+    A file with few row groups gives few tasks with rows, however many splits it has.
+    """
+    keys = t.customer.select("c_custkey").repartition(2 * t.spark.sparkContext.defaultParallelism)
+    return t.view_over("resumes", customer=keys)
+
+
 @query("""
 select *, confidence < 0.6 or email is null or titles = '' as needs_review,
   case when confidence >= 0.6 then 'rules' else 'fallback' end as method from {resume_fields}
 """)
 def resume_profiles(t):
     """All fields of a résumé per customer."""
-    rows = resume.extract_profiles(t.resumes)
+    rows = resume.extract_profiles(resumes_of(t))
     place = F.col("location")
     degrees = F.transform("education", lambda e: F.concat_ws(":", e["degree"], e["year"].cast("string")))
     return rows.select(
@@ -226,7 +235,7 @@ from {resume_fields} f join {profiles} p on p.user_id = f.doc_id
 """)
 def resume_seeds(t):
     """Seeds from the résumés over the stored profiles: all columns, and whether a seed holds enough."""
-    seed = resume.profile_seed(resume.extract_profiles(t.resumes)).withColumnRenamed("doc_id", "user_id")
+    seed = resume.profile_seed(resume.extract_profiles(resumes_of(t))).withColumnRenamed("doc_id", "user_id")
     empty = lambda kind: F.lit(None).cast(kind)
     stored = t.profiles.select(
         "user_id", "seniority", "country_code", "work_modes", "min_salary", "salary_currency", "salary_period",
@@ -253,7 +262,7 @@ select c_custkey as doc_id, 'Builds things that last and helps people' as summar
 def resume_sections(t):
     """Named sections of every résumé."""
     names = [name for name, _ in resume.HEADERS]
-    return t.resumes.select("doc_id", *[resume.section(F.col("text"), n).alias(n) for n in names])
+    return resumes_of(t).select("doc_id", *[resume.section(F.col("text"), n).alias(n) for n in names])
 
 
 @query("""

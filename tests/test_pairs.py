@@ -1,10 +1,12 @@
-"""What pairs weigh on their way through a large run."""
+"""What pairs and résumés weigh on their way through a large run."""
 
 from pyspark.sql import functions as F
 
 from rankwell.operators import scoring
+from rankwell.plans.adapters import VIEWS, sql
 from rankwell.plans.queries_ingest import hashed
 from rankwell.plans.queries_match import ordered_pairs, spelled
+from rankwell.plans.queries_state import resumes_of
 from rankwell.plans.registry import Inputs
 
 TABLES = {
@@ -48,3 +50,12 @@ def test_vectors_of_pairs_stay_as_wide_as_stored(spark):
         1.0d as min_salary, 'USD' as salary_currency, 'year' as salary_period, array('x') as blocked_companies,
         array('x') as preferred_companies, array('x') as excluded_keywords, array(1.0f, 2.0f) as embedding""")
     assert dict(scoring.prepare_profiles(profiles).dtypes)["p_embedding"] == "array<float>"
+
+
+def test_resumes_use_all_cores_whatever_the_file(spark, tmp_path):
+    t = inputs(spark, tmp_path)
+    rows = resumes_of(t)
+    held = rows.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(held) >= spark.sparkContext.defaultParallelism
+    wanted = sql(spark, str(tmp_path), VIEWS["resumes"])
+    assert sorted(rows.collect()) == sorted(wanted.collect())
