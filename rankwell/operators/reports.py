@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwell.constants import ALERT_SCORE, DIGEST_ITEMS, EXPIRED_DAYS, STALE_DAYS
+from rankwell.functions.text import let
 from rankwell.operators.ordered import with_previous
 
 MEANINGFUL = ["save", "dismiss", "apply"]
@@ -191,28 +192,52 @@ def follow_ups(applications: DataFrame, today: str) -> DataFrame:
     return applications.where(due <= day).withColumn("overdue", due < day)
 
 
-def search_previews(searches: DataFrame, rows: DataFrame, top: int = 5) -> DataFrame:
+def search_previews(
+    searches: DataFrame, rows: DataFrame, top: int = 5, block: int = 4_096, share: int = 2_048
+) -> DataFrame:
     """Per saved search: number of matching feed rows and the best five.
 
-    A filter left null does not restrict. Searches meet the feed of their own user only.
+    A filter left null does not restrict. Searches meet the feed of their own user only, as blocks of
+    about ``block`` rows in feed order, so what leaves a (search, block) is a count and its best rows,
+    never the matches themselves. A user's searches are cut into shares, each beside all its blocks.
     """
-    free = lambda name: F.col(f"s.{name}").isNull() | (F.col(f"s.{name}") == F.col(f"f.{name}"))
-    hits = searches.alias("s").join(
-        rows.alias("f"),
-        (F.col("s.user_id") == F.col("f.user_id"))
-        & free("work_mode")
-        & free("country_code")
-        & (F.col("s.min_salary").isNull() | (F.col("f.salary_max") >= F.col("s.min_salary"))),
-    ).select("s.search_id", "f.job_id", "f.final_score")
-    counts = hits.groupBy("search_id").agg(F.count(F.lit(1)).alias("matches"))
-    w = Window.partitionBy("search_id").orderBy(F.desc("final_score"), F.desc("job_id"))
-    best = hits.withColumn("position", F.row_number().over(w)).where(F.col("position") <= top)
-    return (
-        searches.select("search_id")
-        .join(counts, "search_id", "left")
-        .join(best, "search_id", "left")
-        .withColumn("matches", F.coalesce("matches", F.lit(0)))
+    item = F.struct("final_score", "job_id", "work_mode", "country_code", "salary_max").alias("_item")
+    blocks = (
+        _cut(rows, "job_id", block, "_slot")
+        .select("user_id", "_slot", item)
+        .groupBy("user_id", "_slot")
+        .agg(F.sort_array(F.collect_list("_item"), asc=False).alias("_rows"))
+    )
+    shared = _cut(searches, "search_id", share, "_share")
+    wanted = shared.select("user_id", "_share").distinct().join(blocks, "user_id").drop("_slot")
+    free = lambda r, name: F.col(name).isNull() | (F.col(name) == r[name])
+    hits = F.filter(
+        "_rows",
+        lambda r: free(r, "work_mode")
+        & free(r, "country_code")
+        & (F.col("min_salary").isNull() | (r["salary_max"] >= F.col("min_salary"))),
+    )
+    first = lambda h: F.transform(
+        F.slice(h, 1, top), lambda r: F.struct(r["final_score"].alias("final_score"), r["job_id"].alias("job_id"))
+    )
+    found = shared.join(wanted, ["user_id", "_share"]).select(
+        "search_id", let(hits, lambda h: F.struct(F.size(h).alias("n"), first(h).alias("best"))).alias("_hits")
     )
+    best = F.slice(F.sort_array(F.flatten(F.collect_list(F.col("_hits")["best"])), asc=False), 1, top)
+    counts = found.groupBy("search_id").agg(F.sum(F.col("_hits")["n"]).alias("matches"), best.alias("_best"))
+    listed = searches.select("search_id").join(counts, "search_id", "left").select(
+        "search_id", F.coalesce("matches", F.lit(0)).alias("matches"), F.posexplode_outer("_best").alias("_at", "_row")
+    )
+    return listed.select(
+        "search_id", "matches", F.col("_row")["job_id"].alias("job_id"),
+        F.col("_row")["final_score"].alias("final_score"), (F.col("_at") + 1).alias("position"),
+    )
+
+
+def _cut(rows: DataFrame, ident: str, size: int, name: str) -> DataFrame:
+    """Adds ``name``: the rows of each user are dealt to parts of about ``size`` rows, counted first."""
+    parts = rows.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_parts"))
+    return rows.join(parts, "user_id").withColumn(name, F.pmod(F.xxhash64(ident), F.col("_parts"))).drop("_parts")
 
 
 def digest_slots(users: DataFrame, day: str, sent: DataFrame) -> DataFrame:
