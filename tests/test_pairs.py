@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from rankwell.operators import scoring
+from rankwell.operators import dedupe, scoring
 from rankwell.plans.adapters import VIEWS, sql
-from rankwell.plans.queries_ingest import hashed
-from rankwell.plans.queries_match import ordered_pairs, spelled
+from rankwell.plans.queries_ingest import PAYLOAD, TIE, first_lines, hashed, jobs_of, numbered_jobs
+from rankwell.plans.queries_match import numbered_pairs, ordered_pairs, spelled
 from rankwell.plans.queries_state import resumes_of
 from rankwell.plans.registry import Inputs
 
@@ -45,6 +45,31 @@ def test_ordered_pairs_are_packed_and_the_same(spark, tmp_path):
     assert sorted(map(str, found)) == sorted(map(str, wanted))
 
 
+def test_records_are_found_without_sorting_their_payload(spark, tmp_path):
+    t = inputs(spark, tmp_path)
+    assert not {"title", "description_text", "source_url"} & set(first_lines(t).select("_line.*", "*").columns)
+    # Keys that repeat and a missing title: the records and counts of all sightings.
+    part = t.part.unionByName(t.part).unionByName(t.part.where("p_partkey = 2").withColumn("p_name", F.lit(None).cast("string")))
+    part.coalesce(1).write.parquet(f"{tmp_path}/twice/part.parquet")
+    for name in TABLES:
+        if name != "part":
+            getattr(t, name).coalesce(1).write.parquet(f"{tmp_path}/twice/{name}.parquet")
+    t = Inputs(spark, f"{tmp_path}/twice")
+    plain = dedupe.collapse(hashed(t), ["dedupe_hash"], PAYLOAD, "seen_at", TIE)
+    found = jobs_of(t).drop("job_id", "posted_at", "status")
+    assert found.columns == plain.columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    assert found.count() > 2
+
+
+def test_pairs_meet_profiles_as_numbers(spark, tmp_path):
+    t = inputs(spark, tmp_path)
+    pairs = numbered_pairs(t)
+    assert dict(pairs.dtypes)["job_no"] == "bigint"
+    named = pairs.join(numbered_jobs(t).select("job_no", "job_id"), "job_no").select("user_id", "job_id")
+    assert sorted(map(str, named.collect())) == sorted(map(str, spelled(ordered_pairs(t)).collect()))
+
+
 def test_vectors_of_pairs_stay_as_wide_as_stored(spark):
     profiles = spark.sql("""select 1 as user_id, 'mid' as seniority, 'IN' as country_code, array('remote') as work_modes,
         1.0d as min_salary, 'USD' as salary_currency, 'year' as salary_period, array('x') as blocked_companies,
