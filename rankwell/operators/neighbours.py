@@ -18,6 +18,9 @@ from rankwell.operators.ordered import with_row_number
 from rankwell.session import broadcast_if_small, cut_lineage
 
 BLOCK = 1_024  # vectors multiplied together
+HELD_BLOCKS = 256  # query blocks whose best pairs a task holds at once: 40 MB at ten a query
+PAIRS = 65_536  # pairs whose cosine is summed at once: 64 MB at 64 dimensions
+MARGIN = 0.01  # percent of cosine: far more than single precision is off in a sum of products of unit vectors
 BROADCAST_BLOCKS = 64  # query blocks sent to every task at most: 32 MB at 64 dimensions
 
 
@@ -128,9 +131,13 @@ def _planes(tables: int, bits: int, width: int) -> np.ndarray:
     return np.random.default_rng(width).standard_normal((tables, bits, width))
 
 
-def _hashed(tables: int, bits: int, radius: int):
-    """(id, table, bucket, unit vector): the bucket of a vector, or all within ``radius`` flipped bits."""
-    flips = [sum(1 << b for b in some) for r in range(radius + 1) for some in itertools.combinations(range(bits), r)]
+def _flips(bits: int, radius: int) -> np.ndarray:
+    """All numbers of ``bits`` bits with at most ``radius`` set."""
+    return np.array([sum(1 << b for b in some) for r in range(radius + 1) for some in itertools.combinations(range(bits), r)])
+
+
+def _hashed(tables: int, bits: int):
+    """(id, width, first bucket, buckets of all tables, unit vector) of every vector that has a direction."""
     weights = 1 << np.arange(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,20 +145,129 @@ def _hashed(tables: int, bits: int, radius: int):
             for part in (batch.slice(k, BLOCK) for k in range(0, batch.num_rows, BLOCK)):
                 matrix, width = _flat(part.column(1))
                 good = np.flatnonzero(np.isfinite(matrix).all(axis=1)) if width else np.zeros(0, np.int64)
+                if not len(good):
+                    continue
                 units = matrix[good]
-                packed = pa.array([u.astype("<f4").tobytes() for u in units], pa.binary())
-                ids = part.column(0).take(pa.array(good))
-                for t, planes in enumerate(_planes(tables, bits, width) if width else []):
-                    codes = ((units @ planes.T) > 0) @ weights
-                    for flip in flips:
-                        yield pa.RecordBatch.from_arrays(
-                            [ids, pa.array(np.full(len(good), t, np.int32)), pa.array((codes ^ flip).astype(np.int64)), packed],
-                            names=["id", "table", "bucket", "unit"],
-                        )
+                codes = np.stack([((units @ planes.T) > 0) @ weights for planes in _planes(tables, bits, width)], axis=1)
+                columns = [
+                    part.column(0).take(pa.array(good)), pa.array(np.full(len(good), width, np.int32)), pa.array(codes[:, 0]),
+                    *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (codes.astype("<i4"), units.astype("<f4"))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "width", "bucket", "codes", "unit"])
 
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], copies: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Hashed rows as blocks of at most ``BLOCK`` rows of one width.
+
+    Of equal vectors of a batch, the ``copies`` of the smallest ids are kept: no more can be among the
+    best of any query. Equal vectors share their buckets, in which rows are sorted by id.
+    """
+    for batch in batches:
+        if copies is not None:
+            alike = pc.binary_join_element_wise(batch.column("codes"), batch.column("unit"), b"").dictionary_encode()
+            kind = alike.indices.to_numpy()
+            by = np.argsort(kind, kind="stable")
+            place = np.arange(len(by)) - np.searchsorted(kind[by], kind[by])
+            batch = batch.take(pa.array(np.sort(by[place < copies])))
+        widths = batch.column("width").to_numpy()
+        for width in np.unique(widths):
+            rows = batch.take(pa.array(np.flatnonzero(widths == width)))
+            for part in (rows.slice(k, BLOCK) for k in range(0, rows.num_rows, BLOCK)):
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("id"))
+                held = [pa.array([b"".join(part.column(c).to_pylist())], pa.binary()) for c in ("codes", "unit")]
+                columns = [ids, pa.array([width], pa.int32()), *held]
+                yield pa.RecordBatch.from_arrays(columns, names=["ids", "width", "codes", "matrix"])
+
+
+def _best_in_reach(k: int, names: tuple[str, str], tables: int, bits: int, radius: int):
+    """The best ``k`` of a partition's vectors for each query, of those that share a bucket in reach with it."""
+    flips = _flips(bits, radius)
+    near = np.zeros(1 << bits, bool)  # by the bits in which two buckets differ
+    near[flips] = True
+
+    def in_reach(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        found = near[left[:, 0] ^ right[:, 0]]
+        for t in range(1, tables):
+            rest = np.flatnonzero(~found)
+            found[rest] = near[left[rest, t] ^ right[rest, t]]
+        return found
+
+    def met(batch: pa.RecordBatch, r: int, reach: np.ndarray, codes: np.ndarray, edges: np.ndarray | None):
+        """Rows of queries, of vectors and the exact cosines of pairs that may be among the best."""
+        width = batch.column("width")[r].as_py()
+        left, right = (
+            np.frombuffer(batch.column(c)[r].as_py(), "<f4").reshape(-1, width) for c in ("q_matrix", "matrix")
+        )
+        asked = np.frombuffer(batch.column("q_codes")[r].as_py(), "<i4").reshape(-1, tables)
+        rows = np.flatnonzero(reach[np.arange(tables), asked].any(axis=1))  # others share no bucket with this block
+        if not len(rows):
+            return rows, rows, np.zeros(0)
+        rough = left[rows] @ right.T * 100
+        if edges is None or not len(edges):
+            low = np.full(len(rows), -np.inf)
+        else:
+            low = edges[rows]
+        i, j = np.nonzero(rough >= low[:, None] - MARGIN)
+        at = in_reach(asked[rows[i]], codes[j])
+        i, j = i[at], j[at]
+        if len(i) > k * len(rows):  # the k-th best of the block, less what single precision may be off
+            kept = np.full(rough.shape, -np.inf, np.float32)
+            kept[i, j] = rough[i, j]
+            if k < kept.shape[1]:
+                edge = -np.partition(-kept, k - 1, axis=1)[:, k - 1]
+                at = rough[i, j] >= edge[i] - MARGIN
+                i, j = i[at], j[at]
+        exact = np.zeros(len(i))
+        for at in (slice(n, n + PAIRS) for n in range(0, len(i), PAIRS)):
+            exact[at] = np.clip((left[rows[i[at]]].astype(float) * right[j[at]]).sum(axis=1) * 100, 0, 100)
+        return rows[i], j, exact
+
+    def merged(queries: pa.Array, one: tuple, i: np.ndarray, ids: pa.Array, cosine: np.ndarray) -> tuple:
+        """Held and new pairs of a query block cut to ``k`` a query, and the ``k``-th cosine of each."""
+        i, ids, cosine = np.concatenate([one[0], i]), pa.concat_arrays([one[1], ids]), np.concatenate([one[2], cosine])
+        rank = np.empty(len(ids), np.int64)
+        rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        by = np.lexsort((rank, -cosine, i))
+        place = np.arange(len(i)) - np.searchsorted(i[by], i[by])
+        edges = np.full(len(queries), -np.inf)
+        last = by[place == k - 1]
+        edges[i[last]] = cosine[last]
+        by = by[place < k]
+        return i[by], ids.take(pa.array(by)), cosine[by], edges
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        last, codes, reach = None, None, None
+
+        def rows_of(block: tuple) -> pa.RecordBatch:
+            queries, (i, ids, cosine, _) = block
+            return pa.RecordBatch.from_arrays([queries.take(pa.array(i)), ids, pa.array(cosine)], names=[*names, "cosine"])
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                packed = batch.column("codes")[r].as_py()
+                if packed != last:
+                    last, codes = packed, np.frombuffer(packed, "<i4").reshape(-1, tables)
+                    reach = np.zeros((tables, 1 << bits), bool)
+                    for t in range(tables):
+                        reach[t, (np.unique(codes[:, t])[:, None] ^ flips).ravel()] = True
+                key = batch.column("_block")[r].as_py(), batch.column("width")[r].as_py()
+                ids, queries = batch.column("ids")[r].values, batch.column("q_ids")[r].values
+                before = held[key][1] if key in held else None
+                i, j, cosine = met(batch, r, reach, codes, before and before[3])
+                if len(i):
+                    empty = np.zeros(0, np.int64), ids.slice(0, 0), np.zeros(0)
+                    held[key] = queries, merged(queries, before or empty, i, ids.take(pa.array(j)), cosine)
+                if len(held) > HELD_BLOCKS:
+                    yield from map(rows_of, held.values())
+                    held.clear()
+        yield from map(rows_of, held.values())
+
+    return best
+
+
 def nearest_approximate(
     vectors: DataFrame, queries: DataFrame, k: int, vector_id: str, query_id: str, vector: str = "embedding",
     tables: int = 16, bits: int = 10, radius: int = 2,
@@ -159,41 +275,32 @@ def nearest_approximate(
     """The ``k`` nearest vectors among those that share a bucket with the query, ranked by exact cosine.
 
     Buckets are the signs of ``bits`` random hyperplanes, in ``tables`` independent tables; a query looks
-    into every bucket within ``radius`` flipped bits. Every vector is indexed. Candidates meet once in a
-    join on table and bucket; a hot bucket is split by the adaptive skew join. Take more bits, at about
-    the logarithm of the number of vectors, as the table grows. Recall is measured in the tests; vectors
-    without any structure need these many tables for 0.9, and then most of the others are candidates too.
+    into every bucket within ``radius`` flipped bits. Every vector is indexed. Vectors lie in blocks in the
+    order of their first bucket; a query passes over the blocks none of whose buckets it looks into, and
+    meets the others in one matrix product, so candidates are never rows and a partition hands on the best
+    ``k`` of each query. A hot bucket is many blocks. Recall is measured in the tests; vectors without any
+    structure need these many tables for 0.9, and then no block is passed over.
     """
-    def hashed(df: DataFrame, ident: str, r: int) -> DataFrame:
-        kind = df.schema[ident].dataType.simpleString()
-        schema = f"id {kind}, table int, bucket long, unit binary"
-        return df.select(F.col(ident).alias("id"), vector).mapInArrow(_hashed(tables, bits, r), schema)
-
-    index = hashed(vectors, vector_id, 0).withColumnsRenamed({"id": vector_id, "unit": "_unit"})
-    probes = hashed(queries, query_id, radius).withColumnsRenamed({"id": query_id, "unit": "_q_unit"})
-    met = probes.join(index, ["table", "bucket"]).where(F.octet_length("_unit") == F.octet_length("_q_unit"))
-    query_kind, kind = (df.schema[n].dataType.simpleString() for df, n in ((queries, query_id), (vectors, vector_id)))
+    def hashed(df: DataFrame, ident: str) -> DataFrame:
+        schema = f"id {df.schema[ident].dataType.simpleString()}, width int, bucket long, codes binary, unit binary"
+        return df.select(F.col(ident).alias("id"), vector).mapInArrow(_hashed(tables, bits), schema)
 
-    def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            size = pc.binary_length(batch.column("_unit")).to_numpy()
-            out = np.zeros(batch.num_rows)
-            for n in np.unique(size):
-                at = np.flatnonzero(size == n)
-                one, two = (
-                    np.frombuffer(b"".join(batch.column(c).take(pa.array(at)).to_pylist()), "<f4").reshape(len(at), -1)
-                    for c in ("_q_unit", "_unit")
-                )
-                out[at] = np.clip((one.astype(float) * two).sum(axis=1) * 100, 0, 100)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=[query_id, vector_id, "cosine"])
+    def blocks(df: DataFrame, ident: str, copies: int | None = None) -> DataFrame:
+        order = ["width", "bucket", "id"]
+        rows = hashed(df, ident).repartitionByRange(*order).sortWithinPartitions(*order)
+        kind = df.schema[ident].dataType.simpleString()
+        return rows.mapInArrow(lambda batches: _gathered(batches, copies), f"ids array<{kind}>, width int, codes binary, matrix binary")
 
-    scored = met.select(query_id, vector_id, "_q_unit", "_unit").mapInArrow(
-        cosine, f"{query_id} {query_kind}, {vector_id} {kind}, cosine double"
+    asked = cut_lineage(blocks(queries, query_id).withColumn("_at", F.monotonically_increasing_id()))
+    spread = asked.groupBy("width").agg(F.collect_list("_at").alias("_blocks"))  # one row a width, a number a block
+    named = asked.select(F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"), F.col("matrix").alias("q_matrix"), "width", F.col("_at").alias("_block"))
+    wanted = blocks(vectors, vector_id, k).join(F.broadcast(spread), "width").withColumn("_block", F.explode("_blocks"))
+    met = wanted.join(broadcast_if_small(named, BROADCAST_BLOCKS), ["width", "_block"])
+    kinds = [f"{n} {df.schema[n].dataType.simpleString()}" for n, df in ((query_id, queries), (vector_id, vectors))]
+    found = met.select("ids", "codes", "matrix", "q_ids", "q_codes", "q_matrix", "width", "_block").mapInArrow(
+        _best_in_reach(k, (query_id, vector_id), tables, bits, radius), ", ".join(kinds) + ", cosine double"
     )
-    # A pair that met in several tables is one row; partial sums keep the repeats out of the shuffle.
-    return _ranked(scored.groupBy(query_id, vector_id).agg(F.max("cosine").alias("cosine")), k, query_id, vector_id)
+    return _ranked(found, k, query_id, vector_id)
 
 
 def embed_batches(texts: DataFrame, keys: list[str], order: list[str], text: str) -> DataFrame:

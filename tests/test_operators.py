@@ -309,6 +309,31 @@ def test_approximate_neighbours_reach_their_recall(spark):
     assert len(exact) == 1500 and len(exact & near) >= 0.9 * len(exact)
 
 
+def test_approximate_neighbours_are_found_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vec = lambda n: rng.standard_normal(n).tolist()
+    one = vec(8)
+    rows = [(i, one if i % 3 == 0 else vec(8)) for i in range(400)]  # many copies of one, ties by the smaller id
+    vectors = spark.createDataFrame([*rows, (500, None), (501, [0.0] * 8)], "vec_id long, embedding array<double>")
+    queries = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "q")
+    tables, bits, radius, k = 3, 6, 1, 5
+    units = np.array([v for _, v in rows]) / np.linalg.norm([v for _, v in rows], axis=1)[:, None]
+    codes = np.stack([((units @ p.T) > 0) @ (1 << np.arange(bits)) for p in neighbours._planes(tables, bits, 8)], axis=1)
+    want = []
+    for q in range(0, 400, 20):
+        near = [i for i in range(400) if any(int(a ^ b).bit_count() <= radius for a, b in zip(codes[q], codes[i]))]
+        short = units.astype("<f4").astype(float)
+        best = sorted((-round(min(100, max(0, float(short[q] @ short[i]) * 100)), 6), i) for i in near)[:k]
+        want += [(q, i, -c, n) for n, (c, i) in enumerate(best, 1)]
+    for block, held, small in ((1_024, 256, 64), (16, 1, 64), (16, 256, 0)):
+        monkeypatch.setattr(neighbours, "BROADCAST_BLOCKS", small)
+        monkeypatch.setattr(neighbours, "BLOCK", block)
+        monkeypatch.setattr(neighbours, "HELD_BLOCKS", held)
+        found = neighbours.nearest_approximate(vectors, queries, k, "vec_id", "q", tables=tables, bits=bits, radius=radius)
+        assert "cosine#" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "max(cosine" not in plan
+        assert sorted((r["q"], r["vec_id"], round(r["cosine"], 6), r["rank"]) for r in found.collect()) == sorted(want)
+
+
 def test_search_grammar(spark):
     from rankwell.operators.search import search_records
 
