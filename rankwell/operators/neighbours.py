@@ -158,17 +158,27 @@ def _hashed(tables: int, bits: int):
     return run
 
 
+def _same_ids(ids: pa.Array) -> np.ndarray:
+    """A number of each id, in ascending order of the ids, null first."""
+    by = pc.sort_indices(ids, null_placement="at_start").to_numpy()
+    coded = pc.dictionary_encode(ids, null_encoding="encode").indices.to_numpy()
+    numbers = np.empty(len(by), np.int64)
+    numbers[by] = np.cumsum(np.append(0, np.diff(coded[by]) != 0)[: len(by)])
+    return numbers
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], copies: int | None = None) -> Iterator[pa.RecordBatch]:
     """Hashed rows as blocks of at most ``BLOCK`` rows of one width.
 
-    Of equal vectors of a batch, the ``copies`` of the smallest ids are kept: no more can be among the
-    best of any query. Equal vectors share their buckets, in which rows are sorted by id.
+    Of equal vectors of a batch, the ``copies`` smallest ids are kept, once each: no more can be among
+    the best of any query. Equal vectors share their buckets, in which rows are sorted by id.
     """
     for batch in batches:
         if copies is not None:
             alike = pc.binary_join_element_wise(batch.column("codes"), batch.column("unit"), b"").dictionary_encode()
-            kind = alike.indices.to_numpy()
+            kind, ident = alike.indices.to_numpy(), _same_ids(batch.column("id"))
             by = np.argsort(kind, kind="stable")
+            by = by[np.append(True, (np.diff(kind[by]) != 0) | (np.diff(ident[by]) != 0))[: len(by)]]
             place = np.arange(len(by)) - np.searchsorted(kind[by], kind[by])
             batch = batch.take(pa.array(np.sort(by[place < copies])))
         widths = batch.column("width").to_numpy()
@@ -215,8 +225,9 @@ def _best_in_reach(k: int, names: tuple[str, str], tables: int, bits: int, radiu
         if len(i) > k * len(rows):  # the k-th best of the block, less what single precision may be off
             kept = np.full(rough.shape, -np.inf, np.float32)
             kept[i, j] = rough[i, j]
-            if k < kept.shape[1]:
-                edge = -np.partition(-kept, k - 1, axis=1)[:, k - 1]
+            most = k * int(np.bincount(_same_ids(batch.column("ids")[r].values)).max())  # an id may come again
+            if most < kept.shape[1]:
+                edge = -np.partition(-kept, most - 1, axis=1)[:, most - 1]
                 at = rough[i, j] >= edge[i] - MARGIN
                 i, j = i[at], j[at]
         exact = np.zeros(len(i))
@@ -225,11 +236,11 @@ def _best_in_reach(k: int, names: tuple[str, str], tables: int, bits: int, radiu
         return rows[i], j, exact
 
     def merged(queries: pa.Array, one: tuple, i: np.ndarray, ids: pa.Array, cosine: np.ndarray) -> tuple:
-        """Held and new pairs of a query block cut to ``k`` a query, and the ``k``-th cosine of each."""
+        """Held and new pairs of a query block, each id once, cut to ``k`` a query, and the ``k``-th cosine of each."""
         i, ids, cosine = np.concatenate([one[0], i]), pa.concat_arrays([one[1], ids]), np.concatenate([one[2], cosine])
-        rank = np.empty(len(ids), np.int64)
-        rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        rank = _same_ids(ids)
         by = np.lexsort((rank, -cosine, i))
+        by = by[np.sort(np.unique(i[by] * len(ids) + rank[by], return_index=True)[1])]
         place = np.arange(len(i)) - np.searchsorted(i[by], i[by])
         edges = np.full(len(queries), -np.inf)
         last = by[place == k - 1]
@@ -300,7 +311,8 @@ def nearest_approximate(
     found = met.select("ids", "codes", "matrix", "q_ids", "q_codes", "q_matrix", "width", "_block").mapInArrow(
         _best_in_reach(k, (query_id, vector_id), tables, bits, radius), ", ".join(kinds) + ", cosine double"
     )
-    return _ranked(found, k, query_id, vector_id)
+    # Ids that repeat on either side give a pair several times.
+    return _ranked(found.groupBy(query_id, vector_id).agg(F.max("cosine").alias("cosine")), k, query_id, vector_id)
 
 
 def embed_batches(texts: DataFrame, keys: list[str], order: list[str], text: str) -> DataFrame:
