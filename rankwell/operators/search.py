@@ -9,12 +9,20 @@ as written there. ``stem_index`` holds the places of each word stem in each reco
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankwell.functions.stems import stem, stems
+from rankwell.functions.stems import stem
+
+SLICE_BYTES = 4 << 20  # of texts that are indexed together in a Python worker
+_BLANKED = np.full(256, ord(" "), np.uint8)  # bytes of words stay, any other is a blank
+_BLANKED[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = list(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 # --- fixed values: English stop words ------------------------------------------------------------
 STOP_WORDS = frozenset(
@@ -63,28 +71,65 @@ def search_records(records: DataFrame, search: str, columns: list[str]) -> DataF
 # --- by word stems --------------------------------------------------------------------------------
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (key, lower-case text): a row for each stem of each record, with its places."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            done = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right")))
+            yield _slice_postings(batch.slice(start, stop - start))
+            start = stop
+
+
+def _words(texts: pa.Array) -> pa.Array:
+    """Lists of the runs of a-z and 0-9 of each text; a blank at an end gives an empty one."""
+    texts = texts.cast(pa.string())
+    _, ends, held = texts.buffers()
+    ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    blanked = _BLANKED[np.frombuffer(held or b"", np.uint8)[ends[0] : ends[-1]]]
+    plain = pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(blanked))
+    return pc.ascii_split_whitespace(plain)
+
+
+def _slice_postings(part: pa.RecordBatch) -> pa.RecordBatch:
+    lists = _words(part.column(1))
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    record, flat = np.repeat(np.arange(len(sizes)), sizes), lists.flatten()
+    before = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0)])
+    place = before[:-1] - np.repeat(before[np.cumsum(sizes) - sizes], sizes)
+    coded = flat.dictionary_encode()
+    # Each distinct word is stemmed once; blanks and stop words have no stem.
+    found = [stem(w) if w and w not in STOP_WORDS else None for w in coded.dictionary.to_pylist()]
+    listed = sorted(set(found) - {None})
+    number = {s: k for k, s in enumerate(listed)} | {None: len(listed)}
+    code = np.array([number[s] for s in found], np.min_scalar_type(len(listed)))[coded.indices.to_numpy()]
+    order = np.argsort(code, kind="stable")  # by stem, then as they stand
+    order = order[: np.count_nonzero(code < len(listed))]
+    code, record, place = code[order], record[order], place[order]
+    new = np.flatnonzero(np.diff(code, prepend=-1).astype(bool) | np.diff(record, prepend=-1).astype(bool))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(listed, pa.string()).take(pa.array(code[new], pa.int64())),
+            part.column(0).take(pa.array(record[new], pa.int64())),
+            pa.ListArray.from_arrays(np.append(new, len(place)).astype(np.int32), pa.array(place, pa.int32())),
+        ],
+        names=["stem", part.schema.names[0], "places"],
+    )
+
+
 def stem_index(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(stem, key, places): where each stem stands in each record, stop words left out but counted.
 
-    ``key`` names the column that tells records apart. Sorted by stem, so that a search of the written
-    table reads the row groups of its stems; a stem that most records hold spans many partitions.
+    ``key`` names the column that tells records apart; rows that repeat one each have their own rows here.
+    A task indexes the records it reads and nothing is shuffled: every part is sorted by stem, so that a
+    search of the written table reads the pages of its stems, and a common stem spans all parts.
     """
-    words = F.split(F.trim(word_text(*[F.col(c) for c in columns])), " ")
-    stop = F.array(*[F.lit(w) for w in sorted(STOP_WORDS)])
-    found = records.select(F.col(key), words.alias("_words"))
-    # Places are gathered by word first, so that a record hands each of its words over once.
-    placed = found.select(key, F.posexplode("_words").alias("_place", "_word"))
-    listed = placed.where((F.col("_word") != "") & ~F.array_contains(stop, F.col("_word"))).groupBy(key, "_word").agg(
-        F.collect_list("_place").alias("_places")
-    )
-    stemmed = listed.withColumn("stem", stems(F.col("_word")))
-    return (
-        stemmed.groupBy(key, "stem")
-        .agg(F.array_sort(F.flatten(F.collect_list("_places"))).alias("places"))
-        .select("stem", key, "places")
-        .repartitionByRange("stem", key)
-        .sortWithinPartitions("stem", key)
-    )
+    text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns])).alias("_text")
+    kind = records.schema[key].dataType.simpleString()
+    rows = records.select(F.col(key), text).mapInArrow(_postings, f"stem string, `{key}` {kind}, places array<int>")
+    return rows.sortWithinPartitions("stem", key)
 
 
 def _stem_groups(search: str) -> list[list[tuple[bool, list[tuple[int, str]]]]]:
@@ -114,14 +159,14 @@ def search_stems(records: DataFrame, index: DataFrame, search: str, key: str) ->
         return records
     asked = sorted({s for g in groups for _, terms in g for _, s in terms})
     hits = index.where(F.col("stem").isin(asked)).groupBy(key).agg(
-        *[F.first(F.when(F.col("stem") == s, F.col("places")), ignorenulls=True).alias(f"_{k}") for k, s in enumerate(asked)]
+        *[F.flatten(F.collect_list(F.when(F.col("stem") == s, F.col("places")))).alias(f"_{k}") for k, s in enumerate(asked)]
     )
     places = {s: F.col(f"_{k}") for k, s in enumerate(asked)}
 
     def stands(terms: list[tuple[int, str]]) -> Column:
         first, lead = terms[0]
         if len(terms) == 1:
-            return places[lead].isNotNull()
+            return F.size(places[lead]) > 0
         rest = [(offset - first, places[s]) for offset, s in terms[1:]]
         return F.coalesce(
             F.exists(places[lead], lambda p: reduce(lambda a, b: a & b, [F.array_contains(at, p + d) for d, at in rest])),

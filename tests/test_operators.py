@@ -412,3 +412,21 @@ def test_a_cluster_session_without_a_shared_folder_is_refused():
     remote = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context)
     with pytest.raises(ValueError):
         shared_dir(remote)
+
+
+def test_stem_index_of_repeated_keys_without_a_shuffle(spark):
+    """Rows that repeat a key are found together, and no posting leaves the task that reads its text."""
+    from rankwell.operators.search import search_stems, stem_index
+
+    rows = [(1, "Senior ENGINEERS, of teams"), (1, "London"), (2, "engineer"), (None, "senior"), (3, None), (4, "é-senior\u212a \n")]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(3)
+    index = stem_index(df, "id", ["t"])
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the repartition above
+    held = sorted(((r.id or 0, r.stem, r.places) for r in index.collect()))
+    assert held == [
+        (0, "senior", [0]), (1, "engin", [1]), (1, "london", [0]), (1, "senior", [0]), (1, "team", [3]), (2, "engin", [0]),
+        (4, "seniork", [0]),
+    ]
+    found = lambda text: sorted(r.id or 0 for r in search_stems(df, index, text, "id").collect())
+    assert found("senior london") == [1, 1] and found("engineering") == [1, 1, 2] and found("-london") == [2, 3, 4]
