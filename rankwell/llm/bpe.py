@@ -1,7 +1,7 @@
 """Byte-level BPE of whole texts with Spark's higher-order functions, and decoding.
 
 A fold over the pieces of a word merges, at each step, the pair of lowest rank; ranks come from a
-literal table inside the expression. It runs over distinct words only: once over the commonest words
+table that is one value of the expression. It runs over distinct words only: once over the commonest words
 of the corpus, whose ids every task then holds as a bounded table, and once per group of documents
 over the distinct words that are left. Documents never leave the task that reads them.
 """
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import pyarrow.fs as pa_fs
 import pyarrow.parquet as pq
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankwell.llm.common import common_rows, cut_lineage, fresh_dir, give_back, shuffle_parts, whole_text
@@ -46,13 +46,19 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def rank_table(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal: cells of small maps from a piece in hex to its rank."""
+def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """The ranks as one value of a plan: cells of small maps from a piece in hex to its rank.
+
+    A scalar subquery, to be selected beside the words right before the fold: Spark merges both projections
+    and puts its result into the expression when it runs. As a literal from the start it would be spelled
+    out, megabytes long, in every text of the plan that the driver keeps.
+    """
     cells: list[dict[str, int]] = [{} for _ in range(SLOTS)]
     for piece, rank in ranks.items():
         name = piece.hex().upper()
         cells[zlib.crc32(name.encode()) % SLOTS][name] = rank
-    return F.from_json(F.lit(json.dumps(cells)), "array<map<string,int>>")
+    stored = spark.createDataFrame([(json.dumps(cells),)], "cells string")
+    return stored.select(F.from_json("cells", "array<map<string,int>>")).scalar()
 
 
 def fold_merges(words: Column, ranks: Column) -> Column:
@@ -315,7 +321,7 @@ def encode_decode(
     key is kept, an empty table gives an empty result, other columns are not read.
     """
     spark = docs.sparkSession
-    table = rank_table(load_ranks(path))
+    table = rank_table(spark, load_ranks(path))
     counted = cut_lineage(piece_counts(docs, text=text))
     frequent = common_rows(counted.where(F.octet_length("piece") <= COMMON_BYTES), common)
     # In the order of their hashes, and spread before the fold: the rows are few in bytes, so adaptive
@@ -324,8 +330,8 @@ def encode_decode(
     spread = spread.repartitionByRange(2 * shuffle_parts(spark), "hash").sortWithinPartitions("hash")
     # The table stays in the shared folder: each Python worker that needs it opens it there once.
     known = fresh_dir(spark, "words")
-    ids = F.get(fold_merges(F.array("piece"), table), F.lit(0)).alias("ids")
-    spread.select("hash", "piece", ids).write.option("compression", "zstd").parquet(known)
+    ids = F.get(fold_merges(F.array("piece"), F.col("ranks")), F.lit(0)).alias("ids")
+    spread.select("hash", "piece", table.alias("ranks")).select("hash", "piece", ids).write.option("compression", "zstd").parquet(known)
 
     rows = docs.select(F.col(key).alias("doc_id"), whole_text(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -333,7 +339,9 @@ def encode_decode(
         _numbered(known), f"doc_ids array<{kind}>, seqs array<binary>, words array<string>, long array<string>"
     )
     # Written, so that a task runs one Python worker at a time and no lost executor repeats the fold.
-    folded = grouped.select("doc_ids", "seqs", "long", fold_merges(F.col("words"), table).alias("ids"))
+    folded = grouped.withColumn("ranks", table).select(
+        "doc_ids", "seqs", "long", fold_merges(F.col("words"), F.col("ranks")).alias("ids")
+    )
     step = fresh_dir(spark, "folded")
     folded.write.option("compression", "zstd").parquet(step)
     return spark.read.schema(folded.schema).parquet(step).mapInArrow(

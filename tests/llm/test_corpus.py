@@ -396,3 +396,17 @@ def test_pipeline_stages(spark):
         seen.append(docs.count())
         assert docs.columns == columns or name == corpus_pipeline.STAGES[-1][0]
     assert seen == sorted(seen, reverse=True) and seen[3] == seen[4] == corpus_pipeline.run(spark, folder).count()
+
+
+def test_bpe_rank_table_is_in_no_plan_text(spark, nothing):
+    """The driver keeps the texts of many plans, so a table of megabytes must not be spelled out in them."""
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    words = spark.createDataFrame([(["thering", "", "\u6f22"],)], "words array<string>")
+    folded = words.withColumn("ranks", bpe.rank_table(spark, ranks)).select(
+        bpe.fold_merges(F.col("words"), F.col("ranks")).alias("ids")
+    )
+    run = folded._jdf.queryExecution()
+    assert len(run.toString()) < 200_000
+    assert "AS ranks" not in run.executedPlan().toString()  # no row carries the table
+    whole = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert folded.first().ids == [whole.encode_ordinary(w) for w in ("thering", "", "\u6f22")]
