@@ -114,3 +114,39 @@ def test_company_keys_are_as_the_plain_patterns_give_them(apply):
 
     assert apply(domains, part) == apply(domains, before)
     assert apply(domains, company.domain_slug) == ["a.io", "b.com", None, "b.com", "www.b.com", "b..-.com", "b.com", None, None]
+
+
+def test_titles_meet_whole_in_cells_of_any_size(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(rng.choice((60, 64)))) for _ in range(60)]
+    rows = [(t[: len(t) - k] + "x" * k, "b", (n + k) % 2 == 0) for n, t in enumerate(texts) for k in range(3)] * 2
+    df = spark.createDataFrame(rows, "title string, block string, is_new boolean")
+    found = []
+    for held, met, size in ((16_384, 32_768, 512), (9, 5, 3)):
+        monkeypatch.setattr(fuzzy, "HELD", held)
+        monkeypatch.setattr(fuzzy, "MET", met)
+        titles = fuzzy._titles(df.where("is_new"), df.where("not is_new"))
+        assert titles.count() == len({r[0] for r in rows})
+        pairs = [tuple(r) for r in fuzzy.likely_pairs(titles, 0.85, size).collect()]
+        assert len(pairs) == len(set(pairs)) > 20
+        found.append(set(pairs))
+    assert found[0] == found[1]
+
+
+def test_a_block_is_sent_once_per_line_of_its_grid(spark):
+    """Eight blocks that all meet eight others are sent eight times when sent per pair, here once."""
+    titles = spark.range(4_000).select(
+        F.lit("b").alias("block"), F.concat(F.lit("t"), F.format_string("%06d", "id")).alias("title"),
+        (F.col("id") % 2 == 0).alias("in_new"), (F.col("id") % 2 == 1).alias("in_old"),
+        F.unhex(F.md5(F.col("id").cast("string"))).alias("tid"),
+    )
+    sent = []
+    whole = fuzzy.grid.meet
+    try:
+        fuzzy.grid.meet = lambda left, right, *rest: sent.extend(
+            [left.select(F.explode("cells")).count(), right.select(F.explode("cells")).count()]
+        ) or whole(left, right, *rest)
+        fuzzy.likely_pairs(titles, 0.85, 250)
+    finally:
+        fuzzy.grid.meet = whole
+    assert max(sent) <= 8
